@@ -60,3 +60,39 @@ def flat_text(array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+class WordCache:
+    """Token ids of words seen, in one flat array; encode_new(words) gives (flat ids, lengths) of words not seen before. Holds at most max_words after a batch."""
+
+    def __init__(self, encode_new, max_words: int = 400_000):
+        self.encode_new, self.max_words = encode_new, max_words
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids of each word)."""
+        if len(self.index) > self.max_words:
+            self.clear()
+        if new := list(set(words) - self.index.keys()):
+            flat, lengths = self.encode_new(new)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, flat])
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        lengths = self.lengths[at]
+        return self.flat[spans_to_index(self.starts[at], lengths)], lengths
+
+
+def pieces_of(batch, text: str, most: int = 4 << 20):
+    """batch in slices of about `most` bytes of text, one row at least."""
+    _, offsets = flat_text(batch.column(text))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, quality_rules
+from . import decontamination, line_dedup, quality_rules, sentencepiece_codec, token_ids, warc
+from .common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,5 +69,37 @@ y AS (SELECT id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id
 SELECT d.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN x USING (id) LEFT JOIN y USING (id)"""
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination}
-ORACLES = {"op1_quality_rules": OP1_SQL, "op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "token-ids")
+    token_ids.write_token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_ids.read_token_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest"""
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.encode(docs, vocabulary("piece_bpe_32k.model"), decoded="decoded")
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op2_token_ids": op2_token_ids, "op5_warc": op5_warc, "op6_sentencepiece": op6_sentencepiece, "op1_quality_rules": op1_quality_rules, "op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination}
+ORACLES = {"op5_warc": OP5_SQL, "op1_quality_rules": OP1_SQL, "op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
