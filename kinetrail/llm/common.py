@@ -96,3 +96,53 @@ def pieces_of(batch, text: str, most: int = 4 << 20):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
         yield batch.slice(a, b - a)
         a = b
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array by byte planes, compressed; sorted integers are kept as differences."""
+    import zlib
+
+    values = np.ascontiguousarray(values)
+    if not len(values):
+        return b""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+
+
+def unpack(data: bytes | None, dtype) -> np.ndarray:
+    import zlib
+
+    if not data:
+        return np.zeros(0, dtype)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes | None, dtype=np.uint64) -> np.ndarray:
+    return np.cumsum(unpack(data, dtype), dtype=dtype)
+
+
+def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in sorted keys, whether it is there) of each wanted value."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
+
+
+def count_sorted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sum of each one's weights."""
+    order = np.argsort(keys)
+    keys, weights = keys[order], weights[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(weights, first) if len(first) else weights
+
+
+def table_of(**columns):
+    """A pyarrow table of columns; empty ones keep the types of `pa.array`s given."""
+    import pyarrow as pa
+
+    return pa.table(columns)
