@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -41,15 +42,34 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def word_encoder(path: str):
+#: In these words pieces of letters and of other characters are coded apart by the tokenizer, whatever their case; not so with apostrophes (contractions) and special tokens.
+MIXED = re.compile(r"'|<\||[^\x00-\x7fß-öø-ÿ]")
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
+
+
+@lru_cache(2)
+def word_cache(path: str) -> WordCache:
+    """Ids of words, made from the ids of their pieces; both are kept for the life of the worker."""
     t = tokenizer(path)
 
-    def run(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
+    def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
-    return run
+    inner = WordCache(encode_pieces, 300_000)
+
+    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces: list[str] = []
+        ends = np.zeros(len(words) + 1, np.int64)
+        for i, w in enumerate(words):
+            low = w.lower()
+            pieces += [w] if MIXED.search(low) else PIECE.findall(low)
+            ends[i + 1] = len(pieces)
+        flat, lengths = inner.lookup(pieces)
+        return flat, np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends])
+
+    return WordCache(encode_words, 500_000)
 
 
 def encode_texts(texts: list[str | None], cache: WordCache, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +130,7 @@ def write_token_ids(docs: DataFrame, folder: str, path: str, end_id: int, id: st
     sorted_rows = rows.repartitionByRange("i").sortWithinPartitions("i", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, cache = ShardWriter(folder, TaskContext.get().partitionId(), width, max_ids), WordCache(word_encoder(path))
+        writer, cache = ShardWriter(folder, TaskContext.get().partitionId(), width, max_ids), word_cache(path)
         manifest: list[tuple] = []
         for whole in batches:
             for batch in pieces_of(whole, "t"):
