@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, ppm, quality_rules, sentencepiece_codec, suffix_dedup, token_ids, warc
+from . import decontamination, line_dedup, ngram_join, ppm, quality_rules, sentencepiece_codec, suffix_dedup, token_ids, warc
 from .common import shared_dir
 
 
@@ -112,5 +112,23 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op9_suffix_dedup": op9_suffix_dedup, "op3_ppm": op3_ppm, "op2_token_ids": op2_token_ids, "op5_warc": op5_warc, "op6_sentencepiece": op6_sentencepiece, "op1_quality_rules": op1_quality_rules, "op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination}
-ORACLES = {"op5_warc": OP5_SQL, "op1_quality_rules": OP1_SQL, "op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM w WHERE len(w) > 0)),
+s AS (SELECT doc_id, count(*) AS n, list(k ORDER BY k) AS ks FROM g GROUP BY doc_id),
+r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY ks) AS rep FROM s),
+q AS (SELECT g.doc_id, g.k, r.n FROM g JOIN r USING (doc_id) WHERE r.rep = r.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM q a JOIN q b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 10 * count(*) >= 8 * (a.n + b.n - count(*))),
+c AS (SELECT x, x AS y FROM p UNION SELECT c.x, p.y FROM c JOIN p ON c.y = p.x),
+m AS (SELECT x, min(y) AS root FROM c GROUP BY x),
+l AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT d.doc_id, coalesce(m.root, r.rep, d.doc_id) AS class_id, coalesce(r.rep, d.doc_id) AS rep_id, coalesce(l.n, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN m ON m.x = r.rep LEFT JOIN l ON l.x = r.rep"""
+
+
+QUERIES = {"op8_ngram_join": op8_ngram_join, "op9_suffix_dedup": op9_suffix_dedup, "op3_ppm": op3_ppm, "op2_token_ids": op2_token_ids, "op5_warc": op5_warc, "op6_sentencepiece": op6_sentencepiece, "op1_quality_rules": op1_quality_rules, "op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination}
+ORACLES = {"op8_ngram_join": OP8_SQL, "op5_warc": OP5_SQL, "op1_quality_rules": OP1_SQL, "op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
