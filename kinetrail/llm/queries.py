@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, ngram_join, ppm, quality_rules, sentencepiece_codec, suffix_dedup, token_ids, warc
+from . import decontamination, line_dedup, ngram_join, passage_dedup, ppm, quality_rules, sentencepiece_codec, suffix_dedup, token_ids, warc
 from .common import shared_dir
 
 
@@ -130,5 +130,11 @@ SELECT d.doc_id, coalesce(m.root, r.rep, d.doc_id) AS class_id, coalesce(r.rep,
 FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN m ON m.x = r.rep LEFT JOIN l ON l.x = r.rep"""
 
 
-QUERIES = {"op8_ngram_join": op8_ngram_join, "op9_suffix_dedup": op9_suffix_dedup, "op3_ppm": op3_ppm, "op2_token_ids": op2_token_ids, "op5_warc": op5_warc, "op6_sentencepiece": op6_sentencepiece, "op1_quality_rules": op1_quality_rules, "op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination}
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = passage_dedup.passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_dup = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
+    return cut.select("doc_id", "n_words", n_dup.alias("n_dup_words"), F.size("spans").cast("long").alias("n_spans"), "sources", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op7_passage_dedup": op7_passage_dedup, "op8_ngram_join": op8_ngram_join, "op9_suffix_dedup": op9_suffix_dedup, "op3_ppm": op3_ppm, "op2_token_ids": op2_token_ids, "op5_warc": op5_warc, "op6_sentencepiece": op6_sentencepiece, "op1_quality_rules": op1_quality_rules, "op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination}
 ORACLES = {"op8_ngram_join": OP8_SQL, "op5_warc": OP5_SQL, "op1_quality_rules": OP1_SQL, "op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
