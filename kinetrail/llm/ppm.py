@@ -33,7 +33,7 @@ END_TOKEN = np.uint64(1)  # stands for the end among the words' hashes
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 PARTS = "chunk int, bucket int, kind string, a binary, b binary"
-REPLIES = "chunk int, bucket int, kind string, a binary, tokens long, kinds long"
+REPLIES = "chunk int, bucket int, kind string, a binary, b binary, tokens long, kinds long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -50,11 +50,12 @@ def symbols(array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def grams(flat: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     """Context, latest byte first, then the symbol, as one integer."""
-    out = flat[at].astype(np.uint64)
     wide = flat.astype(np.uint64)
+    n = len(wide) - order
+    out = wide[order:].copy()
     for k in range(1, order + 1):
-        out |= wide[at - k] << np.uint64(8 * (order + 1 - k))
-    return out
+        out |= wide[order - k : order - k + n] << np.uint64(8 * (order + 1 - k))
+    return out[at - order]
 
 
 def pair_counts(training: DataFrame, text: str) -> np.ndarray:
@@ -196,35 +197,41 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "te
         out: list[tuple] = []
         if kind == "g":
             trie = Trie(keys, counts, order, shared.value)
-            out = [(c, bucket, kind, pack(trie.log10(g).astype(np.float32)), 0, 0) for c, g in asked.items()]
+            out = [(c, bucket, kind, pack_sorted(g), pack(trie.log10(g).astype(np.float32)), 0, 0) for c, g in asked.items()]
         else:
             for c in range(n):  # every chunk is told the totals
-                at, there = lookup(keys, asked.get(c, keys[:0]))
+                words = asked.get(c, keys[:0])
+                at, there = lookup(keys, words)
                 found = np.where(there, counts[at], 0) if len(keys) else np.zeros(len(at), np.int64)
-                out.append((c, bucket, kind, pack(found.astype(np.uint64)), int(counts.sum()), len(keys)))
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int32()), "kind": [x[2] for x in out], "a": pa.array([x[3] for x in out], pa.binary()), "tokens": pa.array([x[4] for x in out], pa.int64()), "kinds": pa.array([x[5] for x in out], pa.int64())})
+                out.append((c, bucket, kind, pack_sorted(words), pack(found.astype(np.uint64)), int(counts.sum()), len(keys)))
+        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int32()), "kind": [x[2] for x in out], "a": pa.array([x[3] for x in out], pa.binary()), "b": pa.array([x[4] for x in out], pa.binary()), "tokens": pa.array([x[5] for x in out], pa.int64()), "kinds": pa.array([x[6] for x in out], pa.int64())})
 
     def total(key, table, replies):
         columns: dict[str, list] = {x.split()[0]: [] for x in SCORES.split(", ")}
         if table.num_rows:
-            rows = sorted(zip(replies.column("kind").to_pylist(), replies.column("bucket").to_pylist(), replies.column("a").to_pylist(), strict=True), key=lambda x: x[:2])
-            value = np.concatenate([np.zeros(0, np.float32)] + [unpack(a, np.float32) for k, _, a in rows if k == "g"]).astype(np.float64)
-            count = np.concatenate([np.zeros(0, np.uint64)] + [unpack(a, np.uint64) for k, _, a in rows if k == "w"]).astype(np.int64)
+            rows = sorted(zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "a", "b")), strict=True), key=lambda x: x[:2])
+            known_grams, known_words = (np.concatenate([np.zeros(0, np.uint64)] + [unpack_sorted(a) for k, _, a, _ in rows if k == kind]) for kind in "gw")
+            value = np.concatenate([np.zeros(0, np.float32)] + [unpack(b, np.float32) for k, _, _, b in rows if k == "g"]).astype(np.float64)
+            count = np.concatenate([np.zeros(0, np.uint64)] + [unpack(b, np.uint64) for k, _, _, b in rows if k == "w"]).astype(np.int64)
             tokens, kinds = (int(np.sum(replies.column(c).to_numpy())) for c in ("tokens", "kinds"))
-            known_grams, known_words = chunk_grams(table, order)[0], chunk_words(table)[0]
-            if len(known_grams) != len(value) or len(known_words) != len(count):
-                raise RuntimeError("a chunk changed between two passes over the input")
-            end_count = int(count[np.searchsorted(known_words, END_TOKEN)])
+
+            def place(known, wanted):
+                at, there = lookup(known, wanted)
+                if not there.all():
+                    raise RuntimeError("a chunk changed between two passes over the input")
+                return at
+
+            end_count = int(count[place(known_words, np.array([END_TOKEN]))[0]])
             norm = np.log10(tokens + kinds + 1)
             for part in pieces_of(table, "text"):
                 flat, at, sizes = symbols(part.column("text"), order)
                 g = grams(flat, at, order)
                 by = np.argsort(g)
                 each = np.empty(len(g))
-                each[by] = value[np.searchsorted(known_grams, g[by])]
+                each[by] = value[place(known_grams, g[by])]
                 scores = np.add.reduceat(each, np.cumsum(sizes) - sizes)
                 words = Words(*flat_text(part.column("text")), UNSPACED)
-                c = count[np.searchsorted(known_words, words.hash)] if len(words.hash) else np.zeros(0, np.int64)
+                c = count[place(known_words, words.hash)] if len(words.hash) else np.zeros(0, np.int64)
                 m = part.num_rows
                 base = np.bincount(words.text, np.log10(c + 1), m) + np.log10(end_count + 1)
                 n_tokens = np.diff(words.first) + 1
