@@ -77,13 +77,17 @@ class WordCache:
         """(flat ids, ids of each word)."""
         if len(self.index) > self.max_words:
             self.clear()
-        if new := list(set(words) - self.index.keys()):
+        import pyarrow as pa
+
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if new := [w for w in distinct if w not in self.index]:
             flat, lengths = self.encode_new(new)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, flat])
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         lengths = self.lengths[at]
         return self.flat[spans_to_index(self.starts[at], lengths)], lengths
 

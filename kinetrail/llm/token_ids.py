@@ -4,8 +4,8 @@ Documents are range-sorted by id; every task tokenizes its range and writes shar
 or four bytes each, and two Elias-Fano sequences, the documents' ids and where each document ends. Shards are written
 under temporary names and renamed; only those that the manifest lists count, so a repeated task leaves no trace.
 
-Words are encoded once per worker and reused: the tokenizer drops white space and never matches across it, so the ids of
-a text are those of its parts between spaces or line ends, one after another.
+Pieces of texts are encoded once per worker and reused: the tokenizer drops white space, never matches across it, and parts
+letters from other characters, so the ids of a text are those of such pieces, one after another.
 
 Defined cases: a null text is empty and has the end id alone; documents without id come first; equal ids are ordered by
 text; repeated rows are written each; an empty table makes no shard.
@@ -42,34 +42,55 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: In these words pieces of letters and of other characters are coded apart by the tokenizer, whatever their case; not so with apostrophes (contractions) and special tokens.
-MIXED = re.compile(r"'|<\||[^\x00-\x7fß-öø-ÿ]")
-PIECE = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
+#: Letters whose lower case and class are the same for Python and the tokenizer; the tokenizer parts runs of them from what
+#: is between, except at apostrophes (contractions) and in special tokens. Other texts are cut at spaces and line ends only.
+OTHER = re.compile(r"<\||[^\x00-\x7fß-öø-ÿ]")
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[^ \na-zß-öø-ÿ]+")
+QUOTED = re.compile(r"[^ \n]*'[^ \n]*|[a-zß-öø-ÿ]+|[^ \na-zß-öø-ÿ']+")
+
+
+def pieces_of_text(text: str) -> list[str]:
+    low = text.lower()
+    if OTHER.search(low):
+        return [w for w in text.replace("\n", " ").split(" ") if w]
+    return (QUOTED if "'" in low else PLAIN).findall(low)
 
 
 @lru_cache(2)
 def word_cache(path: str) -> WordCache:
-    """Ids of words, made from the ids of their pieces; both are kept for the life of the worker."""
+    """Ids of pieces of texts, kept for the life of the worker."""
     t = tokenizer(path)
 
-    def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    vocabulary = t.get_vocab()
+    suffix = getattr(t.model, "end_of_word_suffix", None)
+    ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+    if suffix:
+        ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def encode_apart(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
-    inner = WordCache(encode_pieces, 300_000)
-
-    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        pieces: list[str] = []
-        ends = np.zeros(len(words) + 1, np.int64)
-        for i, w in enumerate(words):
-            low = w.lower()
-            pieces += [w] if MIXED.search(low) else PIECE.findall(low)
-            ends[i + 1] = len(pieces)
-        flat, lengths = inner.lookup(pieces)
-        return flat, np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends])
-
-    return WordCache(encode_words, 500_000)
+    def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters are coded many at a time: each ends with the one token of it that has the word-end suffix."""
+        letters = [bool(suffix) and LETTERS.fullmatch(p) is not None for p in pieces]
+        words = [p for p, alone in zip(pieces, letters, strict=True) if alone]
+        flat, _ = encode_apart([" ".join(words[i : i + 256]) for i in range(0, len(words), 256)])
+        ends = np.flatnonzero(ends_word[flat]) + 1
+        if len(ends) != len(words):  # not a tokenizer that marks the ends of words
+            return encode_apart(pieces)
+        rest, rest_lengths = encode_apart([p for p, alone in zip(pieces, letters, strict=True) if not alone])
+        alone = np.array(letters, bool)
+        lengths = np.empty(len(pieces), np.int64)
+        lengths[alone], lengths[~alone] = np.diff(ends, prepend=0), rest_lengths
+        out = np.empty(int(lengths.sum()), np.uint32)
+        mine = np.repeat(alone, lengths)
+        out[mine], out[~mine] = flat, rest
+        return out, lengths
+
+    return WordCache(encode_pieces, 500_000)
 
 
 def encode_texts(texts: list[str | None], cache: WordCache, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +99,7 @@ def encode_texts(texts: list[str | None], cache: WordCache, end_id: int) -> tupl
     counts = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         if t:
-            found = [w for w in t.replace("\n", " ").split(" ") if w]
+            found = pieces_of_text(t)
             counts[i] = len(found)
             words += found
     flat, lengths = cache.lookup(words)
