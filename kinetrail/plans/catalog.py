@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import series_queries
+from . import relational_queries, series_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (series_queries,):
+for _part in (series_queries, relational_queries):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
