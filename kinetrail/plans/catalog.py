@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import geometry_queries, relational_queries, series_queries
+from . import geometry_queries, relational_queries, sequential_queries, series_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (series_queries, relational_queries, geometry_queries):
+for _part in (series_queries, relational_queries, geometry_queries, sequential_queries):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
