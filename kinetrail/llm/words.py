@@ -35,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of many texts: byte spans, hashes and the text that each belongs to. A-Z are lower-cased, and a byte that is in no word is put between texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALPHANUMERIC):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALPHANUMERIC, hashed: bool = True):
         n = len(offsets) - 1
         self.data = np.full(len(data) + n + 1, 32, np.uint8)
         self.bounds = offsets + np.arange(n + 1)
@@ -54,7 +54,7 @@ class Words:
         inverse = pow(base, -1, 1 << 64)
         top = int(max((self.end - self.start).max(initial=0), 1))
         self.hash = np.zeros(len(self.start), np.uint64)
-        if len(self.start):
+        if len(self.start) and hashed:
             step = 1 << 22  # powers stay small: words are hashed in runs of bytes
             for a in range(0, len(self.start), step // 8):
                 s, e = self.start[a : a + step // 8], self.end[a : a + step // 8]
