@@ -239,9 +239,10 @@ def arc_labels(pts: Column, body: Column, status: Column, n: int) -> Column:
     return F.when(status.isin("both_ends_cut", "visible_longer_than_body"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lit(None).cast("struct<x:double,y:double>"))).otherwise(placed)
 
 
-def evenly(n: Column, k: int) -> Column:
+def evenly(n: Column, k: int | Column) -> Column:
     """k places of 0..n-1 at equal distances, ends included, truncated; all of them where n <= k."""
-    return F.when(n <= k, index(n)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (n - 1) / (k - 1)).cast("int")))
+    k = F.lit(k)
+    return F.when(n <= k, index(n)).otherwise(F.transform(index(k), lambda i: F.floor(i * (n - 1) / F.greatest(k - 1, F.lit(1))).cast("int")))
 
 
 def prompt_points(pts: Column, n: int, margin: int = 4) -> Column:
