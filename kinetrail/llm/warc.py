@@ -121,7 +121,7 @@ def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "u
     edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
     shard = F.when(F.col("page_id").isNull(), n - 1).otherwise(F.size(F.filter(edges, lambda b: b <= F.col("page_id"))))
     both = both.withColumn("shard", shard.cast("int"))
-    dealt = both.repartition(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
+    dealt = both.repartitionById(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, rows, last, first = None, [], None, None
@@ -197,4 +197,5 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                             rows, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema[i].type) for i in range(7)], schema=schema)
 
-    return spark.read.parquet(f"{folder}/_manifest").select("path").repartition(F.col("path")).mapInArrow(run, RECORDS)
+    manifest = spark.read.parquet(f"{folder}/_manifest").select("path")
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(run, RECORDS)  # a task per file
