@@ -186,7 +186,7 @@ def read_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     manifest = spark.read.parquet(f"{folder}/_manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     manifest = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
-    tasks = manifest.select("path", "base").repartition(F.col("path"))
+    tasks = manifest.select("path", "base").repartition(max(1, manifest.count()))  # a task per shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
