@@ -12,7 +12,7 @@ id and the text are read by no rule, so names that clash with the features are h
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -70,43 +70,48 @@ def repeat_words(words: Column, width: int = 3) -> Column:
     return let(words, count)
 
 
-def with_base(frame: DataFrame, text: str) -> DataFrame:
-    """frame with the base features as __q_ columns."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    frame = frame.withColumn("__q_blank", blanked(t)).withColumn("__q_words", F.array_remove(F.split("__q_blank", " "), ""))
+def features(text: Column) -> Column:
+    """The features of a text as one struct. Everything is bound inside one expression, so that no optimiser rule copies the splitting of a text into several places."""
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(" " + SPACES))) > 0)
-    return frame.withColumns(
-        {
-            "__q_n_words": F.size("__q_words").cast("long"),
-            "__q_word_chars": F.length(without(F.col("__q_blank"), " ")).cast("long"),
-            "__q_n_symbols": (F.length(t) - F.length(without(t, SYMBOLS))).cast("long"),
-            "__q_lines": let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))),
-            "__q_n_repeat_words": repeat_words(F.col("__q_words")).cast("long"),
-        }
-    ).withColumn("__q_base_failed", (F.col("__q_n_words") < 50) | (100 * F.col("__q_n_repeat_words") > 50 * F.col("__q_n_words")))
+
+    def count(s: Column) -> Column:
+        return F.struct(
+            s["w"].alias("words"),
+            F.size(s["w"]).cast("long").alias("n_words"),
+            F.length(without(s["b"], " ")).cast("long").alias("word_chars"),
+            (F.length(t) - F.length(without(t, SYMBOLS))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
+            repeat_words(s["w"]).cast("long").alias("n_repeat_words"),
+        )
+
+    return let(let(blanked(t), lambda b: F.struct(b.alias("b"), F.array_remove(F.split(b, " "), "").alias("w"))), count)
+
+
+def base_failed(f: Column) -> Column:
+    return (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: a predicate on the __q_ columns, true for a bad text."""
+    """rejects: from the features of a text to a predicate, true for a bad text."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Column], Column]
 
 
 def default_rules() -> list[Rule]:
-    words, n = F.col("__q_words"), F.col("__q_n_words")
     return [
-        Rule("word_length", (F.col("__q_word_chars") < 2 * n) | (F.col("__q_word_chars") > 14 * n)),
-        Rule("symbols", 10 * F.col("__q_n_symbols") > n),
-        Rule("repeated_lines", 10 * F.col("__q_lines.dup") > 3 * F.col("__q_lines.n")),
-        Rule("capitals", 2 * F.size(F.filter(words, lambda x: (F.upper(x) == x) & (F.lower(x) != x))) > n),
-        Rule("no_letters", 10 * F.size(F.filter(words, lambda x: F.lower(x) != F.upper(x))) < 7 * n),
+        Rule("word_length", lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 14 * f["n_words"])),
+        Rule("symbols", lambda f: 10 * f["n_symbols"] > f["n_words"]),
+        Rule("repeated_lines", lambda f: 10 * f["lines"]["dup"] > 3 * f["lines"]["n"]),
+        Rule("capitals", lambda f: 2 * F.size(F.filter(f["words"], lambda x: (F.upper(x) == x) & (F.lower(x) != x))) > f["n_words"]),
+        Rule("no_letters", lambda f: 10 * F.size(F.filter(f["words"], lambda x: F.lower(x) != F.upper(x))) < 7 * f["n_words"]),
     ]
 
 
 def order_rules(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
-    """rules by rejections per second on sample, best first; ties keep the given order."""
+    """rules by rejections per second on the features (column `f`) of sample, best first; ties keep the given order."""
 
     def run(*columns: Column):
         began = time.perf_counter()
@@ -117,7 +122,7 @@ def order_rules(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
     idle = min(run()[0] for _ in range(2))
     rates = []
     for rule in rules:
-        took, row = run(F.sum(rule.rejects.cast("long")))
+        took, row = run(F.sum(rule.rejects(F.col("f")).cast("long")))
         rates.append(((row[1] or 0) / max(1, row[0])) / max(1e-3, took - idle))
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -rates[i])]
 
@@ -131,21 +136,19 @@ def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", rules
     rules = list(rules if rules is not None else default_rules())
     if len(rules) > 1:
         n = docs.count()
-        sample = docs.select(F.col(text)).sample(fraction=min(1.0, 2 * sample_rows / max(1, n)), seed=seed).limit(sample_rows)
-        sample = with_base(sample, text).drop("__q_blank").persist()
+        sample = docs.select(F.col(text).alias("t")).sample(fraction=min(1.0, 2 * sample_rows / max(1, n)), seed=seed).limit(sample_rows)
+        sample = sample.select(features(F.col("t")).alias("f")).persist()
         rules = order_rules(sample, rules)
         sample.unpersist()
-    verdict = F.when(F.col("__q_base_failed"), False)
-    for rule in rules:
-        verdict = verdict.when(rule.rejects, False)
-    judged = with_base(docs, text).withColumn(
-        "__quality",
-        F.struct(
-            F.col("__q_n_words").alias("n_words"), F.col("__q_word_chars").alias("word_chars"), F.col("__q_n_symbols").alias("n_symbols"), F.col("__q_lines.dup").alias("n_dup_lines"),
-            F.col("__q_n_repeat_words").alias("n_repeat_words"), F.col("__q_base_failed").alias("base_failed"), verdict.otherwise(True).alias("kept"),
-        ),
-    )
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], "__quality")
+
+    def judge(f: Column) -> Column:
+        verdict = F.when(base_failed(f), False)
+        for rule in rules:
+            verdict = verdict.when(rule.rejects(f), False)
+        columns = [f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols")] + [f["lines"]["dup"].alias("n_dup_lines"), f["n_repeat_words"].alias("n_repeat_words")]
+        return F.struct(*columns, base_failed(f).alias("base_failed"), verdict.otherwise(True).alias("kept"))
+
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], let(features(F.col(text)), judge).alias("__quality"))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
