@@ -68,6 +68,16 @@ def orient_like(pts: Column, ref: Column) -> Column:
     return F.when(ref.isNull() | (mean_distance(pts, ref) <= mean_distance(F.reverse(pts), ref)), pts).otherwise(F.reverse(pts))
 
 
+def continuity(pts: Column, prev: Column, head_at_edge: Column, tail_at_edge: Column) -> Column:
+    """Costs (same, flip) of keeping or reversing pts after prev: distances of the ends, or, where exactly one end is cut by
+    the edge, of the free end alone."""
+    first, last, before, behind = F.element_at(pts, 1), F.element_at(pts, -1), F.element_at(prev, 1), F.element_at(prev, -1)
+    both = F.struct((dist(first, before) + dist(last, behind)).alias("same"), (dist(first, behind) + dist(last, before)).alias("flip"))
+    head_cut = F.struct(dist(last, behind).alias("same"), dist(last, before).alias("flip"))
+    tail_cut = F.struct(dist(first, before).alias("same"), dist(first, behind).alias("flip"))
+    return F.when(head_at_edge & ~tail_at_edge, head_cut).when(tail_at_edge & ~head_at_edge, tail_cut).otherwise(both)
+
+
 def centroid(pts: Column) -> Column:
     """Mean of the visible points."""
     return let(F.filter(pts, lambda p: p.isNotNull()), lambda v: F.when(F.size(v) > 0, F.struct((total(F.transform(v, lambda p: p["x"])) / F.size(v)).alias("x"), (total(F.transform(v, lambda p: p["y"])) / F.size(v)).alias("y"))))

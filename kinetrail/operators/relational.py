@@ -181,11 +181,18 @@ def global_threshold(df: DataFrame, keys: list[str], contrast: str, background:
     return kept.groupBy(*keys).agg(median(F.col(t) + 0.55 * (F.col(background) - F.col(t))).alias("threshold"), F.count(F.lit(1)).alias("n"))
 
 
-def classify_components(df: DataFrame, keys: list[str], area: str, clean: Column, n_end: str, width_cv: str, least: int = 20) -> DataFrame:
-    """cluster / small_fragment / single from quantiles of the clean components of the key (of all, where fewer than `least` are clean)."""
+#: Sizes relative to the video's 90th percentile and median of single components.
+CLUSTER_AREA, BRANCHED_AREA, FRAGMENT_AREA = 1.5, 1.2, 0.15
+BRANCHED_SPUR, BRANCHED_ENDS, BRANCHED_WIDTH = 0.15, 4, 0.35
+
+
+def classify_components(df: DataFrame, keys: list[str], area: str, clean: Column, loop: Column, spur: str, n_end: str, width_cv: str, border: Column, least: int = 20) -> DataFrame:
+    """cluster / small_fragment / single, by the areas of the clean components of the key (of all, where fewer than `least`
+    are clean): a cluster is a loop, much larger than most single ones, or branched and larger; a fragment is small and inside."""
     a = F.col(area)
     stats = df.groupBy(*keys).agg(F.count_if(clean).alias("__n"), median(F.when(clean, a)).alias("__mc"), p90(F.when(clean, a)).alias("__pc"), median(a).alias("__ma"), p90(a).alias("__pa"))
     few = F.col("__n") < least
     stats = stats.select(*keys, F.when(few, F.col("__ma")).otherwise(F.col("__mc")).alias("a_med"), F.when(few, F.col("__pa")).otherwise(F.col("__pc")).alias("a_p90"))
-    kind = F.when((a > 1.5 * F.col("a_p90")) | ((a > 1.25 * F.col("a_med")) & ((F.col(n_end) > 2) | (F.col(width_cv) > 0.5))), "cluster").when(a < 0.4 * F.col("a_med"), "small_fragment").otherwise("single")
+    branched = (F.col(spur) > BRANCHED_SPUR) & (a > BRANCHED_AREA * F.col("a_p90")) & ((F.col(n_end) >= BRANCHED_ENDS) | (F.coalesce(F.col(width_cv), F.lit(0.0)) > BRANCHED_WIDTH))
+    kind = F.when(loop | (a > CLUSTER_AREA * F.col("a_p90")) | branched, "cluster").when((a < FRAGMENT_AREA * F.col("a_med")) & ~border, "small_fragment").otherwise("single")
     return df.join(stats, keys).withColumn("kind", kind)

@@ -56,9 +56,9 @@ def min_point_distance(spark, d):
     return matching.min_distances(mid(spark, d), ["frame"], "vec_id", "pts").withColumn("d", F.round("d", 6))
 
 
-@query(f"""WITH {MID}, e AS (SELECT t.vec_id, t.frame, t.x, t.y, (t.x - n.x) / sqrt((t.x - n.x) ** 2 + (t.y - n.y) ** 2) AS tx, (t.y - n.y) / sqrt((t.x - n.x) ** 2 + (t.y - n.y) ** 2) AS ty FROM mp t JOIN mp n ON n.vec_id = t.vec_id AND ((t.i = 0 AND n.i = 3) OR (t.i = 31 AND n.i = 28))),
+@query(f"""WITH {MID}, e AS (SELECT t.vec_id, t.frame, t.x, t.y, (t.x - n.x) / sqrt((t.x - n.x) ** 2 + (t.y - n.y) ** 2) AS tx, (t.y - n.y) / sqrt((t.x - n.x) ** 2 + (t.y - n.y) ** 2) AS ty FROM mp t JOIN mp n ON n.vec_id = t.vec_id AND ((t.i = 0 AND n.i = 4) OR (t.i = 31 AND n.i = 27))),
 j AS (SELECT a.frame, a.vec_id AS a, b.vec_id AS b, b.x - a.x AS dx, b.y - a.y AS dy, a.tx, a.ty, b.tx AS ux, b.ty AS uy FROM e a JOIN e b ON a.frame = b.frame AND a.vec_id < b.vec_id)
-SELECT frame, a, b, round(min(sqrt(dx ** 2 + dy ** 2)), 6) AS d FROM j WHERE sqrt(dx ** 2 + dy ** 2) <= 0.5 AND tx * dx + ty * dy >= 0.5 * sqrt(dx ** 2 + dy ** 2) AND -(ux * dx + uy * dy) >= 0.5 * sqrt(dx ** 2 + dy ** 2) GROUP BY frame, a, b""")
+SELECT frame, a, b, round(min(sqrt(dx ** 2 + dy ** 2)), 6) AS d FROM j WHERE sqrt(dx ** 2 + dy ** 2) <= 0.5 AND tx * dx + ty * dy > 0.5 * sqrt(dx ** 2 + dy ** 2) AND -(ux * dx + uy * dy) > 0.5 * sqrt(dx ** 2 + dy ** 2) GROUP BY frame, a, b""")
 def two_pieces(spark, d):
     return matching.two_pieces(mid(spark, d), ["frame"], "vec_id", "pts", 0.5, 0.5).withColumn("d", F.round("d", 6))
 
@@ -79,9 +79,16 @@ def orient_like(spark, d):
     return exploded(m.select("vec_id", g.orient_like(F.col("pts"), F.col("prev")).alias("p")), ["vec_id"])
 
 
-@query(f"WITH {ORIENT} SELECT pr.track, pr.vec_id, sum(CASE WHEN flip < same THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame, pr.vec_id) % 2 = 1 AS flipped FROM pr LEFT JOIN ds USING (vec_id)")
+@query(f"""WITH {MID}, e AS (SELECT vec_id, max(x) FILTER (i = 0) AS hx, max(y) FILTER (i = 0) AS hy, max(x) FILTER (i = 31) AS tx, max(y) FILTER (i = 31) AS ty FROM mp GROUP BY vec_id),
+pr AS (SELECT vec_id, track, frame, lag(vec_id) OVER (PARTITION BY track ORDER BY frame, vec_id) AS p FROM mid),
+c AS (SELECT pr.vec_id, pr.track, pr.frame, e.hx > 1 AS he, e.tx > 1 AS te, sqrt((e.hx - q.hx) ** 2 + (e.hy - q.hy) ** 2) AS hh, sqrt((e.tx - q.tx) ** 2 + (e.ty - q.ty) ** 2) AS tt, sqrt((e.hx - q.tx) ** 2 + (e.hy - q.ty) ** 2) AS ht, sqrt((e.tx - q.hx) ** 2 + (e.ty - q.hy) ** 2) AS th
+FROM pr JOIN e USING (vec_id) LEFT JOIN e q ON q.vec_id = pr.p), f AS (SELECT *, CASE WHEN he AND NOT te THEN th < tt WHEN te AND NOT he THEN ht < hh ELSE ht + th < hh + tt END AS rel FROM c)
+SELECT track, vec_id, sum(CASE WHEN rel THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame, vec_id) % 2 = 1 AS flipped FROM f""")
 def orient_chain(spark, d):
-    m = with_previous(spark, d).withColumn("at", F.struct("frame", "vec_id"))
+    w = series.by(["track"], "frame", "vec_id")
+    m = mid(spark, d).withColumns({"prev": F.lag("pts").over(w), "at": F.struct("frame", "vec_id")})
+    p = F.col("pts")
+    m = m.withColumn("c", g.continuity(p, F.col("prev"), F.element_at(p, 1)["x"] > 1, F.element_at(p, -1)["x"] > 1)).select("track", "vec_id", "at", "c.same", "c.flip")
     return series.orientation_parity(m, ["track"], "at", "same", "flip").select("track", "vec_id", "flipped")
 
 
@@ -178,15 +185,20 @@ def tracklet_assign(spark, d):
     return matching.assign_tracklets(found, labels, "frame", "tracklet", "track", g.flip_distance(F.col("w"), F.col("pts")), 3, 5.0).withColumn("med", F.round("med", 6))
 
 
-@query(f"""WITH {DET}, sg AS (SELECT vec_id, sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2) AS d FROM mp WINDOW w AS (PARTITION BY vec_id ORDER BY i)), le AS (SELECT vec_id, sum(d) AS len FROM sg GROUP BY vec_id), m AS (SELECT det.*, len, max(len) OVER (PARTITION BY frame) AS longest FROM det JOIN le ON vec_id = det_id),
-k AS (SELECT frame, det_id, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det_id) AS r1, row_number() OVER (PARTITION BY frame ORDER BY round(len, 9) DESC, det_id) AS r2, row_number() OVER (PARTITION BY frame ORDER BY model = 'ft' DESC, score DESC, det_id) AS r3,
-row_number() OVER (PARTITION BY frame ORDER BY (model = 'ft' AND round(len, 9) >= 0.85 * round(longest, 9)) DESC, score DESC, det_id) AS r4 FROM m)
-SELECT frame, max(det_id) FILTER (r1 = 1) AS score, max(det_id) FILTER (r2 = 1) AS longest, max(det_id) FILTER (r3 = 1) AS ftfirst, max(det_id) FILTER (r4 = 1) AS ftsafe FROM k GROUP BY frame""")
+TARGET = 8.0
+
+
+@query(f"""WITH {DET}, sg AS (SELECT vec_id, sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2) AS d FROM mp WINDOW w AS (PARTITION BY vec_id ORDER BY i)), le AS (SELECT vec_id, round(sum(d), 9) AS len FROM sg GROUP BY vec_id), m AS (SELECT det.*, len, abs(len - {TARGET}) AS away FROM det JOIN le ON vec_id = det_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det_id) AS r1, row_number() OVER (PARTITION BY frame ORDER BY len DESC, score DESC, det_id) AS r2, row_number() OVER (PARTITION BY frame ORDER BY model = 'ft' DESC, score DESC, det_id) AS r3, row_number() OVER (PARTITION BY frame ORDER BY away, score DESC, det_id) AS r4,
+row_number() OVER (PARTITION BY frame, model ORDER BY score DESC, det_id) AS rm FROM m),
+f AS (SELECT frame, max(det_id) FILTER (rm = 1 AND model = 'ft') AS fi, max(len) FILTER (rm = 1 AND model = 'ft') AS fl, max(away) FILTER (rm = 1 AND model = 'ft') AS fa, max(det_id) FILTER (rm = 1 AND model <> 'ft') AS oi, max(away) FILTER (rm = 1 AND model <> 'ft') AS oa FROM k GROUP BY frame)
+SELECT k.frame, max(det_id) FILTER (r1 = 1) AS score, max(det_id) FILTER (r2 = 1) AS longest, max(det_id) FILTER (r3 = 1) AS ftfirst, max(det_id) FILTER (r4 = 1) AS "nearL",
+any_value(CASE WHEN fi IS NULL OR (NOT fl BETWEEN 0.85 * {TARGET} AND 1.15 * {TARGET} AND oa < fa) THEN oi ELSE fi END) AS ftsafe FROM k JOIN f ON f.frame = k.frame GROUP BY k.frame""")
 def rep_rules(spark, d):
     m = det(spark, d).select("frame", "det_id", "model", F.col("score").alias("sc"), F.round(g.arc_length(F.col("pts")), 9).alias("len"))
     out = None
-    for rule in ("score", "longest", "ftfirst", "ftsafe"):
-        one = matching.pick_representative(m, ["frame"], rule, "sc", "len", "model", "det_id").withColumnRenamed("member", rule)
+    for rule in ("score", "longest", "ftfirst", "nearL", "ftsafe"):
+        one = matching.pick_representative(m, ["frame"], rule, "sc", "len", "model", "det_id", TARGET).withColumnRenamed("member", rule)
         out = one if out is None else out.join(one, "frame")
     return out
 

@@ -221,9 +221,12 @@ def lookup_default(spark, d):
 
 @query(f"""WITH {LINE}, s AS (SELECT l_linestatus, count(*) FILTER (c) AS n, quantile_cont(l_extendedprice, 0.5) FILTER (c) AS mc, quantile_cont(l_extendedprice, 0.9) FILTER (c) AS pc, quantile_cont(l_extendedprice, 0.5) AS ma, quantile_cont(l_extendedprice, 0.9) AS pa FROM (SELECT *, l_discount > 0.03 AS c FROM li) GROUP BY l_linestatus),
 k AS (SELECT l_linestatus, CASE WHEN n < 20 THEN ma ELSE mc END AS m, CASE WHEN n < 20 THEN pa ELSE pc END AS p FROM s)
-SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice > 1.5 * p OR (l_extendedprice > 1.25 * m AND (l_linenumber > 2 OR l_tax > 0.5)) THEN 'cluster' WHEN l_extendedprice < 0.4 * m THEN 'small_fragment' ELSE 'single' END AS kind FROM li JOIN k USING (l_linestatus)""")
+SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND l_tax > 0.06 OR l_extendedprice > 1.5 * p OR (l_tax * 10 > 0.15 AND l_extendedprice > 1.2 * p AND (l_linenumber >= 4 OR l_discount > 0.35)) THEN 'cluster' WHEN l_extendedprice < 0.15 * m AND l_linestatus <> 'O' THEN 'small_fragment' ELSE 'single' END AS kind FROM li JOIN k USING (l_linestatus)""")
 def const_crossjoin(spark, d):
-    return r.classify_components(line(spark, d), ["l_linestatus"], "l_extendedprice", F.col("l_discount") > 0.03, "l_linenumber", "l_tax").select("l_orderkey", "l_linenumber", "kind")
+    li = line(spark, d).withColumns({"spur": F.col("l_tax") * 10})
+    loop = (F.col("l_returnflag") == "A") & (F.col("l_tax") > 0.06)
+    kinds = r.classify_components(li, ["l_linestatus"], "l_extendedprice", F.col("l_discount") > 0.03, loop, "spur", "l_linenumber", "l_discount", F.col("l_linestatus") == "O")
+    return kinds.select("l_orderkey", "l_linenumber", "kind")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events")

@@ -282,8 +282,8 @@ def ema_state(spark, d):
 
 
 @query(f"""WITH {MERGED}, c AS (SELECT track, frame, cx FROM pts WHERE core), q AS (SELECT track, a AS ep, a, b FROM ep),
-j AS (SELECT q.*, c.frame AS f, CASE WHEN a - c.frame BETWEEN 1 AND 2 THEN 0 WHEN c.frame - b BETWEEN 1 AND 2 THEN 1 ELSE 2 END AS side, CASE WHEN a - c.frame BETWEEN 1 AND 2 THEN a - c.frame WHEN c.frame - b BETWEEN 1 AND 2 THEN c.frame - b ELSE -cx END AS cost
-FROM q JOIN c ON c.track = q.track AND c.frame BETWEEN a - 10 AND b + 10 AND NOT c.frame BETWEEN a AND b), k AS (SELECT *, row_number() OVER (PARTITION BY track, ep ORDER BY side, cost, f) AS r FROM j) SELECT track, ep, f AS frame, side FROM k WHERE r = 1""")
+j AS (SELECT q.*, c.frame AS f, CASE WHEN a - c.frame BETWEEN 0 AND 2 THEN 0 WHEN c.frame - b BETWEEN 0 AND 2 THEN 1 ELSE 2 END AS side, CASE WHEN a - c.frame BETWEEN 0 AND 2 THEN a - c.frame WHEN c.frame - b BETWEEN 0 AND 2 THEN c.frame - b ELSE -cx END AS cost
+FROM q JOIN c ON c.track = q.track AND c.frame BETWEEN a - 10 AND b + 10), k AS (SELECT *, row_number() OVER (PARTITION BY track, ep ORDER BY side, cost, f DESC) AS r FROM j) SELECT track, ep, f AS frame, side FROM k WHERE r = 1""")
 def prompt_search(spark, d):
     from ..operators.matching import prompt_frames
 

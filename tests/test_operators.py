@@ -24,7 +24,7 @@ def test_hungarian_is_optimal(n, m, seed):
     assert math.isclose(sum(cost[i, j] for i, j in pairs), best)
 
 
-def worm(v=0.1, f=0.5, wave=0.7, amp=0.08, frames=400, fps=10.0, length=500.0, turn_at=None):
+def wave_body(v=0.1, f=0.5, wave=0.7, amp=0.08, frames=400, fps=10.0, length=500.0, turn_at=None):
     """A travelling sine wave of known speed, frequency, wavelength and amplitude (in lengths)."""
     t = np.arange(frames) / fps
     s = np.linspace(0, 1, 49)
@@ -35,25 +35,25 @@ def worm(v=0.1, f=0.5, wave=0.7, amp=0.08, frames=400, fps=10.0, length=500.0, t
 
 
 def test_known_features():
-    p = worm()
+    p = wave_body()
     out = pose_features.features(p, 10.0)
     assert abs(out["speed_bl_s"] * out["L_px"] / 500 - 0.1) < 0.03  # the centre also sways
     assert abs(out["freq_hz"] - 0.5) < 0.13 and abs(out["freq_zc_hz"] - 0.5) < 0.1
     assert abs(out["amp_bl"] * out["L_px"] / 500 - 0.08) < 0.02
     assert out["frac_move"] > 0.95 and out["frac_forward"] > 0.9 and out["rev_per_min"] == 0
-    still = pose_features.features(worm(v=0.0, f=0.0), 10.0)
+    still = pose_features.features(wave_body(v=0.0, f=0.0), 10.0)
     assert still["frac_pause"] == 1.0 and still["frac_move"] == 0.0
-    back = pose_features.features(worm(turn_at=20.0), 10.0)
+    back = pose_features.features(wave_body(turn_at=20.0), 10.0)
     assert 0 < back["rev_per_min"] <= 3 and back["frac_backward"] > 0.3
 
 
 def test_features_need_evidence():
-    p = worm(frames=20)
+    p = wave_body(frames=20)
     assert pose_features.features(p, 10.0) is None
-    hidden = worm()
+    hidden = wave_body()
     hidden[:, 20] = np.nan
     assert pose_features.features(hidden, 10.0) is None
-    cut = worm()
+    cut = wave_body()
     cut[:, 45:] = np.nan
     assert pose_features.features(cut, 10.0) is None
     assert pose_features.features(cut, 10.0, body=500.0)["L_px"] == 500.0
@@ -193,3 +193,30 @@ def test_medians_leave_nulls_out(spark, fn):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "x double")
     want = np.percentile([1.0, 3.0], 50 if fn is relational.median else 90)
     assert math.isclose(df.agg(fn("x").alias("m")).first()["m"], want)
+
+
+def test_orientation_parity_equals_the_loop(spark):
+    """Head/tail continuity with the free-end rule at an edge, decided frame by frame."""
+    rng = np.random.default_rng(8)
+    bodies = [rng.random((5, 2)) for _ in range(120)]
+    rows = [("v", f, [{"x": float(x), "y": float(y)} for x, y in b]) for f, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "k string, f int, p array<struct<x:double,y:double>>")
+    p = F.col("p")
+    df = df.withColumn("prev", F.lag("p").over(series.by(["k"], "f")))
+    df = df.withColumn("c", g.continuity(p, F.col("prev"), F.element_at(p, 1)["x"] > 0.7, F.element_at(p, -1)["x"] > 0.7)).select("k", "f", "c.*")
+    got = [r["flipped"] for r in series.orientation_parity(df, ["k"], "f", "same", "flip").orderBy("f").collect()]
+    d = lambda a, b: float(np.hypot(*(a - b)))
+    want, prev = [], None
+    for b in bodies:
+        flipped = False
+        if prev is not None:
+            head, tail = b[0, 0] > 0.7, b[-1, 0] > 0.7
+            if head != tail:
+                free = b[-1] if head else b[0]
+                near, far = d(free, prev[0]), d(free, prev[-1])
+                flipped = (near < far) if head else (far < near)
+            else:
+                flipped = d(b[0], prev[-1]) + d(b[-1], prev[0]) < d(b[0], prev[0]) + d(b[-1], prev[-1])
+        prev = b[::-1] if flipped else b
+        want.append(bool(flipped))
+    assert got == want
