@@ -92,26 +92,31 @@ def all_visible(pts: Column, first: int = 0, last: int | None = None) -> Column:
     return F.forall(part, lambda p: p.isNotNull())
 
 
-def resample(pts: Column, n: int) -> Column:
-    """n points at equal arc distances, by linear interpolation; end points are kept."""
+def with_lengths(pts: Column) -> Column:
+    """Points p and the arc length cs at each."""
+    cs = F.aggregate(steps(pts), F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)))
+    return F.struct(pts.alias("p"), cs.alias("cs"))
 
-    def at_lengths(s: Column) -> Column:
-        p, cs = s["p"], s["cs"]
-        length = F.element_at(cs, -1)
 
-        def point(k: Column) -> Column:
-            t = k * length / (n - 1)
-            j = F.least(F.size(F.filter(cs, lambda c: c <= t)), F.size(cs) - 1)  # the segment's end
-            j = F.greatest(j, F.lit(1))
-            seg = F.get(cs, j) - F.get(cs, j - 1)
-            w = F.when(seg > 0, (t - F.get(cs, j - 1)) / seg).otherwise(F.lit(0.0))
-            a, b = F.get(p, j - 1), F.get(p, j)
-            return F.struct((a["x"] + (b["x"] - a["x"]) * w).alias("x"), (a["y"] + (b["y"] - a["y"]) * w).alias("y"))
+def at_length(s: Column, t: Column) -> Column:
+    """The point of s (from with_lengths) at arc length t."""
+    end = F.greatest(F.least(F.size(F.filter(s["cs"], lambda c: c <= t)), F.size(s["cs"]) - 1), F.lit(1))  # of the segment
 
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
+    def between(v: Column) -> Column:
+        c, a, b = v["c"], v["a"], v["b"]
+        w = F.when(v["d"] > c, (t - c) / (v["d"] - c)).otherwise(F.lit(0.0))
+        return let(w, lambda w: F.struct((a["x"] + (b["x"] - a["x"]) * w).alias("x"), (a["y"] + (b["y"] - a["y"]) * w).alias("y")))
 
-    cs = F.aggregate(steps(pts), F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)))
-    return F.when(F.size(pts) > 1, let(F.struct(pts.alias("p"), cs.alias("cs")), at_lengths))
+    return let(let(end, lambda j: F.struct(F.get(s["cs"], j - 1).alias("c"), F.get(s["cs"], j).alias("d"), F.get(s["p"], j - 1).alias("a"), F.get(s["p"], j).alias("b"))), between)
+
+
+def resample(pts: Column, n: int) -> Column:
+    """n points at equal arc distances, by linear interpolation; end points are kept."""
+
+    def run(s: Column) -> Column:
+        return let(F.element_at(s["cs"], -1), lambda length: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: let(k * length / (n - 1), lambda t: at_length(s, t))))
+
+    return F.when(F.size(pts) > 1, let(with_lengths(pts), run))
 
 
 def reflected(i: Column, n: Column) -> Column:
@@ -228,25 +233,15 @@ def end_statuses(length: Column, body: Column, head_at_edge: Column, tail_at_edg
 def arc_labels(pts: Column, body: Column, status: Column, n: int) -> Column:
     """n points at equal arc distances of the whole body; those beyond the visible midline are null. A cut head is counted from the tail on."""
 
-    def place(s: Column) -> Column:
-        p, cs, length = s["p"], s["cs"], s["body"]
-        seen = F.element_at(cs, -1)
-        whole = s["status"] == "full"
+    def run(s: Column) -> Column:
+        seen = F.element_at(s["line"]["cs"], -1)
+        exact = lambda t: F.when(F.abs(t) < 1e-9, F.lit(0.0)).when(F.abs(t - seen) < 1e-9, seen).otherwise(t)  # noqa: E731  ends are hit despite rounding
+        place = lambda k: F.when(s["status"] == "full", k * seen / (n - 1)).when(s["status"] == "head_cut", seen - (n - 1 - k) * s["body"] / (n - 1)).otherwise(k * s["body"] / (n - 1))
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: let(let(place(k), exact), lambda t: F.when((t >= 0) & (t <= seen), at_length(s["line"], t))))
 
-        def point(k: Column) -> Column:
-            t = F.when(whole, k * seen / (n - 1)).when(s["status"] == "head_cut", seen - (n - 1 - k) * length / (n - 1)).otherwise(k * length / (n - 1))
-            t = F.when(F.abs(t) < 1e-9, F.lit(0.0)).when(F.abs(t - seen) < 1e-9, seen).otherwise(t)
-            j = F.greatest(F.least(F.size(F.filter(cs, lambda c: c <= t)), F.size(cs) - 1), F.lit(1))
-            seg = F.get(cs, j) - F.get(cs, j - 1)
-            w = F.when(seg > 0, (t - F.get(cs, j - 1)) / seg).otherwise(F.lit(0.0))
-            a, b = F.get(p, j - 1), F.get(p, j)
-            return F.when((t >= 0) & (t <= seen), F.struct((a["x"] + (b["x"] - a["x"]) * w).alias("x"), (a["y"] + (b["y"] - a["y"]) * w).alias("y")))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
-
-    cs = F.aggregate(steps(pts), F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)))
-    placed = let(F.struct(pts.alias("p"), cs.alias("cs"), body.alias("body"), status.alias("status")), place)
-    return F.when(status.isin("both_ends_cut", "visible_longer_than_body"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lit(None).cast("struct<x:double,y:double>"))).otherwise(placed)
+    placed = let(F.struct(with_lengths(pts).alias("line"), body.alias("body"), status.alias("status")), run)
+    nothing = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lit(None).cast("struct<x:double,y:double>"))
+    return F.when(status.isin("both_ends_cut", "visible_longer_than_body"), nothing).otherwise(placed)
 
 
 def evenly(n: Column, k: int | Column) -> Column:
