@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text
+from .common import flat_text, pieces_of
+from .components import written
 from .words import Words
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
@@ -127,13 +128,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """
     spark = docs.sparkSession
     out = docs.withColumn("__leak", F.expr("named_struct('n_words', 0L, 'spans', cast(array() as array<struct<a:int,b:int>>), 'items', cast(array() as array<string>))"))
-    blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
-    for i, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(_pass(shared, text, span, k), out.schema)
-        if i % 32 == 31:
-            out = out.checkpoint()
-    if not isinstance(locals().get("i"), int):  # no item has a text: words are still counted
+    n = 0
+    for block in benchmark_blocks(benchmark, item_id, item_text, block_bytes):
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), text, span, k), out.schema)
+        n += 1
+        if n % 32 == 0:
+            out = written(out, "leaks")
+    if not n:  # no item has a text: words are still counted
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast([]), text, span, k), out.schema)
     return out
 
@@ -142,7 +143,7 @@ def _pass(shared, text: str, span: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index([x[0] for x in shared.value], [x[1] for x in shared.value], span, k)
         for whole in batches:
-            for batch in _slices(whole, text):
+            for batch in pieces_of(whole, text, 8 << 20):
                 words = Words(*flat_text(batch.column(text)))
                 spans, items = defaultdict(list), defaultdict(set)
                 for a, b, item in index.hits(words, {}):
@@ -167,16 +168,6 @@ def _pass(shared, text: str, span: int, k: int):
     return run
 
 
-def _slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """batch in pieces of about `most` bytes of text."""
-    _, offsets = flat_text(batch.column(text))
-    a = 0
-    while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
-        yield batch.slice(a, b - a)
-        a = b
-
-
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones, same columns."""
     return decontaminate(docs, benchmark, **options).where(F.size("__leak.spans") == 0).drop("__leak")

@@ -12,7 +12,7 @@ verified group leave the tasks; classes are the connected components of the link
 
 Defined cases: a null, empty or wordless text has no n-grams, no links and a class of its own (such texts are not copies of each
 other); a text with fewer words than n has one n-gram of all its words; repeated rows and equal sets share a class;
-a null doc_id takes no part and comes back with a null class; an empty table gives an empty result; other columns are left out.
+of texts with one id one counts in verification (the least set); a null doc_id takes no part and comes back with a null class; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -166,14 +166,14 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int =
     used = prefix_depth(threshold, recall, trees, depth)
     signed = written(sign(rows.where("id is not null"), n, trees, used), "signed")
     classes = signed.where("size > 0").groupBy("key1", "key2").agg(F.min("id").alias("rep"))
-    reps = signed.where("size > 0").join(classes, ["key1", "key2"]).where("id = rep").dropDuplicates(["id"]).select("id", "prefixes")
+    reps = signed.where("size > 0").join(classes, ["key1", "key2"]).where("id = rep").groupBy("id").agg(F.min_by("prefixes", F.struct("key1", "key2")).alias("prefixes"))
     leaves = reps.select("id", F.posexplode("prefixes").alias("tree", "prefix"))
     # prefix groups with two members or more; counts are pre-aggregated
     groups = leaves.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     live = leaves.join(groups, ["tree", "prefix"]).groupBy("id").agg(F.collect_list(F.struct("tree", "prefix", "members")).alias("groups"))
     live = live.join(reps, "id")
     members = rows.where("id is not null").join(live, "id").mapInArrow(_members(n, block), "tree int, prefix long, i int, j int, b int, id long, prefixes binary, grams binary")
-    sorted_members = members.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "id")
+    sorted_members = members.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "id", "grams")
     verified = written(sorted_members.mapInArrow(_verify(threshold), "id long, root long, links long"), "links")
     links = verified.groupBy("id").agg(F.sum("links").alias("n"))
     roots = components(verified.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
