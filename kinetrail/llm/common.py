@@ -65,7 +65,7 @@ def flat_text(array) -> tuple[np.ndarray, np.ndarray]:
 class WordCache:
     """Token ids of words seen, in one flat array; encode_new(words) gives (flat ids, lengths) of words not seen before. Holds at most max_words after a batch."""
 
-    def __init__(self, encode_new, max_words: int = 400_000):
+    def __init__(self, encode_new, max_words: int = 200_000):
         self.encode_new, self.max_words = encode_new, max_words
         self.clear()
 
@@ -92,7 +92,7 @@ class WordCache:
         return self.flat[spans_to_index(self.starts[at], lengths)], lengths
 
 
-def pieces_of(batch, text: str, most: int = 4 << 20):
+def pieces_of(batch, text: str, most: int = 1 << 20):
     """batch in slices of about `most` bytes of text, one row at least."""
     _, offsets = flat_text(batch.column(text))
     a = 0

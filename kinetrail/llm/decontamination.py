@@ -143,7 +143,7 @@ def _pass(shared, text: str, span: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index([x[0] for x in shared.value], [x[1] for x in shared.value], span, k)
         for whole in batches:
-            for batch in pieces_of(whole, text, 8 << 20):
+            for batch in pieces_of(whole, text, 2 << 20):
                 words = Words(*flat_text(batch.column(text)))
                 spans, items = defaultdict(list), defaultdict(set)
                 for a, b, item in index.hits(words, {}):

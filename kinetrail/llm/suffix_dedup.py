@@ -33,7 +33,7 @@ from .words import mix, powers
 
 BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE = 4 << 20
+SLICE = 1 << 20
 RESULT = "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary"
 
 

@@ -14,13 +14,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+_POWERS: dict[int, np.ndarray] = {}
+KEPT = 1 << 21  # longer tables are made anew each time
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    """base**0..n-1 modulo 2**64."""
-    out = np.ones(max(n, 1), np.uint64)
-    if n > 1:
+    """base**0..n-1 modulo 2**64. Not to be written to: tables of up to KEPT numbers are shared."""
+    out = _POWERS.get(base)
+    if out is None or len(out) < n:
+        out = np.ones(max(n, 1), np.uint64)
         out[1:] = np.uint64(base)
         np.multiply.accumulate(out, out=out)
-    return out
+        if n <= KEPT:
+            _POWERS[base] = out
+    return out[: max(n, 1)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,7 +62,7 @@ class Words:
         top = int(max((self.end - self.start).max(initial=0), 1))
         self.hash = np.zeros(len(self.start), np.uint64)
         if len(self.start) and hashed:
-            step = 1 << 22  # powers stay small: words are hashed in runs of bytes
+            step = 1 << 20  # powers stay small: words are hashed in runs of bytes
             for a in range(0, len(self.start), step // 8):
                 s, e = self.start[a : a + step // 8], self.end[a : a + step // 8]
                 lo, hi = s[0], e[-1]
