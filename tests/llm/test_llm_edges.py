@@ -237,6 +237,30 @@ def test_passage_dedup(spark, odd):
     assert not got[1]["spans"] and not got[3]["spans"]
 
 
+def removed(frame, **options):
+    return {r["doc_id"]: (tuple((s["a"], s["b"]) for s in r["spans"]), tuple(r["sources"])) for r in passage_dedup.passage_dedup(frame, **options).collect()}
+
+
+def fresh(n, r):
+    return ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+
+
+def test_passage_dedup_around_a_frequent_line(spark):
+    """Repeats of 60 words around a line of 40 words that 300 other documents hold are all found, by their own partner."""
+    r = random.Random(21)
+    line = fresh(40, r)
+    texts = [[*fresh(70, r), *line, *fresh(70, r)] for _ in range(300)]
+    for _ in range(60):
+        cut = r.randint(1, 19)
+        passage = [*fresh(cut, r), *line, *fresh(20 - cut, r)]
+        texts += [[*fresh(50, r), *passage, *fresh(50, r)] for _ in range(2)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = removed(docs)
+    for i in range(301, 420, 2):
+        assert any(a <= 50 and b >= 110 for a, b in got[i][0]) and i - 1 in got[i][1]
+    assert not any(got[i][0] for i in range(300))
+
+
 def test_compact_windows_against_brute_force():
     r = np.random.default_rng(7)
     for n, least in ((40, 5), (100, 10), (9, 10), (60, 1)):
