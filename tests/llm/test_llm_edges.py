@@ -261,6 +261,21 @@ def test_passage_dedup_around_a_frequent_line(spark):
     assert not any(got[i][0] for i in range(300))
 
 
+def test_passage_dedup_does_not_depend_on_chunks(spark):
+    """An original and 200 copies with one word changed, in one chunk and in many."""
+    r = random.Random(22)
+    passage = fresh(60, r)
+    rows = [(0, " ".join([*fresh(40, r), *passage, *fresh(40, r)]))]
+    for i in range(1, 201):
+        w = list(passage)
+        w[r.randrange(60)] = f"edit{i}"
+        rows.append((i, " ".join([*fresh(40, r), *w, *fresh(40, r)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = removed(docs), removed(docs, chunk_bytes=12_000)
+    assert one == many
+    assert all(one[i][0] for i in range(1, 201)) and not one[0][0]
+
+
 def test_compact_windows_against_brute_force():
     r = np.random.default_rng(7)
     for n, least in ((40, 5), (100, 10), (9, 10), (60, 1)):
