@@ -276,6 +276,37 @@ def test_passage_dedup_does_not_depend_on_chunks(spark):
     assert all(one[i][0] for i in range(1, 201)) and not one[0][0]
 
 
+def test_passages_against_brute_force():
+    """Insertions, edits near an edge and moved sentences, each a passage whose shingles have Jaccard similarity 0.8 or more."""
+    r = random.Random(23)
+
+    def tokens(words):
+        return np.array([zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(len(words) - 4)], np.uint64)
+
+    def case(old, new):
+        before, after = fresh(70, r), fresh(70, r)
+        x, y = tokens([*before, *new, *after]), tokens([*fresh(50, r), *old, *fresh(80, r)])
+        p, q = set(tokens(new).tolist()), set(tokens(old).tolist())
+        anchors = [(int(i), int(j)) for i in range(len(x)) for j in np.flatnonzero(y == x[i])]
+        least = 46
+        assert len(p & q) >= 0.8 * len(p | q)
+        (a, b), *rest = passage_dedup.passages(x, y, anchors, least, 0.8)
+        assert not rest and b - a >= least and abs(a - 70) <= 9 and abs(b - 70 - len(new) + 4) <= 9
+        return anchors, x, y
+
+    w = fresh(90, r)
+    case(w, [*w[:45], *fresh(10, r), *w[45:]])
+    case([*w[:45], *fresh(10, r), *w[45:]], w)
+    for k in (4, 47):
+        v = fresh(52, r)
+        case(v, [*v[:k], "edit", *v[k + 1 :]])
+    v = fresh(120, r)
+    case(v, [*v[:40], *v[80:], *v[40:80]])
+    v = fresh(60, r)
+    anchors, x, y = case(v, v)
+    assert not passage_dedup.passages(x[:100], y, [a for a in anchors if a[0] < 100], 46, 0.8)
+
+
 def test_compact_windows_against_brute_force():
     r = np.random.default_rng(7)
     for n, least in ((40, 5), (100, 10), (9, 10), (60, 1)):
