@@ -12,7 +12,7 @@ verified group leave the tasks; classes are the connected components of the link
 
 Defined cases: a null, empty or wordless text has no n-grams, no links and a class of its own (such texts are not copies of each
 other); a text with fewer words than n has one n-gram of all its words; repeated rows and equal sets share a class;
-of texts with one id one counts in verification (the least set); a null doc_id takes no part and comes back with a null class; an empty table gives an empty result; other columns are left out.
+different texts with one id are members of their own; a null doc_id takes no part and comes back with a null class; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .common import flat_text, pieces_of
 from .components import components, written
 from .words import Words, mix
 
-SIGNED = "id long, size int, key1 long, key2 long, prefixes array<long>"
+SIGNED = "id long, row long, size int, key1 long, key2 long, prefixes array<long>"
 
 
 def prefix_depth(threshold: float, recall: float, trees: int, depth: int) -> int:
@@ -59,7 +59,7 @@ def gram_sets(array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sign(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """id, size of the set, 128 bits that name the set, and the prefix hash of each tree (none for empty sets)."""
+    """id, hash of the text, size of the set, 128 bits that name the set, and the prefix hash of each tree (none for empty sets)."""
     rng = np.random.default_rng(20240229)
     factors = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     salts = rng.integers(1, 1 << 63, trees, dtype=np.uint64)
@@ -82,7 +82,7 @@ def sign(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
                     keys[0, full] = mix(np.add.reduceat(mix(values), first) + sizes[full].astype(np.uint64))
                     keys[1, full] = mix(np.add.reduceat(mix(values ^ salts[0]), first) ^ salts[1 % trees])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, trees, 0))]).astype(np.int32)), pa.array(prefixes[full].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes.astype(np.int32)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], ["id", "size", "key1", "key2", "prefixes"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(sizes.astype(np.int32)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], ["id", "row", "size", "key1", "key2", "prefixes"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -103,9 +103,10 @@ class Group:
 
     def __init__(self, rows: list[tuple], tree: int, threshold: float):
         self.ids = np.array([r[0] for r in rows], np.int64)
-        self.block = np.array([r[1] for r in rows])
-        self.prefixes = np.array([np.frombuffer(r[2], np.int64) for r in rows])
-        sets = [unpacked(r[3]) for r in rows]
+        self.rows = np.array([r[1] for r in rows], np.int64)
+        self.block = np.array([r[2] for r in rows])
+        self.prefixes = np.array([np.frombuffer(r[3], np.int64) for r in rows])
+        sets = [unpacked(r[4]) for r in rows]
         self.sizes = np.array([len(s) for s in sets], np.int64)
         _, column = np.unique(np.concatenate(sets), return_inverse=True)
         self.column, self.begin = column, np.cumsum(self.sizes) - self.sizes
@@ -162,25 +163,37 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int =
 
     block bounds the members of a group that a task holds at once (two blocks); groups of any size are verified whole.
     """
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return _classes(docs, id, text, n, threshold, recall, trees, depth, block).drop("row")
+
+
+def texts(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """id, text and a hash of the text, which tells the texts of one id apart."""
+    return docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
+
+
+def _classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99999, trees: int = 16, depth: int = 8, block: int = 1024) -> DataFrame:
+    """What ngram_join returns, and the hash of the row's text."""
+    rows = texts(docs, id, text)
     used = prefix_depth(threshold, recall, trees, depth)
     signed = written(sign(rows.where("id is not null"), n, trees, used), "signed")
-    classes = signed.where("size > 0").groupBy("key1", "key2").agg(F.min("id").alias("rep"))
-    reps = signed.where("size > 0").join(classes, ["key1", "key2"]).where("id = rep").groupBy("id").agg(F.min_by("prefixes", F.struct("key1", "key2")).alias("prefixes"))
-    leaves = reps.select("id", F.posexplode("prefixes").alias("tree", "prefix"))
+    classes = signed.where("size > 0").groupBy("key1", "key2").agg(F.min(F.struct("id", "row")).alias("rep"))
+    reps = signed.where("size > 0").join(classes, ["key1", "key2"]).where("id = rep.id and row = rep.row").groupBy("id", "row").agg(F.first("prefixes").alias("prefixes"))
+    leaves = reps.select("id", "row", F.posexplode("prefixes").alias("tree", "prefix"))
     # prefix groups with two members or more; counts are pre-aggregated
     groups = leaves.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    live = leaves.join(groups, ["tree", "prefix"]).groupBy("id").agg(F.collect_list(F.struct("tree", "prefix", "members")).alias("groups"))
-    live = live.join(reps, "id")
-    members = rows.where("id is not null").join(live, "id").mapInArrow(_members(n, block), "tree int, prefix long, i int, j int, b int, id long, prefixes binary, grams binary")
-    sorted_members = members.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "id", "grams")
-    verified = written(sorted_members.mapInArrow(_verify(threshold), "id long, root long, links long"), "links")
-    links = verified.groupBy("id").agg(F.sum("links").alias("n"))
-    roots = components(verified.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
-    out = signed.select("id", "key1", "key2", "size").join(classes, ["key1", "key2"], "left").withColumn("rep", F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id")))
-    out = out.select("id", "rep").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("rep_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
-    nobody = rows.where("id is null").select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("rep_id"), F.lit(0).cast("long").alias("n_links"))
+    live = leaves.join(groups, ["tree", "prefix"]).groupBy("id", "row").agg(F.collect_list(F.struct("tree", "prefix", "members")).alias("groups"))
+    live = live.join(reps, ["id", "row"])
+    members = rows.where("id is not null").join(live, ["id", "row"]).mapInArrow(_members(n, block), "tree int, prefix long, i int, j int, b int, id long, row long, prefixes binary, grams binary")
+    sorted_members = members.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "id", "row")
+    verified = written(sorted_members.mapInArrow(_verify(threshold), "id long, row long, root_id long, root_row long, links long"), "links")
+    links = verified.groupBy("id", "row").agg(F.sum("links").alias("n"))
+    links = links.select(F.struct("id", "row").alias("rep"), "n")
+    roots = components(verified.select(F.struct("id", "row").alias("u"), F.struct(F.col("root_id").alias("id"), F.col("root_row").alias("row")).alias("v")).where("u <> v"))
+    out = signed.select("id", "row", "key1", "key2").join(classes, ["key1", "key2"], "left")
+    out = out.withColumn("rep", F.coalesce("rep", F.struct("id", "row"))).select("id", "row", "rep")
+    out = out.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    out = out.select(F.col("id").alias("doc_id"), F.coalesce("root.id", "rep.id").alias("class_id"), F.col("rep.id").alias("rep_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "row")
+    nobody = rows.where("id is null").select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("rep_id"), F.lit(0).cast("long").alias("n_links"), "row")
     return out.unionByName(nobody)
 
 
@@ -188,22 +201,22 @@ def _members(n: int, block: int):
     """Each document once per prefix group and pair of blocks that it is in, with its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tree", "prefix", "i", "j", "b", "id", "prefixes", "grams"]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["tree", "prefix", "i", "j", "b", "id", "row", "prefixes", "grams"]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for whole in batches:
             for batch in pieces_of(whole, "text", 1 << 20):
                 values, bounds = gram_sets(batch.column("text"), n)
                 out: list[tuple] = []
                 held = 0
-                for k, (id, groups, prefixes) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "groups", "prefixes")), strict=True)):
+                for k, (id, row, groups, prefixes) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "row", "groups", "prefixes")), strict=True)):
                     grams = packed(values[bounds[k] : bounds[k + 1]])
                     signature = np.array(prefixes, np.int64).tobytes()
-                    mixed = int(mix(np.array([id], np.int64).view(np.uint64))[0])
+                    mixed = int(mix(np.array([id ^ row], np.int64).view(np.uint64))[0])
                     for g in groups:
                         blocks = -(-g["members"] // block)
                         b = mixed % blocks
                         for other in range(blocks):
-                            out.append((g["tree"], g["prefix"], min(b, other), max(b, other), b, id, signature, grams))
+                            out.append((g["tree"], g["prefix"], min(b, other), max(b, other), b, id, row, signature, grams))
                             held += len(grams) + 200
                             if held > 4 << 20:
                                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names)
@@ -215,12 +228,12 @@ def _members(n: int, block: int):
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], [], []]
 
         def close(key, rows: list[tuple]) -> None:
             # repeated rows of a document are one member
-            rows = [r for k, r in enumerate(rows) if not k or r[0] != rows[k - 1][0]]
-            if len(rows) < 2 or key[2] != key[3] and len({r[1] for r in rows}) < 2:
+            rows = [r for k, r in enumerate(rows) if not k or r[:2] != rows[k - 1][:2]]
+            if len(rows) < 2 or key[2] != key[3] and len({r[2] for r in rows}) < 2:
                 return
             group = Group(rows, key[0], threshold)
             left, right = group.links(key[2] != key[3])
@@ -229,21 +242,18 @@ def _verify(threshold: float):
                 degree = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
                 root = spanning(n, left, right)
                 some = np.flatnonzero(degree)
-                least = np.full(n, np.iinfo(np.int64).max)
-                np.minimum.at(least, root, group.ids)
-                out[0] += group.ids[some].tolist()
-                out[1] += least[root[some]].tolist()
-                out[2] += degree[some].tolist()
+                for column, values in zip(out, (group.ids[some], group.rows[some], group.ids[root[some]], group.rows[root[some]], degree[some]), strict=True):
+                    column += values.tolist()
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["id", "root", "links"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["id", "row", "root_id", "root_row", "links"])
             for x in out:
                 x.clear()
             return batch
 
         key, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("tree", "prefix", "i", "j", "id", "b", "prefixes", "grams")]
+            columns = [batch.column(c).to_pylist() for c in ("tree", "prefix", "i", "j", "id", "row", "b", "prefixes", "grams")]
             for r in zip(*columns, strict=True):
                 if r[:4] != key:
                     if rows:
@@ -259,8 +269,8 @@ def _verify(threshold: float):
     return run
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """docs with the least document of each class only, same columns; documents without id stay."""
-    classes = ngram_join(docs, id=id, **options)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__j_id")).distinct()
-    return docs.join(gone, docs[id] == gone["__j_id"], "left_anti")
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with the least document of each class only, same columns; documents without id stay. Of an id with different texts only the rows of those that are copies go."""
+    gone = _classes(docs, id, text, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__j_id"), F.col("row").alias("__j_row")).distinct()
+    same = (docs[id] == gone["__j_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone["__j_row"])
+    return docs.join(gone, same, "left_anti")

@@ -345,6 +345,20 @@ def test_ngram_join_blocks(spark):
     assert got == [(i, n, 0) for i, n in enumerate(want)]
 
 
+def test_ngram_join_texts_of_one_id(spark):
+    """Each text of an id has its own links, and only copies go."""
+    rows = []
+    for k in range(8):
+        near = prose(200, 50 + k).split()
+        near[7] = "edit"
+        rows += [(10 * k + 1, prose(200, 50 + k)), (10 * k + 2, " ".join(near)), (10 * k + 2, prose(200, 70 + k))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs).collect())
+    assert got == sorted(x for k in range(8) for x in [(10 * k + 1, 10 * k + 1, 1), (10 * k + 2, 10 * k + 1, 1), (10 * k + 2, 10 * k + 2, 0)])
+    kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect())
+    assert kept == sorted(r for i, r in enumerate(rows) if i % 3 != 1)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
