@@ -1,9 +1,9 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join with MinHash banding and exact verification.
 
 Documents become sets of word n-gram hashes. Equal sets are one class, represented by its least document. Each
-representative has one signature per tree of the forest; in every tree the signatures are sorted by prefix, and
-documents that agree on a long enough prefix are candidates. The prefix is shortened from the full depth down until the
-chance that a pair at the threshold shares it in some tree reaches the target recall.
+representative has `trees` band hashes of equally many MinHash values each, and documents that agree on a band are
+candidates. The number of values is the largest, up to `depth`, at which a pair at the threshold shares a band with the
+target recall; it follows from the parameters alone (2 with the defaults) and does not adapt to the data.
 
 Candidates are verified on the sets themselves, inside the sorted prefix group, as products of incidence matrices: no pair
 becomes a row. A pair is counted only in the first tree where it agrees. Large groups are cut into blocks, and each pair
