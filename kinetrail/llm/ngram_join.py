@@ -1,9 +1,12 @@
-"""N-gram Jaccard self-join with MinHash banding and exact verification.
+"""N-gram Jaccard self-join by a MinHash LSH forest and exact verification.
 
 Documents become sets of word n-gram hashes. Equal sets are one class, represented by its least document. Each
-representative has `trees` band hashes of equally many MinHash values each, and documents that agree on a band are
-candidates. The number of values is the largest, up to `depth`, at which a pair at the threshold shares a band with the
-target recall; it follows from the parameters alone (2 with the defaults) and does not adapt to the data.
+representative has `trees` labels of `depth` MinHash values each; the labels of a tree, sorted, are its prefix trie. A
+document's prefix starts at the full depth and is shortened, value by value, until a partner of the least similarity that
+its size admits (at or above the threshold) shares it in some tree with the target recall: a set of few n-grams can only
+reach the threshold well above it, so its prefix stays longer, and sets of up to three n-grams have no partners at 0.8 at
+all. Two documents that agree on the longer one of their prefixes are candidates. The prefix that the largest documents
+need is common to all and deals the tries out to tasks.
 
 Candidates are verified on the sets themselves, inside the sorted prefix group, as products of incidence matrices: no pair
 becomes a row. A pair is counted only in the first tree where it agrees. Large groups are cut into blocks, and each pair
@@ -28,7 +31,10 @@ from .common import flat_text, pieces_of
 from .components import components, written
 from .words import Words, mix
 
-SIGNED = "id long, row long, size int, key1 long, key2 long, prefixes array<long>"
+SIGNED = "id long, row long, size int, key1 long, key2 long, need int, prefixes array<long>, tails array<long>"
+FIELD, FIELDS = 10, 6  # bits of each value beyond the common prefix, and how many such values a label has at most
+MEMBER = "tree int, prefix long, i int, j int, b int, id long, row long, tail long, labels binary, grams binary"
+WIDTH = 1 << 16  # n-grams in a block of an incidence matrix
 
 
 def prefix_depth(threshold: float, recall: float, trees: int, depth: int) -> int:
@@ -38,6 +44,27 @@ def prefix_depth(threshold: float, recall: float, trees: int, depth: int) -> int
     return depth
 
 
+def least_similarity(size: int, threshold: float) -> float | None:
+    """The least Jaccard similarity at or above the threshold that a set of `size` members can have with a different set."""
+    best = None
+    for other in range(max(1, int(size * threshold) - 1), int(size / threshold) + 2):
+        common = int(np.ceil(threshold * (size + other) / (1 + threshold) - 1e-9))
+        if common <= min(size, other) and common < max(size, other):
+            value = common / (size + other - common)
+            best = value if best is None else min(best, value)
+    return best
+
+
+def depths(threshold: float, recall: float, trees: int, depth: int, most: int = 1 << 10) -> np.ndarray:
+    """How long the prefix of a set stays, by its size (up to `most`; larger sets as that); 0 where it has no partner."""
+    out = np.zeros(most + 1, np.int32)
+    for size in range(1, most + 1):
+        value = least_similarity(size, threshold)
+        out[size] = 0 if value is None else prefix_depth(value, recall, trees, depth)
+    out[most] = prefix_depth(threshold, recall, trees, depth)
+    return out
+
+
 def gram_sets(array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of distinct word n-grams of all texts, sorted within each; where each text's begin and the last ends)."""
     words = Words(*flat_text(array))
@@ -58,31 +85,43 @@ def gram_sets(array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(text, np.arange(len(counts) + 1))
 
 
-def sign(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """id, hash of the text, size of the set, 128 bits that name the set, and the prefix hash of each tree (none for empty sets)."""
+def sign(docs: DataFrame, n: int, threshold: float, recall: float, trees: int, depth: int) -> DataFrame:
+    """id, hash of the text, size of the set, 128 bits that name the set, how many values of its labels it needs, and each
+    tree's label: a hash of the values that all need, and the others by FIELD bits each. No labels for sets without partners."""
     rng = np.random.default_rng(20240229)
     factors = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     salts = rng.integers(1, 1 << 63, trees, dtype=np.uint64)
+    base = prefix_depth(threshold, recall, trees, depth)
+    depth = min(depth, base + FIELDS)
+    needs = depths(threshold, recall, trees, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces_of(whole, "text", 1 << 20):
                 values, bounds = gram_sets(batch.column("text"), n)
                 sizes = np.diff(bounds)
+                need = needs[np.minimum(sizes, len(needs) - 1)]
                 full = np.flatnonzero(sizes)
-                prefixes = np.zeros((len(sizes), trees), np.uint64)
+                heads, tails = np.zeros((2, len(sizes), trees), np.uint64)
                 keys = np.zeros((2, len(sizes)), np.uint64)
                 if len(full):
                     first = bounds[full]
                     for t in range(trees):
-                        h = np.full(len(full), salts[t])
+                        h, tail = np.full(len(full), salts[t]), np.zeros(len(full), np.uint64)
                         for d in range(depth):
-                            h = mix(h ^ np.minimum.reduceat((values * factors[t * depth + d]) >> np.uint64(20), first))
-                        prefixes[full, t] = h
+                            least = mix(np.minimum.reduceat((values * factors[t * depth + d]) >> np.uint64(20), first))
+                            if d < base:
+                                h = mix(h ^ least)
+                            else:
+                                tail |= least >> np.uint64(64 - FIELD) << np.uint64(FIELD * (FIELDS - 1 - d + base))
+                        heads[full, t], tails[full, t] = h, tail
                     keys[0, full] = mix(np.add.reduceat(mix(values), first) + sizes[full].astype(np.uint64))
                     keys[1, full] = mix(np.add.reduceat(mix(values ^ salts[0]), first) ^ salts[1 % trees])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, trees, 0))]).astype(np.int32)), pa.array(prefixes[full].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(sizes.astype(np.int32)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], ["id", "row", "size", "key1", "key2", "prefixes"])
+                live = np.flatnonzero(need)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(need > 0, trees, 0))]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[live].ravel().view(np.int64))) for x in (heads, tails)]
+                columns = [batch.column("id"), batch.column("row"), pa.array(sizes.astype(np.int32)), *(pa.array(k.view(np.int64)) for k in keys), pa.array(need), *lists]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SIGNED.split(", ")])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -99,48 +138,66 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 class Group:
-    """One prefix group, or two blocks of one: members' ids, sets and prefixes."""
+    """One trie below a common prefix, or two blocks of one: members' ids, labels and sets."""
 
-    def __init__(self, rows: list[tuple], tree: int, threshold: float):
+    def __init__(self, rows: list[tuple], tree: int, threshold: float, trees: int, base: int):
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.rows = np.array([r[1] for r in rows], np.int64)
         self.block = np.array([r[2] for r in rows])
-        self.prefixes = np.array([np.frombuffer(r[3], np.int64) for r in rows])
+        labels = np.array([np.frombuffer(r[3], np.int64) for r in rows])
+        self.heads, self.tails = labels[:, :trees], labels[:, trees : 2 * trees]
+        self.beyond = labels[:, -1] - base  # values that each needs beyond the common prefix
         sets = [unpacked(r[4]) for r in rows]
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        _, column = np.unique(np.concatenate(sets), return_inverse=True)
-        self.column, self.begin = column, np.cumsum(self.sizes) - self.sizes
-        self.width = int(column.max()) + 1
+        # n-grams that one member alone has are in no intersection
+        _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = counts > 1
+        names = np.cumsum(shared) - 1
+        some = shared[column]
+        self.member, self.column = np.repeat(np.arange(len(rows)), self.sizes)[some], names[column[some]]
+        self.begin = np.searchsorted(self.member, np.arange(len(rows) + 1))
+        self.width = int(shared.sum())
         self.tree, self.threshold = tree, threshold
 
+    def agree(self, t, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether labels of tree t agree as far as both documents need, beyond the common prefix."""
+        shift = FIELD * (FIELDS - np.maximum(self.beyond[i], self.beyond[j]))
+        return (self.tails[i, t] ^ self.tails[j, t]) >> shift == 0
+
     def links(self, both: bool, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Verified pairs of places, each once; with both, only pairs across the two blocks."""
         left, right = [], []
         n = len(self.ids)
         for a in range(0, n, step):
-            x = self._matrix(a, min(n, a + step))
             for b in range(a, n, step):
-                y = x if a == b else self._matrix(b, min(n, b + step))
-                common = x @ y.T
+                common = self._common(a, min(n, a + step), b, min(n, b + step))
                 total = self.sizes[a : a + step, None] + self.sizes[None, b : b + step]
                 ok = common >= self.threshold * (total - common) - 1e-6
                 i, j = np.nonzero(ok)
                 i, j = i + a, j + b
-                keep = i < j
+                keep = (i < j) & self.agree(self.tree, i, j)
                 if both:
                     keep &= self.block[i] != self.block[j]
-                i, j = i[keep], j[keep]
-                if self.tree:
-                    earlier = (self.prefixes[i, : self.tree] == self.prefixes[j, : self.tree]).any(axis=1)
-                    i, j = i[~earlier], j[~earlier]
-                left.append(i)
-                right.append(j)
+                for t in range(self.tree):  # a pair is counted in the first tree that it is a candidate in
+                    keep &= (self.heads[i, t] != self.heads[j, t]) | ~self.agree(t, i, j)
+                left.append(i[keep])
+                right.append(j[keep])
         return np.concatenate(left), np.concatenate(right)
 
-    def _matrix(self, a: int, b: int) -> np.ndarray:
-        out = np.zeros((b - a, self.width), np.float32)
-        lo, hi = self.begin[a], self.begin[b - 1] + self.sizes[b - 1]
-        out[np.repeat(np.arange(b - a), self.sizes[a:b]), self.column[lo:hi]] = 1
+    def _common(self, a: int, b: int, c: int, d: int) -> np.ndarray:
+        """Sizes of the intersections of members a..b with c..d, WIDTH n-grams at a time."""
+        out = np.zeros((b - a, d - c), np.float32)
+        for w in range(0, self.width, WIDTH):
+            x = self._matrix(a, b, w)
+            out += x @ (x if (a, b) == (c, d) else self._matrix(c, d, w)).T
+        return out
+
+    def _matrix(self, a: int, b: int, w: int) -> np.ndarray:
+        out = np.zeros((b - a, min(WIDTH, self.width - w)), np.float32)
+        lo, hi = self.begin[a], self.begin[b]
+        member, column = self.member[lo:hi] - a, self.column[lo:hi] - w
+        some = (column >= 0) & (column < out.shape[1])
+        out[member[some], column[some]] = 1
         return out
 
 
@@ -174,18 +231,21 @@ def texts(docs: DataFrame, id: str, text: str) -> DataFrame:
 def _classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99999, trees: int = 16, depth: int = 8, block: int = 1024) -> DataFrame:
     """What ngram_join returns, and the hash of the row's text."""
     rows = texts(docs, id, text)
-    used = prefix_depth(threshold, recall, trees, depth)
-    signed = written(sign(rows.where("id is not null"), n, trees, used), "signed")
-    classes = signed.where("size > 0").groupBy("key1", "key2").agg(F.min(F.struct("id", "row")).alias("rep"))
-    reps = signed.where("size > 0").join(classes, ["key1", "key2"]).where("id = rep.id and row = rep.row").groupBy("id", "row").agg(F.first("prefixes").alias("prefixes"))
+    base = prefix_depth(threshold, recall, trees, depth)
+    signed = written(sign(rows.where("id is not null"), n, threshold, recall, trees, depth), "signed")
+    # the least document of each set, with its labels, pre-aggregated: equal sets meet in no list and no join
+    classes = signed.where("size > 0").groupBy("key1", "key2").agg(F.min(F.struct("id", "row", "need", "prefixes", "tails")).alias("rep"))
+    reps = written(classes.select("key1", "key2", "rep.*"), "reps")
+    classes = reps.select("key1", "key2", F.struct("id", "row").alias("rep"))
+    reps = reps.select("id", "row", "need", "prefixes", "tails")
     leaves = reps.select("id", "row", F.posexplode("prefixes").alias("tree", "prefix"))
-    # prefix groups with two members or more; counts are pre-aggregated
+    # tries with two members or more; counts are pre-aggregated
     groups = leaves.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     live = leaves.join(groups, ["tree", "prefix"]).groupBy("id", "row").agg(F.collect_list(F.struct("tree", "prefix", "members")).alias("groups"))
     live = live.join(reps, ["id", "row"])
-    members = rows.where("id is not null").join(live, ["id", "row"]).mapInArrow(_members(n, block), "tree int, prefix long, i int, j int, b int, id long, row long, prefixes binary, grams binary")
-    sorted_members = members.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "id", "row")
-    verified = written(sorted_members.mapInArrow(_verify(threshold), "id long, row long, root_id long, root_row long, links long"), "links")
+    members = rows.where("id is not null").join(live, ["id", "row"]).mapInArrow(_members(n, block), MEMBER)
+    sorted_members = members.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "tail", "id", "row")
+    verified = written(sorted_members.mapInArrow(_verify(threshold, trees, base), "id long, row long, root_id long, root_row long, links long"), "links")
     links = verified.groupBy("id", "row").agg(F.sum("links").alias("n"))
     links = links.select(F.struct("id", "row").alias("rep"), "n")
     roots = components(verified.select(F.struct("id", "row").alias("u"), F.struct(F.col("root_id").alias("id"), F.col("root_row").alias("row")).alias("v")).where("u <> v"))
@@ -201,22 +261,22 @@ def _members(n: int, block: int):
     """Each document once per prefix group and pair of blocks that it is in, with its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tree", "prefix", "i", "j", "b", "id", "row", "prefixes", "grams"]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = [c.split()[0] for c in MEMBER.split(", ")]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for whole in batches:
             for batch in pieces_of(whole, "text", 1 << 20):
                 values, bounds = gram_sets(batch.column("text"), n)
                 out: list[tuple] = []
                 held = 0
-                for k, (id, row, groups, prefixes) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "row", "groups", "prefixes")), strict=True)):
+                for k, (id, row, groups, prefixes, tails, need) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "row", "groups", "prefixes", "tails", "need")), strict=True)):
                     grams = packed(values[bounds[k] : bounds[k + 1]])
-                    signature = np.array(prefixes, np.int64).tobytes()
+                    labels = np.array([*prefixes, *tails, need], np.int64).tobytes()
                     mixed = int(mix(np.array([id ^ row], np.int64).view(np.uint64))[0])
                     for g in groups:
                         blocks = -(-g["members"] // block)
                         b = mixed % blocks
                         for other in range(blocks):
-                            out.append((g["tree"], g["prefix"], min(b, other), max(b, other), b, id, row, signature, grams))
+                            out.append((g["tree"], g["prefix"], min(b, other), max(b, other), b, id, row, tails[g["tree"]], labels, grams))
                             held += len(grams) + 200
                             if held > 4 << 20:
                                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names)
@@ -226,7 +286,7 @@ def _members(n: int, block: int):
     return run
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, trees: int, base: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], []]
 
@@ -235,7 +295,7 @@ def _verify(threshold: float):
             rows = [r for k, r in enumerate(rows) if not k or r[:2] != rows[k - 1][:2]]
             if len(rows) < 2 or key[2] != key[3] and len({r[2] for r in rows}) < 2:
                 return
-            group = Group(rows, key[0], threshold)
+            group = Group(rows, key[0], threshold, trees, base)
             left, right = group.links(key[2] != key[3])
             if len(left):
                 n = len(rows)
@@ -253,7 +313,7 @@ def _verify(threshold: float):
 
         key, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("tree", "prefix", "i", "j", "id", "row", "b", "prefixes", "grams")]
+            columns = [batch.column(c).to_pylist() for c in ("tree", "prefix", "i", "j", "id", "row", "b", "labels", "grams")]
             for r in zip(*columns, strict=True):
                 if r[:4] != key:
                     if rows:

@@ -402,3 +402,43 @@ def test_pipeline_stages(spark, odd, bench, tmp_path):
             assert stage(spark, docs, str(tmp_path)).columns == docs.columns
             stage(spark, docs, str(tmp_path)).count()
         corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count()
+
+
+def shingles(text):
+    w = text.split()
+    return {" ".join(w[k : k + min(5, len(w))]) for k in range(max(1, len(w) - 4))}
+
+
+def test_ngram_join_recall_at_the_threshold(spark):
+    """All pairs of similarity 0.8 to 0.85, among texts of all lengths, against brute force."""
+    r = random.Random(31)
+    texts = []
+    while len(texts) < 600:
+        w = fresh(r.choice([8, 9, 12, 15, 30, 60, 150, 400]), r)
+        v = list(w)
+        while True:
+            v[r.randrange(len(v))] = "edit%d" % r.randrange(10**9)
+            p, q = shingles(" ".join(w)), shingles(" ".join(v))
+            if len(p & q) < 0.85 * len(p | q):
+                break
+        if len(p & q) >= 0.8 * len(p | q):
+            texts += [" ".join(w), " ".join(v)]
+        elif len(w) < 30:  # a short text reaches the threshold by growing
+            v = [*w, *fresh(1, r)]
+            if 0.8 <= len(w) / len(v) or len(shingles(" ".join(w))) >= 0.8 * len(shingles(" ".join(v))):
+                texts += [" ".join(w), " ".join(v)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in ngram_join.ngram_join(docs).collect()}
+    assert all(got[i]["class_id"] == i - i % 2 and got[i]["n_links"] == 1 for i in range(len(texts)))
+
+
+def test_ngram_join_depths_differ(spark):
+    """The prefix of a document is as long as the least similarity that its size admits allows; the full depth is kept in the labels."""
+    needs = ngram_join.depths(0.8, 0.99999, 16, 8)
+    assert not needs[1:4].any() and len(set(needs[4:40].tolist())) > 1 and needs[-1] == ngram_join.prefix_depth(0.8, 0.99999, 16, 8)
+    assert ngram_join.least_similarity(4, 0.8) == 4 / 5 and ngram_join.least_similarity(3, 0.8) is None and ngram_join.least_similarity(6, 0.8) == 5 / 6
+    r = random.Random(32)
+    docs = spark.createDataFrame([(i, " ".join(fresh(n, r))) for i, n in enumerate((1, 7, 9, 10, 11, 50, 300))], "doc_id long, text string")
+    signed = {x["id"]: x for x in ngram_join.sign(ngram_join.texts(docs, "doc_id", "text"), 5, 0.8, 0.99999, 16, 8).collect()}
+    assert len({x["need"] for x in signed.values()}) >= 3
+    assert not signed[0]["prefixes"] and all(len(x["prefixes"]) == len(x["tails"]) == 16 for x in signed.values() if x["need"])
