@@ -4,15 +4,18 @@ A byte goes if a string of `length` bytes that covers it also starts earlier. Ev
 leftmost least hash among its k-grams (k is half the length), which equal strings have at the same place. So only
 suffixes that start at anchors are sorted, and only of anchors whose k-gram more than one chunk has.
 
-1. Chunks of documents send the hashes of their anchors' k-grams; those that several chunks sent are named back.
-2. Each chunk settles what repeats within it, sorts the suffixes of its remaining shared anchors, and sends them as
-   front-coded runs, cut at common splitters, with the bytes to the left of the anchor that its strings reach.
+1. Chunks of documents (LEAST_CHUNKS at least) send the hashes of their anchors' k-grams; those that several chunks sent
+   are named back.
+2. Each chunk sorts the suffixes of anchors whose k-gram occurs twice. Neighbours' common prefixes, and those of the bytes to
+   the left of the anchors, read backwards, tell which strings are equal; all but the first of each go. What is not settled
+   is sent as front-coded runs, cut at common splitters, with the bytes to the left.
 3. A range merges its runs with a loser tree whose entries carry the length of the prefix shared with the last winner;
-   bytes are compared only beyond it. Neighbours that share k bytes are a group; in a group the first of each string is
-   kept and the others are named to their chunks.
+   bytes are compared only beyond it. The common prefixes that come out tell again which strings are equal; the first of
+   each is kept and the others are named to their chunks.
 4. Chunks unite what was found and cut their texts.
 
-A passage that a third of all documents holds reaches its range once per chunk, as each chunk settles its own copies first.
+Hashes only say where to look: every string that goes was found equal to another byte by byte, in the sorted orders. A
+passage that a third of all documents holds reaches its range once per chunk, as each chunk settles its own copies first.
 
 Defined cases: a null or empty text has no bytes; documents without id come before all others; rows with equal ids are ordered by a
 hash of the text, and repeated rows (same id and text) are one document, each with the same result; texts shorter than
@@ -34,6 +37,7 @@ from .words import mix, powers
 BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 1 << 64)
 SLICE = 1 << 20
+LEAST_CHUNKS = 4
 RESULT = "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary"
 
 
@@ -98,30 +102,58 @@ class Chunk:
         # an empty document shares its start with the next one, to which the window belongs
         return doc, at + lo, low + lo, high + lo, grams[at]
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, start, hash) of all windows of the anchors `which`, in order."""
-        sizes = self.high[which] - self.low[which] + 1
-        start = spans_to_index(self.low[which], sizes)
-        out = np.empty(len(start), np.uint64)
-        edge = np.searchsorted(start, np.arange(0, len(self.data) + SLICE, SLICE))
-        for i in range(len(edge) - 1):
-            s = start[edge[i] : edge[i + 1]]
-            if len(s):
-                out[edge[i] : edge[i + 1]] = window_hashes(self.data[s[0] : s[-1] + self.length], self.length, s - s[0])
-        return np.repeat(which, sizes), start, out
-
-
-def later_copies(*keys: np.ndarray) -> np.ndarray:
-    """Which rows repeat the keys of an earlier row."""
-    order = np.lexsort(keys[::-1])
-    same = np.ones(max(0, len(order) - 1), bool)
-    for k in keys:
-        same &= k[order][1:] == k[order][:-1]
-    out = np.zeros(len(order), bool)
-    out[order[1:][same]] = True
+    def suffixes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes from the anchors `which` on, as far as their strings reach, plus one, padded with zeros to `length`; and their sizes."""
+        sizes = self.high[which] + self.length - self.at[which]
+        out = np.zeros((len(which), self.length), np.uint8)
+        out.ravel()[spans_to_index(np.arange(len(which)) * self.length, sizes)] = self.data[spans_to_index(self.at[which], sizes)] + 1
+        return out, sizes
+
+    def lefts(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes before the anchors, as far as their strings reach, read backwards, plus one, padded; and their sizes."""
+        sizes = self.at[which] - self.low[which]
+        return backwards(self.data[spans_to_index(self.low[which], sizes)], sizes, self.length - self.k), sizes
+
+
+def backwards(flat: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bytes, one after another in flat, read backwards, plus one, padded with zeros. (No byte of UTF-8 is 255, so a shorter row sorts first.)"""
+    out = np.zeros((len(sizes), width), np.uint8)
+    inside = spans_to_index(np.zeros(len(sizes), np.int64), sizes)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes) - 1 - inside] = flat + 1
+    return out
+
+
+def common_prefixes(rows: np.ndarray) -> np.ndarray:
+    """Bytes that each sorted, padded row shares with the one before it."""
+    same = (rows[1:] == rows[:-1]) & (rows[1:] > 0)
+    out = np.zeros(len(rows), np.int64)
+    out[1:] = np.where(same.all(axis=1), rows.shape[1], np.argmin(same, axis=1))
     return out
 
 
+def later_strings(known: np.ndarray, sizes: np.ndarray, left: np.ndarray, left_sizes: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, bytes before it) of all strings that equal one of an anchor of lower rank. The anchors' suffixes are in sorted order, each
+    sharing `known` bytes with the one before; a string that begins o bytes before its anchor equals another if the suffixes
+    share length - o bytes and the bytes before share o."""
+    who, before = [], []
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(left.view(f"S{left.shape[1]}").ravel(), kind="stable")
+    shared = common_prefixes(left[order])
+    for o in range(int(length - sizes.max()), int(left_sizes.max()) + 1):
+        some = np.flatnonzero((length - sizes <= o) & (left_sizes >= o))
+        if len(some) < 2:
+            continue
+        by_left = np.empty(len(known), np.int64)
+        by_left[order] = np.cumsum(shared < o)
+        key = np.cumsum(known < length - o)[some] * (len(known) + 1) + by_left[some]
+        by = np.lexsort((rank[some], key))
+        again = some[by[1:][key[by[1:]] == key[by[:-1]]]]
+        who.append(again)
+        before.append(np.full(len(again), o))
+    return (np.concatenate(who), np.concatenate(before)) if who else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def spans_of(start: np.ndarray, length: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, end) of the union of windows, which are ordered by document and start."""
     if not len(start):
@@ -131,13 +163,11 @@ def spans_of(start: np.ndarray, length: int, doc: np.ndarray) -> tuple[np.ndarra
     return doc[first], start[first], start[np.append(first[1:], len(start)) - 1] + length
 
 
-def encode_run(rows: np.ndarray, sizes: np.ndarray, left: list[bytes], doc: np.ndarray, at: np.ndarray) -> dict:
-    """A sorted run: rows are suffixes padded with zeros; only what differs from the one before is kept."""
-    same = np.concatenate([[0], np.argmin(np.concatenate([rows[1:] == rows[:-1], np.zeros((len(rows) - 1, 1), bool)], axis=1), axis=1)])
-    same[1:] = np.minimum(same[1:], np.minimum(sizes[1:], sizes[:-1]))
+def encode_run(rows: np.ndarray, sizes: np.ndarray, left: np.ndarray, left_sizes: np.ndarray, doc: np.ndarray, at: np.ndarray) -> dict:
+    """A sorted run of padded suffixes; only what differs from the one before is kept. left: bytes before the anchors, one after another."""
+    same = common_prefixes(rows)
     flat = rows.ravel()[spans_to_index(np.arange(len(rows)) * rows.shape[1] + same, sizes - same)]
-    numbers = np.stack([same, sizes, [len(x) for x in left], doc, at]).astype(np.int32)
-    return {"a": pack(numbers.ravel()), "b": pack(flat), "c": pack(np.frombuffer(b"".join(left), np.uint8))}
+    return {"a": pack(np.stack([same, sizes, left_sizes, doc, at]).astype(np.int32).ravel()), "b": pack(flat), "c": pack(left)}
 
 
 class Run:
@@ -226,9 +256,13 @@ def _packed_spans(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
 def merged_spans(runs: list[Run], length: int, k: int) -> dict[int, bytes]:
     """Spans to remove in each chunk (packed), from the repeated strings of all runs of a range."""
     run, place, known = (np.array(x, np.int64) for x in merge_runs(runs))
+    first = np.cumsum([0] + [len(r.sizes) for r in runs])  # of each run, in the fields
+    sizes, left_sizes, doc, at, id, hash, left_at = (np.concatenate([getattr(r, c) for r in runs])[first[run] + place] for c in ("sizes", "left_sizes", "doc", "at", "id", "hash", "left_at"))
+    chunk = np.array([r.chunk for r in runs])[run]
+    lefts = np.concatenate([r.left for r in runs])
+    left_at += np.cumsum([0] + [len(r.left) for r in runs])[run]
     group = np.cumsum(known < k)
-    sizes = np.bincount(group)
-    some = np.flatnonzero(sizes[group] > 1)
+    some = np.flatnonzero(np.bincount(group)[group] > 1)
     out: dict[int, list] = {}
     bounds = np.flatnonzero(np.concatenate([[True], group[some][1:] != group[some][:-1]])) if len(some) else some
     step = 20_000  # anchors at once, whole groups
@@ -238,30 +272,17 @@ def merged_spans(runs: list[Run], length: int, k: int) -> dict[int, bytes]:
         b = int(after[0]) if len(after) else len(some)
         part = some[a:b]
         a = b
-        r, p, g = run[part], place[part], group[part]
-        texts, n_windows, fields = [], np.empty(len(part), np.int64), np.empty((4, len(part)), np.uint64)
-        for i, (x, y) in enumerate(zip(r.tolist(), p.tolist(), strict=True)):
-            one = runs[x]
-            lo, n = int(one.left_at[y]), int(one.left_sizes[y])
-            texts.append(one.left[lo : lo + n].tobytes() + one.suffixes[y])
-            n_windows[i] = len(texts[-1]) - length + 1
-            fields[:, i] = one.id[y], one.hash[y], one.doc[y], one.at[y] - n
-        flat = np.frombuffer(b"".join(texts), np.uint8)
-        lengths = np.array([len(t) for t in texts], np.int64)
-        inside = np.arange(int(n_windows.sum())) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        at = np.repeat(np.cumsum(lengths) - lengths, n_windows) + inside
-        hashes = window_hashes(flat, length, at)
-        who = np.repeat(np.arange(len(part)), n_windows)
-        start = fields[3][who].astype(np.int64) + inside
-        order = np.lexsort((start, fields[1][who], fields[0][who].view(np.int64)))
-        again = later_copies(g[who][order], hashes[order])
-        who, start = who[order][again], start[order][again]
-        chunks = np.array([x.chunk for x in runs])[r][who]
-        for c in np.unique(chunks):
-            mine = chunks == c
-            doc, s = fields[2][who[mine]].astype(np.int64), start[mine]
-            by = np.lexsort((s, doc))
-            out.setdefault(int(c), []).append(np.stack(spans_of(s[by], length, doc[by])))
+        rank = np.empty(len(part), np.int64)
+        rank[np.lexsort((at[part], hash[part], id[part].view(np.int64)))] = np.arange(len(part))
+        left = backwards(lefts[spans_to_index(left_at[part], left_sizes[part])], left_sizes[part], length - k)
+        # neighbours in different groups share less than any of their strings needs
+        who, before = later_strings(np.where(np.diff(part, prepend=-2) == 1, known[part], 0), sizes[part], left, left_sizes[part], rank, length)
+        who = part[who]
+        start = at[who] - before
+        for c in np.unique(chunk[who]):
+            mine = chunk[who] == c
+            by = np.lexsort((start[mine], doc[who[mine]]))
+            out.setdefault(int(c), []).append(np.stack(spans_of(start[mine][by], length, doc[who[mine]][by])))
     return {c: pack(np.concatenate(x, axis=1).ravel()) for c, x in out.items()}
 
 
@@ -272,7 +293,7 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     (they balance the work and decide nothing else).
     """
     rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = chunk_count(rows, F.octet_length("text"), chunk_bytes)
+    n = max(LEAST_CHUNKS, chunk_count(rows, F.octet_length("text"), chunk_bytes))
     chunks = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
     splitters = _splitters(rows, n, length, sample_rows, seed)
     k = length // 2
@@ -298,30 +319,32 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
             chunk = key[0].as_py()
             c = Chunk(table, length)
             abroad = lookup(np.sort(np.concatenate([np.zeros(0, np.uint64)] + [unpack_sorted(x) for x in replies.column("a").to_pylist()])), c.gram)[1]
-            grams, inverse, counts = np.unique(c.gram, return_inverse=True, return_counts=True)
-            here = np.flatnonzero(counts[inverse] > 1)
-            who, start, hashes = c.windows(here)
-            again = later_copies(hashes)
-            doc, a, b = spans_of(start[again], length, c.doc[who[again]])
+            _, inverse, counts = np.unique(c.gram, return_inverse=True, return_counts=True)
+            mine = np.flatnonzero(abroad | (counts[inverse] > 1))
+            rows, sizes = c.suffixes(mine)
+            order = np.argsort(rows.view(f"S{length}").ravel(), kind="stable")
+            mine, rows, sizes = mine[order], rows[order], sizes[order]
+            left, left_sizes = c.lefts(mine)
+            # anchors of a chunk are in document order
+            who, before = later_strings(common_prefixes(rows), sizes, left, left_sizes, mine, length)
+            del left
+            doc, start = c.doc[mine[who]], c.at[mine[who]] - before
+            by = np.lexsort((start, doc))
+            doc, a, b = spans_of(start[by], length, doc[by])
             out.append({"chunk": chunk, "range": chunk % n, "kind": "local", "a": _packed_spans(doc, a - c.starts[doc], b - c.starts[doc])})
-            settled = np.zeros(len(c.gram), bool)
-            settled[here] = np.bincount(who, ~again, len(c.gram))[here] == 0
-            mine = np.flatnonzero(abroad & ~settled)
-            if len(mine):
-                sizes = c.high[mine] + length - c.at[mine]
-                padded = np.zeros((len(mine), length), np.uint8)
-                padded.ravel()[spans_to_index(np.arange(len(mine)) * length, sizes)] = c.data[spans_to_index(c.at[mine], sizes)]
-                order = np.argsort(padded.view(f"S{length}").ravel(), kind="stable")
-                mine, sizes, padded = mine[order], sizes[order], padded[order]
-                head = np.ascontiguousarray(padded[:, :8]).view(">u8").ravel().astype(np.uint64)
+            settled = np.bincount(who, minlength=len(mine)) == c.high[mine] - c.low[mine] + 1
+            some = np.flatnonzero(abroad[mine] & ~settled)
+            if len(some):
+                mine, rows, sizes = mine[some], rows[some], sizes[some]
+                head = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
                 ends = [0, *np.searchsorted(head, splitters).tolist(), len(mine)]
                 for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
                     if b > a:
                         m = mine[a:b]
-                        left = [c.data[x:y].tobytes() for x, y in zip(c.low[m].tolist(), c.at[m].tolist(), strict=True)]
                         used = np.unique(c.doc[m])
                         keys = np.array([[d, c.docs[d][0] % (1 << 64), c.docs[d][1]] for d in used.tolist()], np.uint64).T
-                        out.append({"chunk": chunk, "range": i, "kind": "run", "keys": pack(keys.ravel())} | encode_run(padded[a:b], sizes[a:b], left, c.doc[m], c.at[m] - c.starts[c.doc[m]]))
+                        before = c.at[m] - c.low[m]
+                        out.append({"chunk": chunk, "range": i, "kind": "run", "keys": pack(keys.ravel())} | encode_run(rows[a:b], sizes[a:b], c.data[spans_to_index(c.low[m], before)], before, c.doc[m], c.at[m] - c.starts[c.doc[m]]))
         return pa.table({x: pa.array([o.get(x) for o in out], t) for x, t in names.items()})
 
     def merge(key, table):
@@ -383,5 +406,5 @@ def _splitters(rows: DataFrame, n: int, length: int, sample_rows: int, seed: int
     c = Chunk(sample, length)
     if not len(c.at):
         return np.zeros(0, np.uint64)
-    heads = np.sort(np.ascontiguousarray(c.data[c.at[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64))
+    heads = np.sort(np.ascontiguousarray(c.data[c.at[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64) + np.uint64(0x0101010101010101))
     return np.unique(heads[(np.arange(1, n) * len(heads)) // n])

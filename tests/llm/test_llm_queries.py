@@ -129,6 +129,41 @@ def words_of(text):
     return re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
 
 
+@pytest.mark.parametrize("chunk_bytes", [1 << 30, 250_000, 25_000])
+def test_suffix_dedup_runs_meet_in_the_loser_tree(spark, sf, monkeypatch, tmp_path, chunk_bytes):
+    """Runs are exchanged whatever the table's size, and the result does not depend on the chunks."""
+    from kinetrail.llm import suffix_dedup
+
+    merged, folder = suffix_dedup.merged_spans, str(tmp_path)
+
+    def traced(runs, length, k):
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{len(runs)}-{uuid.uuid4().hex}"), "w").close()
+        return merged(runs, length, k)
+
+    monkeypatch.setattr(suffix_dedup, "merged_spans", traced)
+    docs = documents(spark, sf)
+    got = suffix_dedup.suffix_dedup(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), chunk_bytes=chunk_bytes)
+    got = sorted((r["doc_id"], r["n_bytes"], sum(s["b"] - s["a"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got.collect())
+    assert got == repeats_brute(docs)
+    assert max(int(x.name.split("-")[0]) for x in tmp_path.iterdir()) > 1
+
+
+def test_suffix_dedup_of_periodic_texts_and_zero_bytes(spark):
+    from kinetrail.llm import suffix_dedup
+
+    r = np.random.default_rng(3)
+    line = "".join(r.choice(list("abc"), 130))
+    texts = ["ab" * 90, "\0" * 150, line, "x" + line[:99] + "\0" + line, line[20:] + "\0" * 101, "\0" * 99, "abc" * 60 + "ab" * 60, "é" * 120]
+    texts += ["".join(r.choice(list("a\0"), 160, p=[0.97, 0.03])) for _ in range(12)]
+    docs = list(enumerate(texts))
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string"), chunk_bytes=500)
+    got = sorted((x["doc_id"], x["n_bytes"], sum(s["b"] - s["a"] for s in x["spans"]), len(x["spans"]), hashlib.sha256(x["kept"]).hexdigest()) for x in got.collect())
+    assert got == repeats_brute(docs)
+
+
 def test_passage_dedup(spark, sf):
     """All exact repeats of 50 words are found; what is removed is similar to a passage of a source."""
     from kinetrail.llm import passage_dedup
