@@ -1,16 +1,16 @@
 """WARC archives from pages: a deterministic sharded writer, and a reader.
 
-Records are dealt to shards by boundaries of page_id that a bounded histogram of payload bytes gives (heavy bins are
-cut again), sorted within, and written as one gzip member each; a file is closed once its compressed size passes the
-limit. Headers and digests are made anew from the payload, dates come from a parameter, record ids from the content, so
-equal input gives equal files. Files are written under temporary names and renamed; the manifest, which Spark commits
+Records are dealt to shards by boundaries of page_id that a histogram of payload bytes gives (four bins a shard, and heavy
+bins are cut again until they fit or hold one id; the driver gets a number per bin), sorted within, and written as one gzip member each;
+a file begins with a warcinfo record and is closed once its compressed size passes the limit. Headers and digests are made
+anew from the payload, dates come from a parameter, record ids from the content, so equal input gives equal files. Files are written under temporary names and renamed; the manifest, which Spark commits
 last, names the files that count.
 
 Equal payloads: digests are grouped first with pre-aggregation; only those that occur again are joined back, as (page_id,
 digest) without payload, so a payload that a third of all pages share moves no page twice.
 
-Defined cases: a null html is the empty payload; null page ids come last, are always responses and refer to nothing; of
-rows with the same page_id and payload the first is the response and the others revisit it; a null url is written as an
+Defined cases: a null html is the empty payload; null page ids come in shards of their own after all others, are always
+responses and refer to nothing; very long payloads are one record like others; other columns are left out; of rows with the same page_id and payload the first is the response and the others revisit it; a null url is written as an
 empty target; an empty table makes no file.
 """
 
@@ -21,6 +21,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,48 +33,62 @@ MANIFEST = "shard int, seq int, path string, n_records long, n_bytes long, sha25
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
-def shard_bounds(pages: DataFrame, id: str, size, shard_bytes: int, bins: int = 1024, rounds: int = 4) -> list[int]:
-    """First ids of the shards after the first one. Histograms of at most `bins` bins; a bin that holds more than a shard is cut again."""
+def shard_bounds(pages: DataFrame, id: str, size, shard_bytes: int, cut: int = 1024) -> np.ndarray:
+    """First ids of the shards after the first one. A row's cell is known by its least id; heavy cells are cut into `cut` each round."""
+    spark = pages.sparkSession
     ends = pages.agg(F.min(id).alias("a"), F.max(id).alias("b"), F.sum(size).alias("n")).first()
     if ends["a"] is None or (ends["n"] or 0) <= shard_bytes:
-        return []
-    cells, open_cells = [], [(int(ends["a"]), int(ends["b"]) + 1)]
-    for r in range(rounds):
-        width = {c: max(1, -(-(c[1] - c[0]) * len(open_cells) // bins)) for c in open_cells}
-        where = F.lit(None).cast("string")
-        for k, (a, b) in enumerate(open_cells):
-            where = F.when((F.col(id) >= a) & (F.col(id) < b), F.concat_ws(":", F.lit(str(k)), F.floor((F.col(id) - a) / width[(a, b)]).cast("long"))).otherwise(where)
-        found = pages.select(where.alias("c"), size.alias("s")).where("c is not null").groupBy("c").agg(F.sum("s").alias("s")).collect()
-        heavy = []
-        for row in found:
-            k, i = map(int, row["c"].split(":"))
-            a, b = open_cells[k]
-            lo = a + i * width[(a, b)]
-            hi = min(b, lo + width[(a, b)])
-            (heavy if row["s"] > shard_bytes and hi - lo > 1 and r < rounds - 1 else cells).append((lo, hi, row["s"]))
-        open_cells = [c[:2] for c in heavy]
-        if not open_cells:
+        return np.zeros(0, np.int64)
+    a, b = int(ends["a"]), int(ends["b"])
+    width = max(1, -(-(b - a + 1) // max(cut, 4 * int(ends["n"]) // shard_bytes)))
+    # differences stay within 64 bits: ids below and above zero have cells of their own
+    start = F.when(F.col(id) < 0, F.lit(a)).otherwise(F.lit(max(a, 0)))
+    rows = pages.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), size.alias("size"), start.alias("low"))
+    cells: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        rows = rows.withColumn("low", F.expr(f"low + (id - low) div {width}L * {width}L"))
+        found = rows.groupBy("low").agg(F.sum("size").alias("size")).toArrow()
+        low, held = (found.column(c).to_numpy() for c in ("low", "size"))
+        heavy = (held > shard_bytes) & (width > 1)
+        cells.append((low[~heavy], held[~heavy]))
+        if not heavy.any():
             break
-    out, held = [], 0
-    for lo, _, s in sorted(cells):
-        if held and held + s > shard_bytes:
-            out.append(lo)
-            held = 0
-        held += s
-    return out
+        rows = rows.join(spark.createDataFrame(pa.table({"low": low[heavy]})), "low")
+        width = -(-width // cut)
+    low, held = (np.concatenate(x) for x in zip(*cells, strict=True))
+    order = np.argsort(low)
+    low, held = low[order], held[order]
+    # a shard takes cells until the next one would not fit
+    total, out, at = np.cumsum(held), [], 0
+    while (at := max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + shard_bytes, "right")))) < len(low):
+        out.append(int(low[at]))
+    return np.array(out, np.int64)
 
 
-def record(page_id, url: str, kind: str, refers_to, digest: str, payload: bytes, date: str) -> bytes:
-    name = uuid.UUID(bytes=hashlib.sha256(f"{page_id}\n{url}\n{kind}\n{digest}".encode()).digest()[:16], version=5)
+def record_id(page_id, kind: str, digest: str, nth: int) -> str:
+    """Of the nth record of its kind with this page and payload."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{page_id}\n{kind}\n{digest}\n{nth}'.encode()).digest()[:16], version=5)}>"
+
+
+def framed(fields: dict, body: bytes) -> bytes:
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+def information(name: str, date: str) -> bytes:
+    body = b"software: kinetrail\r\nformat: WARC File Format 1.1\r\n"
+    return framed({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(name, "warcinfo", "", 0), "WARC-Date": date, "WARC-Filename": name, "Content-Type": "application/warc-fields", "Content-Length": len(body)}, body)
+
+
+def record(page_id, url: str, kind: str, refers_to, digest: str, payload: bytes, date: str, nth: int = 0) -> bytes:
     body = payload if kind == "response" else b""
     fields = {
-        "WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": date, "WARC-Target-URI": " ".join(url.split()), "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Block-Digest": f"sha256:{hashlib.sha256(body).hexdigest()}",
+        "WARC-Type": kind, "WARC-Record-ID": record_id(page_id, kind, digest, nth), "WARC-Date": date, "WARC-Target-URI": " ".join(url.split()), "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Block-Digest": f"sha256:{hashlib.sha256(body).hexdigest()}",
         "X-Page-Id": "" if page_id is None else page_id, "X-Payload-Length": len(payload), "Content-Type": "text/html; charset=utf-8", "Content-Length": len(body),
     }
     if kind == "revisit":
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page": refers_to}
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
-    return head.encode() + body + b"\r\n\r\n"
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to, "response", digest, 0), "X-Refers-To-Page": refers_to}
+    return framed(fields, body)
 
 
 def member(data: bytes, level: int) -> bytes:
@@ -81,15 +97,18 @@ def member(data: bytes, level: int) -> bytes:
 
 
 class Writer:
-    def __init__(self, folder: str, shard: int, file_bytes: int):
+    def __init__(self, folder: str, shard: int, file_bytes: int, begin):
+        """begin(name) gives the bytes that a file begins with."""
         self.fs, self.root = open_fs(folder)
         self.fs.create_dir(self.root, recursive=True)
-        self.shard, self.limit, self.seq, self.out, self.rows = shard, file_bytes, 0, None, []
+        self.shard, self.limit, self.begin, self.seq, self.out, self.rows = shard, file_bytes, begin, 0, None, []
 
     def add(self, data: bytes) -> None:
         if self.out is None:
             self.temporary = f"{self.root}/_{uuid.uuid4().hex}"
+            self.name = f"pages-{self.shard:06d}-{self.seq:05d}.warc.gz"
             self.out, self.n, self.size, self.hash = self.fs.open_output_stream(self.temporary, compression=None), 0, 0, hashlib.sha256()
+            data = self.begin(self.name) + data
         self.out.write(data)
         self.hash.update(data)
         self.n, self.size = self.n + 1, self.size + len(data)
@@ -99,9 +118,8 @@ class Writer:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            name = f"pages-{self.shard:06d}-{self.seq:05d}.warc.gz"
-            self.fs.move(self.temporary, f"{self.root}/{name}")
-            self.rows.append((self.shard, self.seq, name, self.n, self.size, self.hash.hexdigest()))
+            self.fs.move(self.temporary, f"{self.root}/{self.name}")
+            self.rows.append((self.shard, self.seq, self.name, self.n, self.size, self.hash.hexdigest()))
             self.out, self.seq = None, self.seq + 1
 
 
@@ -117,28 +135,39 @@ def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "u
     # the pages and what is known of them meet in the shard, sorted, so that the payloads move once
     kinds = revisits.select("page_id", F.lit("").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first", F.lit(0).alias("kind"))
     both = rows.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind")).unionByName(kinds)
-    n = len(bounds) + 1
-    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    shard = F.when(F.col("page_id").isNull(), n - 1).otherwise(F.size(F.filter(edges, lambda b: b <= F.col("page_id"))))
+    lost = rows.where("page_id is null").agg(F.sum(size).alias("n")).first()["n"] or 0
+    with_id, without = len(bounds) + 1, max(1, -(-int(lost) // shard_bytes))
+    n = with_id + without
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, page_id.to_numpy(), "right").astype(np.int32))
+
+    shard = F.when(F.col("page_id").isNull(), with_id + F.pmod(F.xxhash64("digest"), F.lit(without))).otherwise(shard_of(F.coalesce("page_id", F.lit(0))))
     both = both.withColumn("shard", shard.cast("int"))
     dealt = both.repartitionById(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, rows, last, first = None, [], None, None
+        begin = lambda name: member(information(name, date), level)
+        writer, rows, last, first, nth = None, [], None, None, {}
         for batch in batches:
             for r in batch.to_pylist():
                 if writer is None or writer.shard != r["shard"]:
                     if writer is not None:
                         writer.close()
                         rows += writer.rows
-                    writer, last, first = Writer(folder, r["shard"], file_bytes), None, None
+                    writer, last, first = Writer(folder, r["shard"], file_bytes, begin), None, None
                 key = (r["page_id"], r["digest"])
+                if key not in nth:
+                    nth = {key: {"response": 0, "revisit": 0}}
                 if r["kind"] == 0:
                     last, first = key, r["first"]
                     continue
                 payload = r["html"].encode()
                 to = first if key == last else None
-                data = record(r["page_id"], r["url"], "response" if to is None else "revisit", to, r["digest"], payload, date)
+                kind = "response" if to is None else "revisit"
+                data = record(r["page_id"], r["url"], kind, to, r["digest"], payload, date, nth[key][kind])
+                nth[key][kind] += 1
                 writer.add(member(data, level))
                 if key != last and r["page_id"] is not None and len(payload) >= min_revisit:
                     last, first = key, r["page_id"]  # a repeated row revisits this one
@@ -187,6 +216,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
                     for data in members(f):
                         h, body = parse(data)
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
                         digest, kind = h["WARC-Payload-Digest"].partition(":")[2], h["WARC-Type"]
                         if hashlib.sha256(body).hexdigest() != h["WARC-Block-Digest"].partition(":")[2] or kind == "response" and digest != h["WARC-Block-Digest"].partition(":")[2]:
                             raise ValueError(f"wrong digest in {name}")

@@ -393,6 +393,44 @@ def test_warc(spark):
     assert sorted((r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, twice).collect()) == [("response", None), ("revisit", 1)]
 
 
+def test_warc_shard_bounds(spark):
+    """Shards in proportion to the data, whatever the ids: 10,000 of them, clustered ids, and ids at both ends of 64 bits."""
+    from pyspark.sql import functions as F
+
+    even = spark.range(200_000).select("id", F.lit(1000).cast("long").alias("size"))
+    clustered = spark.range(5_000).select((F.col("id") * F.when(F.col("id") < 2_500, 1).otherwise(10**12)).alias("id"), F.lit(1000).cast("long").alias("size"))
+    top = (1 << 63) - 1
+    wide = spark.createDataFrame([(-top - 1, 900), (-5, 900), (0, 900), (7, 900), (8, 900), (8, 900), (top, 900), (None, 900)], "id long, size long")
+    for frame, shard_bytes, least in ((even, 20_000, 9_000), (clustered, 20_000, 250), (wide, 2_000, 3)):
+        bounds = warc.shard_bounds(frame, "id", F.col("size"), shard_bytes)
+        assert (np.diff(bounds) > 0).all() and len(bounds) >= least
+        held = {}
+        for r in frame.where("id is not null").collect():
+            held.setdefault(int(np.searchsorted(bounds, r["id"], "right")), []).append((r["id"], r["size"]))
+        assert all(sum(s for _, s in x) <= shard_bytes or len({i for i, _ in x}) == 1 for x in held.values())
+        assert len(bounds) <= 2 * frame.count() * 1000 // shard_bytes + 2
+
+
+def test_warc_very_long_payload_and_references(spark):
+    """A payload larger than shard and file limits; revisits name the record that they refer to."""
+    long = "<p>" + "".join(chr(97 + i * i % 23) for i in range(300_000))
+    pages = spark.createDataFrame([(1, "u", long), (2, "v", long), (3, "w", "x")], "page_id long, url string, html string")
+    folder = shared_dir(spark, "warc")
+    warc.write_warc(pages, folder, shard_bytes=1_000, file_bytes=500)
+    got = {r["page_id"]: r for r in warc.read_warc(spark, folder).collect()}
+    assert got[1]["payload"].decode() == long and got[2]["refers_to"] == 1 and got[2]["payload"] is None and got[3]["payload"] == b"x"
+    fields = []
+    for m in spark.read.parquet(f"{folder}/_manifest").collect():
+        with open(f"{folder.removeprefix('file:')}/{m['path']}".replace("//", "/"), "rb") as f:
+            fields += [warc.parse(x)[0] for x in warc.members(f)]
+    kinds = {}
+    for f in fields:
+        kinds.setdefault(f["WARC-Type"], []).append(f)
+    assert len(kinds["warcinfo"]) >= 1 and len({f["WARC-Record-ID"] for f in fields}) == len(fields)
+    target = {f["X-Page-Id"]: f["WARC-Record-ID"] for f in kinds["response"]}["1"]
+    assert [f["WARC-Refers-To"] for f in kinds["revisit"]] == [target]
+
+
 def test_pipeline_stages(spark, odd, bench, tmp_path):
     import corpus_pipeline
 
