@@ -108,6 +108,9 @@ class Index:
                     yield p, p + m, int(mine.text[q])
 
 
+PASSES = 2  # passes over the documents, each with the index of a block, that a task holds at once
+
+
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list]:
     """Rows of the benchmark in blocks of at most block_bytes of text (or of one item)."""
     block, size = [], 0
@@ -132,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     for block in benchmark_blocks(benchmark, item_id, item_text, block_bytes):
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), text, span, k), out.schema)
         n += 1
-        if n % 32 == 0:
+        if n % PASSES == 0:
             out = written(out, "leaks")
     if not n:  # no item has a text: words are still counted
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast([]), text, span, k), out.schema)

@@ -71,6 +71,15 @@ class EliasFano:
         one = 8 * byte + (word & -word).bit_length() - 1
         return self.least + (((one - i) << self.bits) | int(_unpack(self.low, i, 1, self.bits)[0]))
 
+    def between(self, a: int, b: int) -> np.ndarray:
+        """The values a to b - 1, from the part of the high bits that has them."""
+        if not a < b:
+            return np.zeros(0, np.int64)
+        first, last = (((self.select(i) - self.least) >> self.bits) + i for i in (a, b - 1))
+        ones = np.flatnonzero(np.unpackbits(self.high[first // 8 : last // 8 + 1], bitorder="little")[first % 8 :])[: b - a].astype(np.uint64) + np.uint64(first)
+        offset = ((ones - np.arange(a, b, dtype=np.uint64)) << np.uint64(self.bits)) | _unpack(self.low, a, b - a, self.bits)
+        return (offset + np.uint64(self.least % (1 << 64))).astype(np.int64)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
         offset = ((ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.bits)) | _unpack(self.low, 0, self.n, self.bits)

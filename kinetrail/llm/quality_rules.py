@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade of native expressions.
 
-Every rule is a Catalyst predicate on the whole text. Each rule's cost and selectivity are measured on one bounded
-sample, and the rules are ordered by rejections per second, so that most bad texts meet one cheap test. The order
-changes the time only: a text is kept when no rule rejects it, whatever comes first.
+Every rule is a Catalyst predicate on the whole text. Each rule's cost, with the features that it needs, and selectivity
+are measured on one bounded sample, and the rules are ordered by rejections per second, so that most bad texts meet one
+cheap test. The order changes the time only: a text is kept when no rule rejects it, whatever comes first. keep_good
+computes a feature only where its rule is reached; quality_rules returns the features and so computes them all.
 
 Defined cases: a null text has no words and fails the base rule; an empty text likewise; a null doc_id is carried
 through; repeated rows are judged one by one; an empty table gives an empty result. Columns of the input other than the
@@ -70,76 +71,95 @@ def repeat_words(words: Column, width: int = 3) -> Column:
     return let(words, count)
 
 
-def features(text: Column) -> Column:
-    """The features of a text as one struct. Everything is bound inside one expression, so that no optimiser rule copies the splitting of a text into several places."""
+def parts(text: Column, words: Column, blank: Column) -> dict[str, Column]:
+    """The features of a text as expressions, of which only those that are used are computed."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(" " + SPACES))) > 0)
+    return {
+        "words": words,
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(without(blank, " ")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"),
+        "lines": let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))),
+        "n_repeat_words": repeat_words(words).cast("long"),
+    }
+
+
+def with_parts(text: Column, body) -> Column:
+    """body(parts of the text). Everything is bound inside one expression, so that no optimiser rule copies the splitting of a text into several places."""
     t = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(" " + SPACES))) > 0)
+    return let(let(blanked(t), lambda b: F.struct(b.alias("b"), F.array_remove(F.split(b, " "), "").alias("w"))), lambda s: body(parts(t, s["w"], s["b"])))
 
-    def count(s: Column) -> Column:
-        return F.struct(
-            s["w"].alias("words"),
-            F.size(s["w"]).cast("long").alias("n_words"),
-            F.length(without(s["b"], " ")).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(without(t, SYMBOLS))).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
-            repeat_words(s["w"]).cast("long").alias("n_repeat_words"),
-        )
 
-    return let(let(blanked(t), lambda b: F.struct(b.alias("b"), F.array_remove(F.split(b, " "), "").alias("w"))), count)
+def features(text: Column) -> Column:
+    """The features of a text as one struct."""
+    return with_parts(text, lambda f: F.struct(*[x.alias(name) for name, x in f.items()]))
 
 
-def base_failed(f: Column) -> Column:
+def base_failed(f) -> Column:
     return (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: from the features of a text to a predicate, true for a bad text."""
+    """rejects: from the features of a text, by name, to a predicate, true for a bad text."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable
 
 
 def default_rules() -> list[Rule]:
     return [
         Rule("word_length", lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 14 * f["n_words"])),
         Rule("symbols", lambda f: 10 * f["n_symbols"] > f["n_words"]),
-        Rule("repeated_lines", lambda f: 10 * f["lines"]["dup"] > 3 * f["lines"]["n"]),
+        Rule("repeated_lines", lambda f: let(f["lines"], lambda x: 10 * x["dup"] > 3 * x["n"])),
         Rule("capitals", lambda f: 2 * F.size(F.filter(f["words"], lambda x: (F.upper(x) == x) & (F.lower(x) != x))) > f["n_words"]),
         Rule("no_letters", lambda f: 10 * F.size(F.filter(f["words"], lambda x: F.lower(x) != F.upper(x))) < 7 * f["n_words"]),
     ]
 
 
+def base_rules() -> list[Rule]:
+    return [Rule("few_words", lambda f: f["n_words"] < 50), Rule("repeated_words", lambda f: 100 * f["n_repeat_words"] > 50 * f["n_words"])]
+
+
+def sampled(docs: DataFrame, text: str, sample_rows: int, seed: int) -> DataFrame:
+    n = docs.count()
+    return docs.select(F.col(text).alias("t")).sample(fraction=min(1.0, 2 * sample_rows / max(1, n)), seed=seed).limit(sample_rows)
+
+
 def order_rules(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
-    """rules by rejections per second on the features (column `f`) of sample, best first; ties keep the given order."""
+    """rules by rejections per second on the texts (column `t`) of sample, best first; ties keep the given order. What a rule
+    costs beyond the splitting into words, which all share, includes its features."""
 
-    def run(*columns: Column):
+    def run(body):
         began = time.perf_counter()
-        row = sample.agg(F.count(F.lit(1)), *columns).first()
+        row = sample.agg(F.count(F.lit(1)), F.sum(with_parts(F.col("t"), body).cast("long"))).first()
         return time.perf_counter() - began, row
 
-    run()
-    idle = min(run()[0] for _ in range(2))
+    run(lambda f: f["n_words"] < 0)
+    idle = min(run(lambda f: f["n_words"] < 0)[0] for _ in range(2))
     rates = []
     for rule in rules:
-        took, row = run(F.sum(rule.rejects(F.col("f")).cast("long")))
+        took, row = run(rule.rejects)
         rates.append(((row[1] or 0) / max(1, row[0])) / max(1e-3, took - idle))
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -rates[i])]
 
 
+def ordered(docs: DataFrame, text: str, rules: Sequence[Rule], sample_rows: int, seed: int) -> list[Rule]:
+    if len(rules) < 2:
+        return list(rules)
+    sample = sampled(docs, text, sample_rows, seed).persist()
+    rules = order_rules(sample, rules)
+    sample.unpersist()
+    return rules
+
+
 def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = 1000, seed: int = 17) -> DataFrame:
     """docs' own columns, with the features and verdict as one struct column `__quality`:
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     sample_rows bounds the sample that the rules' order is estimated on; it has no influence on any row's verdict.
     """
-    rules = list(rules if rules is not None else default_rules())
-    if len(rules) > 1:
-        n = docs.count()
-        sample = docs.select(F.col(text).alias("t")).sample(fraction=min(1.0, 2 * sample_rows / max(1, n)), seed=seed).limit(sample_rows)
-        sample = sample.select(features(F.col("t")).alias("f")).persist()
-        rules = order_rules(sample, rules)
-        sample.unpersist()
+    rules = ordered(docs, text, default_rules() if rules is None else rules, sample_rows, seed)
 
     def judge(f: Column) -> Column:
         verdict = F.when(base_failed(f), False)
@@ -151,6 +171,14 @@ def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", rules
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns], let(features(F.col(text)), judge).alias("__quality"))
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rejected rows, same columns."""
-    return quality_rules(docs, **options).where("__quality.kept").drop("__quality")
+def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = 1000, seed: int = 17) -> DataFrame:
+    """docs without the rejected rows, same columns. The base rule's two halves are rules of the cascade like the others."""
+    cascade = ordered(docs, text, [*base_rules(), *(default_rules() if rules is None else rules)], sample_rows, seed)
+
+    def kept(f) -> Column:
+        verdict = F.when(cascade[0].rejects(f), False)
+        for rule in cascade[1:]:
+            verdict = verdict.when(rule.rejects(f), False)
+        return verdict.otherwise(True)
+
+    return docs.where(with_parts(F.col(text), kept))

@@ -4,16 +4,18 @@ Documents are range-sorted by id; every task tokenizes its range and writes shar
 or four bytes each, and two Elias-Fano sequences, the documents' ids and where each document ends. Shards are written
 under temporary names and renamed; only those that the manifest lists count, so a repeated task leaves no trace.
 
-Pieces of texts are encoded once per worker and reused: the tokenizer drops white space, never matches across it, and parts
-letters from other characters, so the ids of a text are those of such pieces, one after another.
+Pieces of texts are encoded once per worker and reused where the tokenizer allows it: where it drops white space, never
+matches across it, and parts letters from other characters (its file says so: WORD_SPLIT), the ids of a text are those of such pieces,
+one after another. With any other tokenizer texts are encoded whole.
 
-Defined cases: a null text is empty and has the end id alone; documents without id come first; equal ids are ordered by
+Defined cases: other columns are left out; a very long text is encoded like others, in a slice of its own; a null text is empty and has the end id alone; documents without id come first; equal ids are ordered by
 text; repeated rows are written each; an empty table makes no shard.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import struct
@@ -57,6 +59,18 @@ def pieces_of_text(text: str) -> list[str]:
     return (QUOTED if "'" in low else PLAIN).findall(low)
 
 
+#: Fixed value: the pattern by which a tokenizer must split texts, all else being dropped, for pieces to be coded apart.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_words(t) -> bool:
+    """Whether the tokenizer lower-cases and then keeps the matches of WORD_SPLIT alone."""
+    rules = json.loads(t.to_str())
+    steps = (rules.get("normalizer") or {}).get("normalizers", [])
+    split = next(iter((rules.get("pre_tokenizer") or {}).get("pretokenizers", [])), {})
+    return [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split["pattern"] == {"Regex": WORD_SPLIT} and split["behavior"] == "Removed" and split["invert"]
+
+
 @lru_cache(2)
 def word_cache(path: str) -> WordCache:
     """Ids of pieces of texts, kept for the life of the worker."""
@@ -90,7 +104,9 @@ def word_cache(path: str) -> WordCache:
         out[mine], out[~mine] = flat, rest
         return out, lengths
 
-    return WordCache(encode_pieces, 500_000)
+    cache = WordCache(encode_pieces, 500_000) if splits_words(t) else WordCache(encode_apart, 0)
+    cache.split = pieces_of_text if splits_words(t) else lambda text: [text]
+    return cache
 
 
 def encode_texts(texts: list[str | None], cache: WordCache, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +115,7 @@ def encode_texts(texts: list[str | None], cache: WordCache, end_id: int) -> tupl
     counts = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         if t:
-            found = pieces_of_text(t)
+            found = cache.split(t)
             counts[i] = len(found)
             words += found
     flat, lengths = cache.lookup(words)
@@ -194,14 +210,13 @@ def read_token_ids(spark: SparkSession, folder: str) -> DataFrame:
             for name, base in zip(*(batch.column(c).to_pylist() for c in ("path", "base")), strict=True):
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
                     shard = Shard(f.read())
-                ends = shard.ends.all()
-                ids = [None] * shard.nulls + shard.doc_ids.all().tolist()
                 for a in range(0, shard.n_docs, 1024):
-                    part = ends[a : a + 1024]
-                    first = int(ends[a - 1]) if a else 0
+                    b = min(a + 1024, shard.n_docs)
+                    first, part = shard.ends.select(a - 1) if a else 0, shard.ends.between(a, b)
+                    ids = [None] * max(0, min(b, shard.nulls) - a) + shard.doc_ids.between(max(0, a - shard.nulls), max(0, b - shard.nulls)).tolist()
                     offsets = np.concatenate([[first], part])
                     flat = shard.ids[first : int(part[-1])].astype("<u4")
                     packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(((offsets - first) * 4).astype(np.int32)), pa.py_buffer(flat)])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 1024], pa.int64()), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), packed], ["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), packed], ["doc_id", "start", "n_tokens", "ids"])
 
     return tasks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

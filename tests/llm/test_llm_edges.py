@@ -393,6 +393,25 @@ def test_warc(spark):
     assert sorted((r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, twice).collect()) == [("response", None), ("revisit", 1)]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_ids_of_any_tokenizer(spark, odd, name):
+    """A tokenizer that keeps spaces gets whole texts; boundaries are read by ranges, documents by select."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary(name)
+    t = Tokenizer.from_file(path)
+    folder = shared_dir(spark, "token-ids")
+    token_ids.write_token_ids(odd.select("doc_id", "text"), folder, path, end_id=1, max_ids=20_000)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, np.frombuffer(r["ids"], "<u4").tolist()) for r in token_ids.read_token_ids(spark, folder).collect())
+    assert got == sorted((r["doc_id"] if r["doc_id"] is not None else -1, [*t.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in odd.collect())
+    for m in spark.read.parquet(f"{folder}/_manifest").collect():
+        with open(f"{folder.removeprefix('file:')}/{m['path']}".replace("//", "/"), "rb") as f:
+            shard = token_ids.Shard(f.read())
+        ends = [shard.ends.select(i) for i in range(shard.n_docs)]
+        assert shard.ends.between(0, shard.n_docs).tolist() == ends == shard.ends.all().tolist()
+        assert [len(shard.document(i)) for i in range(shard.n_docs)] == np.diff([0, *ends]).tolist()
+
+
 def test_warc_shard_bounds(spark):
     """Shards in proportion to the data, whatever the ids: 10,000 of them, clustered ids, and ids at both ends of 64 bits."""
     from pyspark.sql import functions as F
