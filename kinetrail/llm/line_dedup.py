@@ -3,11 +3,13 @@
 Lines are exploded with their positions and reduced to a 128-bit hash of the normalised line. Distinct documents are
 counted per hash in two steps (by hash and document first, so a line that a third of all rows holds is spread and
 pre-aggregated before its own key meets), hashes over the threshold are joined back, and each text is reassembled by
-position. Only hashes and positions move with the lines; texts move once, in the last join.
+position. Lines with a thousandth of all common ones' places, of which there are a thousand at most, are named to all tasks, and their rows
+meet their hash in SALTS places instead of one. Only hashes and positions move with the lines; texts move once, in the last join.
 
 Defined cases: a null or empty text is one empty line and comes back as the empty text; a null doc_id counts as one document that is
 smaller than any other; rows that repeat (same id, same text) get the same result each; an empty table gives an empty
-result; other columns, whatever their names, are kept as they are.
+result; very long texts are handled like others; other columns are kept as they are, whatever their names but those that
+begin with `__l` (this operator's own).
 """
 
 from __future__ import annotations
@@ -15,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import written
+
 SPACE = " \t\n\x0b\x0c\r"
+SALTS = 16
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,8 +38,14 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_char
     lines = lines.withColumn("__l_line", ascii_lower(F.col("__l_line")))
     lines = lines.select("__l_id", "__l_row", "__l_pos", F.xxhash64("__l_line").alias("__l_h1"), F.xxhash64(F.lit(7), "__l_line").alias("__l_h2"))
     held = lines.select("__l_h1", "__l_h2", "__l_id").distinct()
-    common = held.groupBy("__l_h1", "__l_h2").agg(F.count(F.lit(1)).alias("__l_n"), F.max("__l_id").alias("__l_keep")).where(F.col("__l_n") >= min_docs).drop("__l_n")
-    drops = lines.join(common, ["__l_h1", "__l_h2"]).where(~F.col("__l_id").eqNullSafe(F.col("__l_keep")))
+    common = held.groupBy("__l_h1", "__l_h2").agg(F.count(F.lit(1)).alias("__l_n"), F.max("__l_id").alias("__l_keep")).where(F.col("__l_n") >= min_docs)
+    common = written(common, "common-lines")
+    held_by = common.agg(F.sum("__l_n").alias("n")).first()["n"] or 0
+    hot = common.where(F.col("__l_n") * 1000 > held_by).select("__l_h1", "__l_h2", F.lit(True).alias("__l_hot"))  # fewer than 1000 rows
+    lines = lines.join(F.broadcast(hot), ["__l_h1", "__l_h2"], "left").withColumn("__l_salt", F.when(F.col("__l_hot"), F.pmod(F.xxhash64("__l_id", "__l_row", "__l_pos"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__l_hot")
+    salts = F.when(F.col("__l_n") * 1000 > held_by, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    common = common.withColumn("__l_salt", F.explode(salts)).drop("__l_n")
+    drops = lines.join(common, ["__l_h1", "__l_h2", "__l_salt"]).where(~F.col("__l_id").eqNullSafe(F.col("__l_keep")))
     drops = drops.groupBy("__l_id", "__l_row").agg(F.collect_set("__l_pos").alias("__l_drop")).select(F.col("__l_id").alias("__l_id2"), F.col("__l_row").alias("__l_row2"), "__l_drop")
     joined = docs.join(drops, docs["__l_id"].eqNullSafe(drops["__l_id2"]) & (docs["__l_row"] == drops["__l_row2"]), "left")
 
