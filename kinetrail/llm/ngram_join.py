@@ -31,9 +31,9 @@ from .common import flat_text, pieces_of
 from .components import components, written
 from .words import Words, mix
 
-SIGNED = "id long, row long, size int, key1 long, key2 long, need int, prefixes array<long>, tails array<long>"
-FIELD, FIELDS = 10, 6  # bits of each value beyond the common prefix, and how many such values a label has at most
-MEMBER = "tree int, prefix long, i int, j int, b int, id long, row long, tail long, labels binary, grams binary"
+SIGNED = "id long, row long, size int, key1 long, key2 long, need int, prefixes array<long>, tails array<int>"
+FIELD, FIELDS = 5, 6  # bits of each value beyond the common prefix, and how many such values a label has at most
+MEMBER = "tree int, prefix long, i int, j int, b int, id long, row long, tail int, labels binary, grams binary"
 WIDTH = 1 << 16  # n-grams in a block of an incidence matrix
 
 
@@ -119,7 +119,7 @@ def sign(docs: DataFrame, n: int, threshold: float, recall: float, trees: int, d
                     keys[1, full] = mix(np.add.reduceat(mix(values ^ salts[0]), first) ^ salts[1 % trees])
                 live = np.flatnonzero(need)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(need > 0, trees, 0))]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[live].ravel().view(np.int64))) for x in (heads, tails)]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (heads[live].ravel().view(np.int64), tails[live].ravel().astype(np.int32))]
                 columns = [batch.column("id"), batch.column("row"), pa.array(sizes.astype(np.int32)), *(pa.array(k.view(np.int64)) for k in keys), pa.array(need), *lists]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SIGNED.split(", ")])
 
@@ -144,9 +144,10 @@ class Group:
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.rows = np.array([r[1] for r in rows], np.int64)
         self.block = np.array([r[2] for r in rows])
-        labels = np.array([np.frombuffer(r[3], np.int64) for r in rows])
-        self.heads, self.tails = labels[:, :trees], labels[:, trees : 2 * trees]
-        self.beyond = labels[:, -1] - base  # values that each needs beyond the common prefix
+        labels = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.heads = np.ascontiguousarray(labels[:, : 8 * trees]).view(np.int64)
+        tails = np.ascontiguousarray(labels[:, 8 * trees :]).view(np.int32)
+        self.tails, self.beyond = tails[:, :-1], tails[:, -1] - base  # values that each needs beyond the common prefix
         sets = [unpacked(r[4]) for r in rows]
         self.sizes = np.array([len(s) for s in sets], np.int64)
         # n-grams that one member alone has are in no intersection
@@ -262,7 +263,7 @@ def _members(n: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in MEMBER.split(", ")]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for whole in batches:
             for batch in pieces_of(whole, "text", 1 << 20):
                 values, bounds = gram_sets(batch.column("text"), n)
@@ -270,7 +271,7 @@ def _members(n: int, block: int):
                 held = 0
                 for k, (id, row, groups, prefixes, tails, need) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "row", "groups", "prefixes", "tails", "need")), strict=True)):
                     grams = packed(values[bounds[k] : bounds[k + 1]])
-                    labels = np.array([*prefixes, *tails, need], np.int64).tobytes()
+                    labels = np.array(prefixes, np.int64).tobytes() + np.array([*tails, need], np.int32).tobytes()
                     mixed = int(mix(np.array([id ^ row], np.int64).view(np.uint64))[0])
                     for g in groups:
                         blocks = -(-g["members"] // block)
