@@ -250,10 +250,50 @@ def evenly(n: Column, k: int | Column) -> Column:
     return F.when(n <= k, index(n)).otherwise(F.transform(index(k), lambda i: F.floor(i * (n - 1) / F.greatest(k - 1, F.lit(1))).cast("int")))
 
 
-def prompt_points(pts: Column, n: int, margin: int = 4) -> Column:
-    """n visible points spread along a midline without its tips."""
-    inner = F.filter(F.slice(pts, margin + 1, F.greatest(F.size(pts) - 2 * margin, F.lit(0))), lambda p: p.isNotNull())
-    return let(inner, lambda v: F.transform(evenly(F.size(v), n), lambda i: F.get(v, i)))
+def rounded_places(first: Column, last: Column, n: int) -> Column:
+    """n places from first to last at equal distances, rounded half to even."""
+    step = (last - first) / max(n - 1, 1)
+    return F.transform(index(F.lit(n)), lambda i: F.bround(first + i * step, 0).cast("int"))
+
+
+def prompt_points(pts: Column, n: int, margin: int = 4, least: int = 12) -> Column:
+    """n visible points spread along a midline without its tips: `margin` visible points at each end are left out. None below `least` visible points."""
+    nothing = F.array().cast("array<struct<x:double,y:double>>")
+    return let(
+        F.filter(pts, lambda p: p.isNotNull()),
+        lambda v: F.when(F.size(v) < least, nothing).otherwise(F.transform(rounded_places(F.lit(float(margin)), F.size(v) - 1.0 - margin, n), lambda i: F.get(v, i))),
+    )
+
+
+def at_edge(p: Column, width: Column, height: Column, edge: float = 40.0) -> Column:
+    """Whether a point lies within `edge` of the frame's border."""
+    return edge_distance(p, width, height) <= edge
+
+
+def edge_distance(p: Column, width: Column, height: Column) -> Column:
+    """Distance of a point from the nearest border of its frame."""
+    return F.least(p["x"], p["y"], width - 1 - p["x"], height - 1 - p["y"])
+
+
+def end_widths(profile: Column, part: int = 5) -> Column:
+    """Mean widths (head, tail) of the first and last `part` points of a width profile."""
+    mean = lambda v: total(v) / F.size(v)
+    return let(profile, lambda w: F.struct(mean(F.slice(w, 1, part)).alias("head"), mean(F.slice(w, F.size(w) - part + 1, part)).alias("tail")))
+
+
+def sign_bit(x: Column) -> Column:
+    """Whether a double has its sign bit set: also for -0.0."""
+    return F.when(x == 0, F.startswith(x.cast("string"), F.lit("-"))).otherwise(x < 0)
+
+
+def middle(values: Column) -> Column:
+    """The middle element (the later one of two)."""
+    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+
+
+def cyclic(values: Column, k: Column) -> Column:
+    """Element k of endlessly repeated values."""
+    return F.get(values, F.pmod(k, F.size(values)).cast("int"))
 
 
 def profile_ratio(values: Column, part: int) -> Column:

@@ -127,21 +127,25 @@ def ward(df: DataFrame, group: str, id: str, vector: str, k: int) -> DataFrame:
     return df.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {id} {kinds[id]}, cluster long, place long")
 
 
-def silhouette(df: DataFrame, id: str, label: str, vector: str, block: int = 512) -> DataFrame:
-    """(id, label, a, b, s) with Euclidean distances; rows alone in their label are left out. Rows are packed in blocks, and
-    pairs of blocks are measured as matrices; only sums per row and label leave them."""
-    n = max(1, -(-df.count() // block))
-    packed = df.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    packed = packed.groupBy("block").agg(F.collect_list(F.struct("id", "label", "v")).alias("rows"))
-    # every block meets every other one through an equality of explicit pair numbers
-    left = packed.select(F.col("block").alias("i"), F.col("rows").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    right = packed.select(F.col("block").alias("j"), F.col("rows").alias("y"))
+def silhouette(df: DataFrame, id: str, label: str, vector: str, block: int = 512, strip: int = 16) -> DataFrame:
+    """(id, label, a, b, s) with Euclidean distances; rows alone in their label are left out. Rows are packed in blocks on one
+    side and in strips of `strip` blocks on the other; a block visits every strip, where pairs are measured as matrices and
+    only sums per row and label leave. What moves is rows / (block * strip) times the table."""
+    count = df.count()
+    plain = df.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
+
+    def packed(n: int, name: str, rows: str) -> DataFrame:
+        return plain.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list(F.struct("id", "label", "v")).alias(rows))
+
+    n, strips = max(1, -(-count // block)), max(1, -(-count // (block * strip)))
+    left = packed(n, "i", "x").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    right = packed(strips, "j", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 x, y = (np.array([p["v"] for p in r[c]], float) for c in "xy")
-                d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+                d = np.concatenate([np.sqrt(((x[:, None] - y[None, k : k + 128]) ** 2).sum(-1)) for k in range(0, len(y), 128)], axis=1)
                 ids, labels = np.array([p["id"] for p in r["x"]]), np.array([p["label"] for p in r["x"]])
                 other_ids, other = np.array([p["id"] for p in r["y"]]), np.array([p["label"] for p in r["y"]])
                 kinds = np.unique(other)

@@ -6,8 +6,11 @@ dense_spine first where frames can be missing.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.geometry import evenly, filter1d, gaussian_weights
 
@@ -123,15 +126,18 @@ def orientation_parity(df: DataFrame, keys: list[str], frame: str, same: str, fl
 
 
 def ema(df: DataFrame, keys: list[str], frame: str, value: str, keep: float, out: str) -> DataFrame:
-    """Running mean keep * before + (1 - keep) * now, from the first row's value on."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(frame).alias("f"), F.col(value).cast("double").alias("v")))).alias("s"))
-    acc = F.aggregate(
-        "s",
-        F.array().cast("array<struct<f:bigint,e:double>>"),
-        lambda a, r: F.concat(a, F.array(F.struct(r["f"].cast("bigint").alias("f"), F.when(F.size(a) == 0, r["v"]).otherwise(keep * F.element_at(a, -1)["e"] + (1 - keep) * r["v"]).alias("e")))),
-    )
-    out_rows = rows.select(*keys, F.explode(acc).alias("z")).select(*keys, F.col("z.f").alias(frame), F.col("z.e").alias(out))
-    return df.join(out_rows, [*keys, frame], "left")
+    """Running mean keep * before + (1 - keep) * now, from the first row's value on: sequential within a key."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(frame, kind="stable")
+        values, mean, means = pdf[value].to_numpy(float), None, []
+        for v in values.tolist():
+            mean = v if mean is None else keep * mean + (1 - keep) * v
+            means.append(mean)
+        return pdf.assign(**{out: np.array(means, float)})
+
+    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
+    return df.groupBy(*keys).applyInPandas(run, schema)
 
 
 def zero_cross_rate(df: DataFrame, keys: list[str], frame: str, value: str, fps: float, least: int) -> DataFrame:

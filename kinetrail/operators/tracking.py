@@ -6,6 +6,8 @@ frame's; keys are spread over the cluster.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,48 +60,70 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]), j) for j in range(m) if owner[j] >= 0)
 
 
+class LiveTracks:
+    """Tracks of one video that can still be continued, in the order in which they began: id, last frame, place, area, border."""
+
+    FIELDS = ("ids", "lasts", "xs", "ys", "areas", "borders")
+
+    def __init__(self, gap: int, near: float, far: float, area_log: float, keep: float, state: tuple | None = None):
+        self.gap, self.near, self.far, self.area_log, self.keep = gap, near, far, area_log, keep
+        self.started, *columns = state or (0, *[[]] * 6)
+        self.ids, self.lasts, self.xs, self.ys, self.areas, self.borders = (np.array(c, t) for c, t in zip(columns, (np.int64, np.int64, float, float, float, bool), strict=True))
+
+    def state(self) -> tuple:
+        return (self.started, *(getattr(self, c).tolist() for c in self.FIELDS))
+
+    def step(self, frame: int, x: np.ndarray, y: np.ndarray, area: np.ndarray, border: np.ndarray) -> np.ndarray:
+        """Track ids of a frame's components."""
+        area = np.maximum(area, 1e-9)
+        kept = frame - self.lasts <= self.gap
+        for c in self.FIELDS:
+            setattr(self, c, getattr(self, c)[kept])
+        wait = frame - self.lasts
+        d = np.hypot(x[:, None] - self.xs, y[:, None] - self.ys)
+        ratio = np.abs(np.log(area[:, None] / self.areas))
+        ok = (wait > 0) & (d < np.where(wait == 1, self.near, self.far)) & ((ratio <= self.area_log) | border[:, None] | self.borders)
+        pairs = greedy_pairs(np.where(ok, d + 0.5 * wait + 200 * ratio, np.inf))
+        out = np.full(len(x), -1, np.int64)
+        i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+        out[i] = self.ids[j]
+        self.lasts[j], self.xs[j], self.ys[j], self.borders[j] = frame, x[i], y[i], border[i]
+        whole = ~border[i]  # a body that the border cuts tells nothing of its area
+        self.areas[j[whole]] = self.keep * self.areas[j[whole]] + (1 - self.keep) * area[i[whole]]
+        new = np.flatnonzero(out < 0)
+        out[new] = self.started + np.arange(len(new))
+        self.started += len(new)
+        for c, v in zip(self.FIELDS, (out[new], np.full(len(new), frame), x[new], y[new], area[new], border[new]), strict=True):
+            setattr(self, c, np.concatenate([getattr(self, c), v]))
+        return out
+
+    def run(self, pdf: pd.DataFrame) -> np.ndarray:
+        """Track ids of components that are sorted by frame."""
+        frames, border = pdf["frame"].to_numpy(np.int64), pdf["border"].to_numpy(bool)
+        x, y, area = pdf[["cx", "cy", "area"]].to_numpy(float).T
+        parts = np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(frames)) + 1) if len(pdf) else []
+        return np.concatenate([np.zeros(0, np.int64), *(self.step(int(frames[r[0]]), x[r], y[r], area[r], border[r]) for r in parts)])
+
+
 def track(df: DataFrame, video: str = "video", gap: int = 200, near: float = 150.0, far: float = 450.0, area_log: float = 0.7, keep: float = 0.9) -> DataFrame:
     """Track ids for components (frame, comp_id, cx, cy, area, border) of each video, in frame order: candidates within the
     gate (near for the next frame, far after a gap) and of similar area unless a border is involved, taken by ascending
-    d + gap / 2 + 200 |log area ratio|; what remains starts a track. A track's area is a running mean."""
+    d + gap / 2 + 200 |log area ratio|; what remains starts a track. A track's area is a running mean over components off the border."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame", "comp_id"], kind="stable")
-        tracks: list[dict] = []
-        ids = np.zeros(len(pdf), np.int64)
-        values = pdf[["frame", "cx", "cy", "area"]].to_numpy(float)
-        border = pdf["border"].to_numpy(bool)
-        frames = values[:, 0]
-        cuts = np.flatnonzero(np.diff(frames)) + 1
-        for rows in np.split(np.arange(len(pdf)), cuts) if len(pdf) else []:
-            f = frames[rows[0]]
-            live = [t for t in tracks if f - t["last"] <= gap]
-            cost = np.full((len(rows), len(live)), np.inf)
-            for c, t in enumerate(live):
-                wait = f - t["last"]
-                d = np.hypot(values[rows, 1] - t["x"], values[rows, 2] - t["y"])
-                ratio = np.abs(np.log(np.maximum(values[rows, 3], 1e-9) / t["area"]))
-                ok = (d < (near if wait == 1 else far)) & ((ratio <= area_log) | border[rows] | t["border"])
-                cost[ok, c] = (d + 0.5 * wait + 200 * ratio)[ok]
-            taken = {}
-            for i, c in greedy_pairs(cost):
-                taken[i] = live[c]
-            for i, r in enumerate(rows):
-                x, y, area = values[r, 1:]
-                t = taken.get(i)
-                if t is None:
-                    t = {"id": len(tracks), "area": max(area, 1e-9)}
-                    tracks.append(t)
-                else:
-                    t["area"] = keep * t["area"] + (1 - keep) * max(area, 1e-9)
-                t |= {"last": f, "x": x, "y": y, "border": border[r]}
-                ids[r] = t["id"]
+        ids = LiveTracks(gap, near, far, area_log, keep).run(pdf)
         return pd.DataFrame({video: pdf[video], "frame": pdf["frame"], "comp_id": pdf["comp_id"], "track_id": ids})
 
     kinds = dict(df.dtypes)
     return df.groupBy(video).applyInPandas(run, f"{video} {kinds[video]}, frame {kinds['frame']}, comp_id {kinds['comp_id']}, track_id long")
 
 
+def link_reach(body: float) -> float:
+    """How far apart midlines of one body may be in following frames."""
+    return max(60.0, 0.15 * body)
+
+
 def midline_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Flip-invariant mean point distances of midlines a (n, p, 2) and b (m, p, 2)."""
     one = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)).mean(-1)
@@ -182,33 +206,58 @@ def cluster_detections(df: DataFrame, frame: str = "frame", reach: float = 60.0)
     return df.groupBy(frame).applyInPandas(run, f"{frame} {kinds[frame]}, det_id {kinds['det_id']}, cluster long")
 
 
+def matched(truth: pd.DataFrame, found: pd.DataFrame) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(optimal pairs, their distances relative to the mean true length) of one frame."""
+    if not len(truth) or not len(found):
+        return [], np.zeros(0)
+    cost = midline_distances(_midlines(truth["m"]), _midlines(found["m"]))
+    pairs = hungarian(cost)
+    return pairs, np.array([cost[i, j] for i, j in pairs]) / truth["len"].to_numpy(float).mean()
+
+
 def score_frames(truth: DataFrame, found: DataFrame, frame: str = "frame", recovered: float = 0.05, ok: float = 0.10) -> DataFrame:
-    """Per frame: optimal assignment of found to true midlines; errors relative to the true length. Columns truth: m, len; found: m, border (extras at the border are not counted)."""
+    """Per frame: assignment of found to true midlines of least total distance; errors relative to the frame's mean true
+    length. miss and extra are what is left without partner (extras at the border are not counted); all_recovered: neither
+    of these, and all errors below `recovered`. Columns truth: m, len; found: m, border."""
 
     def run(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        pairs, err = [], np.zeros(0)
-        if len(t) and len(p):
-            cost = midline_distances(_midlines(t["m"]), _midlines(p["m"])) / t["len"].to_numpy(float)[:, None]
-            pairs = hungarian(cost)
-            err = np.array([cost[i, j] for i, j in pairs])
+        pairs, err = matched(t, p)
         used = {j for _, j in pairs}
         extra = sum(1 for j, b in enumerate(p["border"]) if j not in used and not b) if len(p) else 0
-        row = {frame: key[0], "n_gt": len(t), "n_pred": len(p), "n_match": len(pairs), "miss": len(t) - int((err < ok).sum()), "extra": extra, "recovered": int((err < recovered).sum()), "ok": int((err < ok).sum()), "all_recovered": bool(len(t) and (err < recovered).sum() == len(t)), "err_mean": float(err.mean()) if len(err) else None}
+        miss, good = len(t) - len(pairs), int((err < recovered).sum())
+        row = {frame: key[0], "n_gt": len(t), "n_pred": len(p), "n_match": len(pairs), "miss": miss, "extra": extra, "recovered": good, "ok": int((err < ok).sum()), "all_recovered": bool(len(t) and not miss and not extra and good == len(pairs)), "err_mean": float(err.mean()) if len(err) else None}
         return pd.DataFrame([row])
 
     kind = dict(truth.dtypes)[frame]
     return truth.groupBy(frame).cogroup(found.groupBy(frame)).applyInPandas(run, f"{frame} {kind}, n_gt long, n_pred long, n_match long, miss long, extra long, recovered long, ok long, all_recovered boolean, err_mean double")
 
 
+def recovered_roles(truth: DataFrame, found: DataFrame, frame: str = "frame", role: str = "role", recovered: float = 0.05) -> DataFrame:
+    """Per frame and role of a true midline: whether one of that role has a partner with an error below `recovered`."""
+
+    def run(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        pairs, err = matched(t, p)
+        hit = np.zeros(len(t), bool)
+        hit[[i for (i, _), e in zip(pairs, err, strict=True) if e < recovered]] = True
+        out = pd.DataFrame({role: t[role].to_numpy(), "ok": hit}).groupby(role, as_index=False)["ok"].max()
+        return out.assign(**{frame: key[0]})[[frame, role, "ok"]]
+
+    kinds = dict(truth.dtypes)
+    return truth.groupBy(frame).cogroup(found.groupBy(frame)).applyInPandas(run, f"{frame} {kinds[frame]}, {role} {kinds[role]}, ok boolean")
+
+
 def thin(df: DataFrame, key: str, frame: str, gap: int, priority: str) -> DataFrame:
     """Rows of each key so that all kept frames are at least `gap` apart, taken by descending priority (ties: a hash order of the frame)."""
 
     def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
         mixed = (pdf[frame].to_numpy(np.uint64) + np.uint64(1)) * np.uint64(2654435761) % np.uint64(1 << 32)
+        frames = pdf[frame].to_numpy()
         kept: list[int] = []
+        taken: list[int] = []  # kept frames, sorted
         for i in np.lexsort((mixed, -pdf[priority].to_numpy(float))):
-            f = pdf[frame].iloc[i]
-            if all(abs(f - pdf[frame].iloc[j]) >= gap for j in kept):
+            at = bisect.bisect_left(taken, frames[i])
+            if all(abs(frames[i] - f) >= gap for f in taken[max(0, at - 1) : at + 1]):
+                taken.insert(at, frames[i])
                 kept.append(i)
         return pdf.iloc[sorted(kept)]
 

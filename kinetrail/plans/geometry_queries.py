@@ -162,7 +162,9 @@ def rigid_transform(spark, d):
     return exploded(mid(spark, d).select("vec_id", g.rigid(F.col("pts"), F.lit(0.5), F.lit(2.0), F.lit(-1.0)).alias("p")), ["vec_id"])
 
 
-@query(f"WITH {MID}, v AS (SELECT vec_id, i, x, row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY vec_id) AS n FROM mp WHERE i BETWEEN 4 AND 27 AND x >= -0.3), p AS (SELECT *, list_position([floor(q * (n - 1) / 6.0)::BIGINT for q in range(0, 7)], k) AS q FROM v WHERE n > 7 UNION ALL SELECT *, k + 1 FROM v WHERE n <= 7) SELECT vec_id, CAST(q - 1 AS INTEGER) AS i, round(x, 6) AS x FROM p WHERE q IS NOT NULL")
+@query(f"""WITH {MID}, v AS (SELECT vec_id, x, row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY vec_id) AS n FROM mp WHERE x >= -0.3),
+q AS (SELECT DISTINCT vec_id, i, CAST(round_even(4 + i * ((n - 9) / 6.0::DOUBLE), 0) AS BIGINT) AS k FROM v, (SELECT unnest(range(0, 7)) AS i) WHERE n >= 12)
+SELECT vec_id, CAST(q.i AS INTEGER) AS i, round(x, 6) AS x FROM v JOIN q USING (vec_id, k)""")
 def prompt_sampling(spark, d):
     return hidden(spark, d).select("vec_id", F.posexplode(g.prompt_points(F.col("pts"), 7)).alias("i", "q")).select("vec_id", "i", F.round("q.x", 6).alias("x"))
 
@@ -196,11 +198,7 @@ SELECT k.frame, max(det_id) FILTER (r1 = 1) AS score, max(det_id) FILTER (r2 = 1
 any_value(CASE WHEN fi IS NULL OR (NOT fl BETWEEN 0.85 * {TARGET} AND 1.15 * {TARGET} AND oa < fa) THEN oi ELSE fi END) AS ftsafe FROM k JOIN f ON f.frame = k.frame GROUP BY k.frame""")
 def rep_rules(spark, d):
     m = det(spark, d).select("frame", "det_id", "model", F.col("score").alias("sc"), F.round(g.arc_length(F.col("pts")), 9).alias("len"))
-    out = None
-    for rule in ("score", "longest", "ftfirst", "nearL", "ftsafe"):
-        one = matching.pick_representative(m, ["frame"], rule, "sc", "len", "model", "det_id", TARGET).withColumnRenamed("member", rule)
-        out = one if out is None else out.join(one, "frame")
-    return out
+    return m.groupBy("frame").agg(*[matching.representative(rule, "sc", "len", "model", "det_id", TARGET).alias(rule) for rule in ("score", "longest", "ftfirst", "nearL", "ftsafe")])
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id, a.label, b.label AS other, avg(list_distance(a.v, b.v)) AS m FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.label),

@@ -120,7 +120,7 @@ def episodes_merged(spark, d):
 @query(f"WITH {MERGED} SELECT ep.track, a, b, b - a + 1 AS frames, (b - a + 1) / 20.0 AS seconds, count(*) FILTER (cx > 40) AS n_close, round(max(cx), 6) AS peak, CASE WHEN max(cx) > 100 THEN 'pile' WHEN count(*) FILTER (cx > 40) * 2 > count(*) THEN 'contact' ELSE 'touch' END AS kind FROM ep JOIN pts ON pts.track = ep.track AND frame BETWEEN a AND b GROUP BY ep.track, a, b")
 def contact_episodes(spark, d):
     e = s.merge_episodes(bridged(spark, d), ["track"], 4)
-    j = e.join(pts(spark, d), "track").where("frame between a and b")
+    j = e.withColumn("frame", F.explode(F.sequence("a", "b"))).join(pts(spark, d), ["track", "frame"])
     out = j.groupBy("track", "a", "b").agg(F.count_if(F.col("cx") > 40).alias("n_close"), F.max("cx").alias("peak"), F.count(F.lit(1)).alias("n"))
     kind = F.when(F.col("peak") > 100, "pile").when(F.col("n_close") * 2 > F.col("n"), "contact").otherwise("touch")
     return out.select("track", "a", "b", (F.col("b") - F.col("a") + 1).alias("frames"), ((F.col("b") - F.col("a") + 1) / 20.0).alias("seconds"), "n_close", R("peak"), kind.alias("kind"))

@@ -6,13 +6,14 @@ come out in append mode once the watermark has passed them, so late rows within
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tracking import LiveTracks
+
 EPOCH = 1_600_000_000  # a multiple of every window length used here; frame 0's time
 
 
@@ -43,39 +44,23 @@ def _names(aggregates: list[Column]) -> list[str]:
     return [a._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for a in aggregates]
 
 
-def track(stream: DataFrame, key: str = "video", gap: int = 200, near: float = 150.0, far: float = 450.0) -> DataFrame:
-    """Track ids per video for components (frame, comp_id, cx, cy) that arrive in frame order within a video. The state is the
-    list of live tracks; a track that was not seen for `gap` frames leaves it, which bounds its size. Rows of one
-    micro-batch are sorted by frame first."""
+def track(stream: DataFrame, key: str = "video", gap: int = 200, near: float = 150.0, far: float = 450.0, area_log: float = 0.7, keep: float = 0.9, idle_ms: int = 3_600_000) -> DataFrame:
+    """Track ids per video for components (frame, comp_id, cx, cy, area, border) that arrive in frame order within a video: the batch tracker's
+    steps, with its live tracks as state. A track that was not seen for `gap` frames leaves the state, and a video's state
+    goes when nothing arrived for idle_ms. Without areas or borders all are alike. Rows of one micro-batch are sorted by frame first."""
+    kind = dict(stream.dtypes)[key]
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, ids, lasts, xs, ys = state.get if state.exists else (0, [], [], [], [])
-        live = [dict(id=i, last=f, x=x, y=y) for i, f, x, y in zip(ids, lasts, xs, ys, strict=True)]
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["frame", "comp_id"], kind="stable")
-        out = []
-        for frame, group in pdf.groupby("frame", sort=True):
-            live = [t for t in live if frame - t["last"] <= gap]
-            pairs = []
-            for i, (x, y) in enumerate(zip(group["cx"], group["cy"], strict=True)):
-                for j, t in enumerate(live):
-                    wait, d = frame - t["last"], math.hypot(x - t["x"], y - t["y"])
-                    if wait > 0 and d < (near if wait == 1 else far):
-                        pairs.append((d + 0.5 * wait, i, j))
-            taken, used = {}, set()
-            for _, i, j in sorted(pairs):
-                if i not in taken and j not in used:
-                    taken[i] = live[j]
-                    used.add(j)
-            for i, (comp, x, y) in enumerate(zip(group["comp_id"], group["cx"], group["cy"], strict=True)):
-                t = taken.get(i)
-                if t is None:
-                    t = {"id": n}
-                    n += 1
-                    live.append(t)
-                t |= {"last": int(frame), "x": float(x), "y": float(y)}
-                out.append((k[0], int(frame), int(comp), t["id"]))
-        state.update((n, [t["id"] for t in live], [t["last"] for t in live], [t["x"] for t in live], [t["y"] for t in live]))
-        yield pd.DataFrame(out, columns=[key, "frame", "comp_id", "track_id"])
-
-    kind = dict(stream.dtypes)[key]
-    return stream.select(key, "frame", "comp_id", "cx", "cy").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, frame long, comp_id long, track_id long", "n long, ids array<long>, lasts array<long>, xs array<double>, ys array<double>", "append", "NoTimeout")
+        live = LiveTracks(gap, near, far, area_log, keep, state.get if state.exists else None)
+        ids = live.run(pdf)
+        state.update(live.state())
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({key: k[0], "frame": pdf["frame"].astype("int64"), "comp_id": pdf["comp_id"].astype("int64"), "track_id": ids})
+
+    names = zip(LiveTracks.FIELDS, ("long", "long", "double", "double", "double", "boolean"), strict=True)
+    has = {c: F.col(c) if c in stream.columns else F.lit(x).alias(c) for c, x in (("area", 1.0), ("border", False))}
+    return stream.select(key, "frame", "comp_id", "cx", "cy", *has.values()).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, frame long, comp_id long, track_id long", "started long, " + ", ".join(f"{c} array<{t}>" for c, t in names), "append", "ProcessingTimeTimeout")
