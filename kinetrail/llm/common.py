@@ -22,6 +22,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def released(run):
+    """run (a function from batches to batches), which gives its worker's unused memory back when it is done: workers stay for later tasks of other kinds."""
+
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def open_fs(uri: str):
     """(pyarrow filesystem, path) of a URI; works on executors, where Hadoop's own API is out of reach for Python."""
     from pyarrow import fs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, pieces_of
+from .common import flat_text, pieces_of, released
 from .components import written
 from .words import Words
 
@@ -133,12 +133,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     out = docs.withColumn("__leak", F.expr("named_struct('n_words', 0L, 'spans', cast(array() as array<struct<a:int,b:int>>), 'items', cast(array() as array<string>))"))
     n = 0
     for block in benchmark_blocks(benchmark, item_id, item_text, block_bytes):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), text, span, k), out.schema)
+        out = out.mapInArrow(released(_pass(spark.sparkContext.broadcast(block), text, span, k)), out.schema)
         n += 1
         if n % PASSES == 0:
             out = written(out, "leaks")
     if not n:  # no item has a text: words are still counted
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast([]), text, span, k), out.schema)
+        out = out.mapInArrow(released(_pass(spark.sparkContext.broadcast([]), text, span, k)), out.schema)
     return out
 
 

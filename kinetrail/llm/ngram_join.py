@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, pieces_of
+from .common import flat_text, pieces_of, released
 from .components import components, written
 from .words import Words, mix
 
@@ -123,7 +123,7 @@ def sign(docs: DataFrame, n: int, threshold: float, recall: float, trees: int, d
                 columns = [batch.column("id"), batch.column("row"), pa.array(sizes.astype(np.int32)), *(pa.array(k.view(np.int64)) for k in keys), pa.array(need), *lists]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SIGNED.split(", ")])
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(released(run), SIGNED)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -244,9 +244,9 @@ def _classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5
     groups = leaves.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     live = leaves.join(groups, ["tree", "prefix"]).groupBy("id", "row").agg(F.collect_list(F.struct("tree", "prefix", "members")).alias("groups"))
     live = live.join(reps, ["id", "row"])
-    members = rows.where("id is not null").join(live, ["id", "row"]).mapInArrow(_members(n, block), MEMBER)
+    members = rows.where("id is not null").join(live, ["id", "row"]).mapInArrow(released(_members(n, block)), MEMBER)
     sorted_members = members.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "tail", "id", "row")
-    verified = written(sorted_members.mapInArrow(_verify(threshold, trees, base), "id long, row long, root_id long, root_row long, links long"), "links")
+    verified = written(sorted_members.mapInArrow(released(_verify(threshold, trees, base)), "id long, row long, root_id long, root_row long, links long"), "links")
     links = verified.groupBy("id", "row").agg(F.sum("links").alias("n"))
     links = links.select(F.struct("id", "row").alias("rep"), "n")
     roots = components(verified.select(F.struct("id", "row").alias("u"), F.struct(F.col("root_id").alias("id"), F.col("root_row").alias("row")).alias("v")).where("u <> v"))

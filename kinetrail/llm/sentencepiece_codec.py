@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import WordCache, flat_text, pieces_of, spans_to_index
+from .common import WordCache, flat_text, pieces_of, released, spans_to_index
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
                     columns[decoded] = pa.array(m.decode_batch(flat, sizes), pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -230,4 +230,4 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
                 out = pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], pa.string())
                 yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name) for f in schema if f.name != text} | {text: out})
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(released(run), schema)
