@@ -499,3 +499,50 @@ def test_ngram_join_depths_differ(spark):
     signed = {x["id"]: x for x in ngram_join.sign(ngram_join.texts(docs, "doc_id", "text"), 5, 0.8, 0.99999, 16, 8).collect()}
     assert len({x["need"] for x in signed.values()}) >= 3
     assert not signed[0]["prefixes"] and all(len(x["prefixes"]) == len(x["tails"]) == 16 for x in signed.values() if x["need"])
+
+
+def around(passage, r, n=40):
+    return [*fresh(n, r), *passage, *fresh(n, r)]
+
+
+@pytest.mark.parametrize("phrase", [0, 35, 40, 49])
+def test_passage_dedup_recall_around_a_phrase_that_all_share(spark, phrase):
+    """Repeats of 60 words, all exact ones found; and near copies of 55 to 120 words, 0.95 of them at least. All documents share a phrase."""
+    r = random.Random(100 + phrase)
+    line = fresh(phrase, r)
+    first, second, kinds = [], [], []
+    while len(first) < 160:
+        exact = len(first) % 2 == 0
+        size = 60 if exact else r.randint(55, 120)
+        own = fresh(size - phrase, r)
+        k = r.randint(0, len(own))
+        q = [*own[:k], *line, *own[k:]]
+        v = list(q)
+        for _ in range(0 if exact else r.randint(1, 2)):
+            v[r.randrange(size)] = f"edit{r.randrange(10**9)}"
+        if len(shingles(" ".join(q)) & shingles(" ".join(v))) >= 0.8 * len(shingles(" ".join(q)) | shingles(" ".join(v))):
+            first.append(around(q, r))
+            second.append(around(v, r))
+            kinds.append((exact, size))
+    got = removed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*first, *second])], "doc_id long, text string"))
+    share = [sum(min(b, 40 + size) - max(a, 40) for a, b in got[160 + i][0] if b > 40 and a < 40 + size) / size for i, (_, size) in enumerate(kinds)]
+    assert all(s == 1 for s, (exact, _) in zip(share, kinds) if exact)
+    near = [s >= 0.8 for s, (exact, _) in zip(share, kinds) if not exact]
+    assert sum(near) >= 0.95 * len(near)
+    if phrase < 41:  # longer ones are similar passages themselves
+        assert not any(got[i][0] for i in range(160))
+
+
+def test_passage_dedup_of_a_crowd_around_one_original(spark):
+    """200 copies that are similar to an original in their middle, but hardly to each other, against brute force."""
+    r = random.Random(6)
+    base, texts = fresh(60, r), []
+    for i in range(201):
+        w = list(base)
+        if i != 100:
+            w[r.randrange(5, 55)] = f"edit{i}"
+        texts.append(around(w, r, 30))
+    sets = [shingles(" ".join(t[30:90])) for t in texts]
+    need = [i for i in range(201) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(i))]
+    got = removed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sum(any(a < 90 and b > 30 for a, b in got[i][0]) for i in need) >= 0.9 * len(need)
