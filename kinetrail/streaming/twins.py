@@ -44,10 +44,11 @@ def _names(aggregates: list[Column]) -> list[str]:
     return [a._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for a in aggregates]
 
 
-def track(stream: DataFrame, key: str = "video", gap: int = 200, near: float = 150.0, far: float = 450.0, area_log: float = 0.7, keep: float = 0.9, idle_ms: int = 3_600_000) -> DataFrame:
+def track(stream: DataFrame, key: str = "video", gap: int = 200, near: float = 150.0, far: float = 450.0, area_log: float = 0.7, keep: float = 0.9, idle_ms: int | None = None) -> DataFrame:
     """Track ids per video for components (frame, comp_id, cx, cy, area, border) that arrive in frame order within a video: the batch tracker's
-    steps, with its live tracks as state. A track that was not seen for `gap` frames leaves the state, and a video's state
-    goes when nothing arrived for idle_ms. Without areas or borders all are alike. Rows of one micro-batch are sorted by frame first."""
+    steps, with its live tracks as state. A track that was not seen for `gap` frames leaves the state, and with
+    idle_ms a video's state goes when nothing arrived for that long; such a query runs until it is stopped, also with availableNow.
+    Without areas or borders all are alike. Rows of one micro-batch are sorted by frame first."""
     kind = dict(stream.dtypes)[key]
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -58,9 +59,10 @@ def track(stream: DataFrame, key: str = "video", gap: int = 200, near: float = 1
         live = LiveTracks(gap, near, far, area_log, keep, state.get if state.exists else None)
         ids = live.run(pdf)
         state.update(live.state())
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: k[0], "frame": pdf["frame"].astype("int64"), "comp_id": pdf["comp_id"].astype("int64"), "track_id": ids})
 
     names = zip(LiveTracks.FIELDS, ("long", "long", "double", "double", "double", "boolean"), strict=True)
     has = {c: F.col(c) if c in stream.columns else F.lit(x).alias(c) for c, x in (("area", 1.0), ("border", False))}
-    return stream.select(key, "frame", "comp_id", "cx", "cy", *has.values()).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, frame long, comp_id long, track_id long", "started long, " + ", ".join(f"{c} array<{t}>" for c, t in names), "append", "ProcessingTimeTimeout")
+    return stream.select(key, "frame", "comp_id", "cx", "cy", *has.values()).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, frame long, comp_id long, track_id long", "started long, " + ", ".join(f"{c} array<{t}>" for c, t in names), "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
