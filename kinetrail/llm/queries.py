@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, ngram_join, passage_dedup, ppm, quality_rules, sentencepiece_codec, suffix_dedup, token_ids, warc
+from . import decontamination, importance_resampling, language_id, line_dedup, ngram_join, passage_dedup, ppm, quality_rules, sentencepiece_codec, suffix_dedup, token_ids, warc
 from .common import shared_dir
 
 
@@ -136,5 +136,32 @@ def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", n_dup.alias("n_dup_words"), F.size("spans").cast("long").alias("n_spans"), "sources", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op7_passage_dedup": op7_passage_dedup, "op8_ngram_join": op8_ngram_join, "op9_suffix_dedup": op9_suffix_dedup, "op3_ppm": op3_ppm, "op2_token_ids": op2_token_ids, "op5_warc": op5_warc, "op6_sentencepiece": op6_sentencepiece, "op1_quality_rules": op1_quality_rules, "op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination}
-ORACLES = {"op8_ngram_join": OP8_SQL, "op5_warc": OP5_SQL, "op1_quality_rules": OP1_SQL, "op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH crc AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)),
+a AS (SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM a),
+f AS (SELECT side, id, k, count(*) AS n FROM (SELECT side, id, unnest(w) AS k FROM w) GROUP BY side, id, k),
+d AS (SELECT k, sum(n) FILTER (side = 's') AS s, sum(n) FILTER (side = 't') AS t FROM f GROUP BY k),
+x AS (SELECT k, s, t, list_transform(range(strlen(k)), lambda i: ('0x' || substr(hex(encode(k)), 2 * i + 1, 2))::BIGINT) AS b FROM d),
+h AS (SELECT k, s, x.t, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, crc.t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM x, crc),
+g AS (SELECT bucket, coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t FROM h GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM g),
+m AS (SELECT id, sum(n * gain)::DOUBLE AS total FROM f JOIN h USING (k) JOIN gain USING (bucket) WHERE side = 's' GROUP BY id),
+r AS (SELECT id AS doc_id, len(w)::BIGINT AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE floor(total / len(w))::BIGINT END AS weight, ('0x' || sha256('2024:' || id)[1:8])::BIGINT AS h FROM w LEFT JOIN m USING (id) WHERE side = 's'),
+v AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS p, count(*) FILTER (n_features >= 20) OVER () AS n FROM v)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND p <= 10 * n // 100 THEN p END AS rank FROM o"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return language_id.language_id(docs, ~held).select("doc_id", held.alias("held_out"), F.col("__lang.pred").alias("lang_pred"), F.col("__lang.score").alias("score"))
+
+
+QUERIES = {"op7_passage_dedup": op7_passage_dedup, "op8_ngram_join": op8_ngram_join, "op9_suffix_dedup": op9_suffix_dedup, "op3_ppm": op3_ppm, "op2_token_ids": op2_token_ids, "op5_warc": op5_warc, "op6_sentencepiece": op6_sentencepiece, "op1_quality_rules": op1_quality_rules, "op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination, "op11_importance_resampling": op11_importance_resampling, "op12_language_id": op12_language_id}
+ORACLES = {"op8_ngram_join": OP8_SQL, "op5_warc": OP5_SQL, "op1_quality_rules": OP1_SQL, "op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL, "op11_importance_resampling": OP11_SQL}
