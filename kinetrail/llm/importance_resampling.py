@@ -108,7 +108,7 @@ def dictionary(parts: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
 
     both = strings(parts, "s").unionByName(strings(target, "t")).groupBy("feature").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     both = written(both.withColumn("bucket", (F.crc32("feature") % buckets).cast("int")), "feature-dictionary")
-    filled = written(both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).coalesce(1), "feature-buckets")
+    filled = written(both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "feature-buckets")
     total = filled.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("all_s"), F.coalesce(F.sum("t"), F.lit(0)).alias("all_t"))
     gains = filled.crossJoin(F.broadcast(total)).select("bucket", gain(F.col("s"), F.col("t"), F.col("all_s"), F.col("all_t"), buckets).alias("gain"))  # total has one row
     return both.where("s > 0").join(F.broadcast(gains), "bucket").select("feature", "gain")  # gains has as many rows as buckets
