@@ -13,8 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return track_points(table(spark, sf_dir, "events"))
+
+
+def track_points(e: DataFrame) -> DataFrame:
     """One track per user on a dense frame spine with a centroid; five videos."""
-    e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(
         F.col("user_id").alias("track"),
