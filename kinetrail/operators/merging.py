@@ -18,7 +18,7 @@ from . import series as s
 BAD_FLAGS = ("cluster", "small_fragment", "split")
 UNLABELLED = ("", "-", "no_midline", "both_ends_cut", "visible_longer_than_body")
 DEBRIS_FRAMES, DEBRIS_SHARE, DEBRIS_STILL, DEBRIS_AREA = 5, 0.005, 8.0, 0.3
-OUTLIER, CLEAN_LEAST = 0.2, 10
+OUTLIER, CLEAN_LEAST, SIZES_LEAST = 0.2, 10, 20
 PLAUSIBLE = (0.6, 1.3)
 
 
@@ -41,22 +41,32 @@ def plausible(length: Column, body: Column | float) -> Column:
     return (length >= PLAUSIBLE[0] * F.lit(body)) & (length <= PLAUSIBLE[1] * F.lit(body))
 
 
-def debris(df: DataFrame, video: str, track: str, frame: str, x: str, y: str, area: str) -> DataFrame:
-    """(video, track, n, debris): tracks of too few frames, or small ones that never move. Frames and median area are the video's."""
-    per_video = df.groupBy(video).agg((F.max(frame) + 1).alias("__n"), r.median(area).alias("__a"))
+def body_sizes(df: DataFrame, video: str, area: str, length: str, clean: Column, least: int = SIZES_LEAST) -> DataFrame:
+    """(video, median_area, median_length, big_area): medians and the 90th percentile of areas of a video's clean components; of all with a midline where fewer than `least` are clean."""
+    c = F.coalesce(clean & F.col(length).isNotNull(), F.lit(False))
+    any_of = lambda col, on: F.when(on, F.col(col))
+    whole = F.col(length).isNotNull()
+    out = df.groupBy(video).agg(F.count_if(c).alias("__n"), *[f(any_of(col, on)).alias(f"__{n}{k}") for k, on in (("c", c), ("a", whole)) for n, col, f in (("m", area, r.median), ("l", length, r.median), ("p", area, r.p90))])
+    pick = lambda n: F.when(F.col("__n") < least, F.col(f"__{n}a")).otherwise(F.col(f"__{n}c"))
+    return out.select(video, pick("m").alias("median_area"), pick("l").alias("median_length"), pick("p").alias("big_area"))
+
+
+def debris(df: DataFrame, videos: DataFrame, video: str, track: str, x: str, y: str, area: str) -> DataFrame:
+    """(video, track, n, debris): tracks of too few frames, or small ones that never move. videos: video, n_frames of the whole video and median_area of its clean components."""
+    per_video = videos.select(video, F.col("n_frames").alias("__n"), F.col("median_area").alias("__a"))
     per_track = df.groupBy(video, track).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.stddev_pop(x), F.stddev_pop(y)).alias("__still"), r.median(area).alias("__area"))
     short = F.col("n") < F.greatest(F.lit(DEBRIS_FRAMES), DEBRIS_SHARE * F.col("__n"))
     still = (F.col("__still") < DEBRIS_STILL) & (F.col("__area") < DEBRIS_AREA * F.col("__a"))
     return per_track.join(per_video, video).select(video, track, "n", (short | still).alias("debris"))
 
 
-def without_debris(df: DataFrame, video: str, track: str, frame: str, x: str, y: str, area: str) -> DataFrame:
-    return df.join(debris(df, video, track, frame, x, y, area).where("debris"), [video, track], "left_anti")
+def without_debris(df: DataFrame, videos: DataFrame, video: str, track: str, x: str, y: str, area: str) -> DataFrame:
+    return df.join(debris(df, videos, video, track, x, y, area).where("debris"), [video, track], "left_anti")
 
 
-def length_outliers(df: DataFrame, video: str, track: str, length: str, border: Column, clean: Column, out: str = "outlier") -> DataFrame:
-    """Whether a length off the border is more than 20 % from its track's: the median of the clean ones, or the video's where fewer than ten are clean."""
-    per_video = df.groupBy(video).agg(r.median(length).alias("__v"))
+def length_outliers(df: DataFrame, videos: DataFrame, video: str, track: str, length: str, border: Column, clean: Column, out: str = "outlier") -> DataFrame:
+    """Whether a length off the border is more than 20 % from its track's: the median of the clean ones, or, where fewer than ten are clean, the video's median_length (of body_sizes)."""
+    per_video = videos.select(video, F.col("median_length").alias("__v"))
     per_track = df.groupBy(video, track).agg(r.median(F.when(clean, F.col(length))).alias("__t"), F.count(F.when(clean, F.col(length))).alias("__n"))
     ref = F.when(F.col("__n") >= CLEAN_LEAST, F.col("__t")).otherwise(F.col("__v"))
     far = ~border & F.coalesce(F.abs(F.col(length) - ref) / ref > OUTLIER, F.lit(False))
@@ -70,11 +80,12 @@ def track_widths(df: DataFrame, keys: list[str], profile: str, turned: Column) -
     return ends.select(*keys, F.when(F.col("turned"), F.col("t")).otherwise(F.col("h")).alias("head"), F.when(F.col("turned"), F.col("h")).otherwise(F.col("t")).alias("tail"))
 
 
-def new_tracks(found: DataFrame, assigned: DataFrame, keys: list[str], tracklet: str, score: str, tracks: int, least: int = 60, floor: float = 0.5) -> DataFrame:
-    """(keys, tracklet, track) of long, well-scored tracklets that no track took: they get the numbers after the key's existing tracks, in order."""
+def new_tracks(found: DataFrame, assigned: DataFrame, counts: DataFrame, keys: list[str], tracklet: str, score: str, least: int = 60, floor: float = 0.5) -> DataFrame:
+    """(keys, tracklet, track) of long, well-scored tracklets that no track took: they get the numbers after the key's existing tracks, in order. counts: keys, n_tracks (none: 0)."""
     sure = found.groupBy(*keys, tracklet).agg(F.count(F.lit(1)).alias("__n"), r.median(score).alias("__m")).where((F.col("__n") >= least) & (F.col("__m") >= floor))
     free = sure.join(assigned.select(*keys, tracklet), [*keys, tracklet], "left_anti").select(*keys, tracklet)
-    return free.withColumn("track", (F.row_number().over(s.by(keys, tracklet)) - 1 + tracks).cast("long"))
+    free = free.join(counts.select(*keys, F.col("n_tracks").alias("__k")), keys, "left")
+    return free.withColumn("track", (F.row_number().over(s.by(keys, tracklet)) - 1 + F.coalesce("__k", F.lit(0))).cast("long")).drop("__k")
 
 
 def orientation_chain(found: DataFrame, labels: DataFrame, keys: list[str], frame: str, pts: str) -> DataFrame:
@@ -90,20 +101,20 @@ def orientation_chain(found: DataFrame, labels: DataFrame, keys: list[str], fram
 
 def rewrite_quality(qc: DataFrame, touched: DataFrame, keys: list[str], flags: str, status: str, worms: str, flag: str, slots: int) -> DataFrame:
     """Quality rows after a merge. touched: keys, slot, kind. Statuses are padded to `slots`; in touched rows the slots get
-    their kinds, the flag is added and the number of worms counted anew."""
+    their kinds, the flag is added and the number of worms counted anew; the flags of other rows stay as they are."""
     kinds = touched.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), "kind"))).alias("__k"))
     padded = r.pad_status(F.split(status, ";"), slots)
     rows = qc.join(kinds, keys, "left").withColumn("__s", F.transform(padded, lambda x, i: F.coalesce(F.try_element_at("__k", i), x)))
     hit = F.col("__k").isNotNull()
     count = F.size(F.filter("__s", lambda x: ~x.isin(*UNLABELLED))).cast("long")
-    added = F.when(hit, F.array_union(r.flag_set(flags), F.array(F.lit(flag)))).otherwise(r.flag_set(flags))
-    return rows.withColumns({flags: r.join_flags(added), worms: F.when(hit, count).otherwise(F.col(worms)), status: F.array_join("__s", ";")}).drop("__k", "__s")
+    added = F.when(hit, r.join_flags(F.array_union(r.flag_set(flags), F.array(F.lit(flag))))).otherwise(F.col(flags))
+    return rows.withColumns({flags: added, worms: F.when(hit, count).otherwise(F.col(worms)), status: F.array_join("__s", ";")}).drop("__k", "__s")
 
 
 def usable_masks(df: DataFrame, keys: list[str], area: str, body_area: Column | float, least: float = 0.4, most: float = 1.7) -> DataFrame:
     """Per frame, how many components are of a body's size; frames where a component is larger than one body could be, or that have none, are left out."""
     a, unit = F.col(area), F.lit(body_area)
-    return df.where(a >= least * unit).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(a).alias("__m"), F.max(unit).alias("__u")).where(F.col("__m") <= most * F.col("__u")).drop("__m", "__u")
+    return df.where(a >= F.floor(least * unit)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(a).alias("__m"), F.max(unit).alias("__u")).where(F.col("__m") <= most * F.col("__u")).drop("__m", "__u")
 
 
 def absorbed_frames(present: DataFrame, near: DataFrame, video: str, track: str, frame: str, reach: float, most: int = 400) -> DataFrame:
@@ -125,10 +136,11 @@ def instance_gate(inside: Column, spur: Column, length: Column, body: Column) ->
     return (inside >= 0.9) & (spur <= 0.12) & (F.abs(length / body - 1) <= 0.2)
 
 
-def mask_of_label(points: DataFrame, runs: DataFrame, frame: str, label: str, component: str, least: float = 0.9) -> DataFrame:
+def mask_of_label(points: DataFrame, runs: DataFrame, frame: str, label: str, component: str, least: float = 0.9, size: tuple[int, int] | None = None) -> DataFrame:
     """(frame, label, component, share) of the component that holds most of a label's points, where it holds enough. points: x, y;
-    runs: the pixel runs (y, x0, x1, both ends inside) of the components."""
-    at = points.select(frame, label, F.bround("x", 0).cast("int").alias("__x"), F.bround("y", 0).cast("int").alias("y"))
+    runs: the pixel runs (y, x0, x1, both ends inside) of the components. size: width and height, into which points are clipped."""
+    limited = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)) if size else c
+    at = points.select(frame, label, *[limited(F.bround(c, 0).cast("int"), n).alias(a) for c, n, a in (("x", size and size[0], "__x"), ("y", size and size[1], "y"))])
     total = points.groupBy(frame, label).agg(F.count(F.lit(1)).alias("__n"))
     held = at.join(runs, [frame, "y"]).where(F.col("__x").between(F.col("x0"), F.col("x1"))).groupBy(frame, label, component).agg(F.count(F.lit(1)).alias("__h"))
     top = held.groupBy(frame, label).agg(F.max_by(F.struct(component, "__h"), F.struct("__h", -F.col(component))).alias("__t")).join(total, [frame, label])
@@ -158,20 +170,29 @@ def prompts(tracks: DataFrame, episode: str, step: int, frames: int, near: int =
 
 def clean_prompt(episodes: DataFrame, context: DataFrame, keys: list[str], frame: str) -> DataFrame:
     """For each episode (a, b) its last context frame before it, else the first after it; reverse says which."""
-    j = episodes.join(context.select(*keys, frame), keys)
-    ends = j.groupBy(*keys, "a", "b").agg(F.max(F.when(F.col(frame) < F.col("a"), F.col(frame))).alias("__p"), F.min(F.when(F.col(frame) > F.col("b"), F.col(frame))).alias("__n"))
+    wanted = episodes.select(*keys, "a", "b")
+    before = s.asof(wanted, context.select(*keys, frame), keys, "a", frame, [], allow_equal=False).withColumnRenamed(f"{frame}_match", "__p")
+    ends = s.asof(before, context.select(*keys, frame), keys, "b", frame, [], forward=True, allow_equal=False).withColumnRenamed(f"{frame}_match", "__n")
     return ends.select(*keys, "a", "b", F.coalesce("__p", "__n").alias("start"), F.col("__p").isNull().alias("reverse")).where("start is not null")
 
 
 # metrics and reports
 
 
-def length_metrics(df: DataFrame, keys: list[str], frame: str, length: str, body: float) -> DataFrame:
-    """Detections and plausible ones per frame, shares of frames with one and two plausible ones, and how lengths lie about the body's."""
+def length_metrics(df: DataFrame, frames: DataFrame, keys: list[str], frame: str, length: str, body: float) -> DataFrame:
+    """Detections and plausible ones per frame, shares of frames with one and two plausible ones, and how lengths lie about the body's.
+    frames: (some of keys, frame) of all frames that were searched; those without detections count with none. Detections of other frames are left out."""
     x = F.col(length)
-    per_frame = df.groupBy(*keys, frame).agg(F.count(F.lit(1)).alias("n"), F.count_if(plausible(x, body)).alias("p"))
+    shared = [c for c in frames.columns if c in (*keys, frame)]
+    searched = frames.select(*shared).distinct()
+    df = df.join(searched, shared, "left_semi")
+    common = [c for c in keys if c in shared]
+    count = searched.groupBy(*[F.col(c) for c in common], F.lit(1).alias("__one")).agg(F.count(F.lit(1)).alias("__frames"))
+    found = df.groupBy(*keys, frame).agg(F.count(F.lit(1)).alias("n"), F.count_if(plausible(x, body)).alias("p"))
+    sums = found.groupBy(*keys, F.lit(1).alias("__one")).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.count_if(F.col("p") >= 2).alias("p2"), F.count_if(F.col("p") >= 1).alias("p1"))
+    per = lambda c, out: (F.col(c) / F.col("__frames")).alias(out)
+    frames = sums.join(count, [*common, "__one"]).select(*keys, per("n", "per_frame"), per("p", "plausible"), per("p2", "ge2"), per("p1", "ge1"))
     share = lambda c: F.avg(c.cast("double"))
-    frames = per_frame.groupBy(*keys).agg(F.avg("n").alias("per_frame"), F.avg("p").alias("plausible"), share(F.col("p") >= 2).alias("ge2"), share(F.col("p") >= 1).alias("ge1"))
     lengths = df.groupBy(*keys).agg(
         r.median(x).alias("median_length"),
         ((r.median(x) - body) / body * 100).alias("off_percent"),
@@ -192,11 +213,20 @@ def duplicate_metrics(df: DataFrame, cluster: list[str], model: str, score: str,
     return c.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(both).alias("duplicates"), F.count_if(both & (F.col("best") == base)).alias("base_wins"), r.median(F.when(both, F.col("b") - F.col("o"))).alias("length_difference"))
 
 
-def object_metrics(df: DataFrame, run: str, frame: str, obj: str, area: str, length: str, lost: float = 0.15) -> DataFrame:
-    """Per run: frames, objects, the share of frames in which all objects are of plausible length, and the share of object frames that are lost. area and length are relative to the body's."""
-    per_frame = df.groupBy(run, frame).agg(F.bool_and(plausible(F.col(length), 1.0)).alias("all"), F.count_if(F.col(area) < lost).alias("lost"), F.count(F.lit(1)).alias("n"))
-    out = per_frame.groupBy(run).agg(F.count(F.lit(1)).alias("frames"), F.avg(F.col("all").cast("double")).alias("all_plausible"), (F.sum("lost") / F.sum("n")).alias("lost"))
-    return out.join(df.groupBy(run).agg(F.count_distinct(obj).alias("objects")), run)
+def object_metrics(df: DataFrame, expected: DataFrame, run: str, frame: str, obj: str, area: str, lengths: Sequence[str], lost: float = 0.15) -> tuple[DataFrame, DataFrame]:
+    """(per run, per run and object). area and lengths are relative to the body's.
+
+    expected: run, frame, obj of every object in every frame of its run; one without a row in df has area and lengths 0.
+    Per run: frames, objects, the share of objects that are lost, and for each length the share of frames in which all
+    objects are plausible by it; a null length is 0, and so is one of an object that is lost. Per object: its mean area.
+    """
+    keys = [run, frame, obj]
+    rows = expected.select(*keys).distinct().join(df.select(*keys, area, *lengths), keys, "left").withColumn(area, F.coalesce(area, F.lit(0.0)))
+    ok = lambda c: plausible(F.when(F.col(area) >= lost, F.coalesce(c, F.lit(0.0))).otherwise(0.0), 1.0)
+    per_frame = rows.groupBy(run, frame).agg(*[F.bool_and(ok(c)).alias(f"all_{c}") for c in lengths], F.count_if(F.col(area) < lost).alias("lost"), F.count(F.lit(1)).alias("n"))
+    per_run = per_frame.groupBy(run).agg(F.count(F.lit(1)).alias("frames"), *[F.avg(F.col(f"all_{c}").cast("double")).alias(f"all_{c}") for c in lengths], (F.sum("lost") / F.sum("n")).alias("lost"))
+    per_run = per_run.join(rows.groupBy(run).agg(F.count_distinct(obj).alias("objects")), run)
+    return per_run, rows.groupBy(run, obj).agg(F.avg(area).alias("area"))
 
 
 def shown(x: Column, digits: int = 2) -> Column:

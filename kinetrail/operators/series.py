@@ -38,7 +38,7 @@ def interpolate(df: DataFrame, keys: list[str], frame: str, value: str, limit: i
     w = by(keys, frame)
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col(value).cast("double").alias("y"), F.col(frame).alias("f")))
     a = F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(seen, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    b = F.last(seen, True).over(by(keys, F.desc(frame)).rowsBetween(Window.unboundedPreceding, 0))  # backwards: a frame that ends with the key is aggregated anew for each row
     df = df.withColumns({"__a": a, "__b": b})
     line = F.col("__a.y") + (F.col("__b.y") - F.col("__a.y")) * (F.col(frame) - F.col("__a.f")) / (F.col("__b.f") - F.col("__a.f"))
     filled = F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("__a").isNull() | (F.col(frame) - F.col("__a.f") > limit), None).when(F.col("__b").isNull(), F.col("__a.y")).otherwise(line)

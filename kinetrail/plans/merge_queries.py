@@ -37,17 +37,35 @@ def edge_distance(spark, d):
     return p.select("vec_id", "i", F.round(g.edge_distance(F.col("p"), F.lit(3), F.lit(4)), 6).alias("d"), g.at_edge(F.col("p"), F.lit(3), F.lit(4), 0.2).alias("at_edge"))
 
 
-@query(f"""WITH {PTS}, v AS (SELECT video, max(frame) + 1 AS nf, quantile_cont(cy, 0.5) AS a FROM pts GROUP BY video), t AS (SELECT video, track, count(*) AS n, greatest(stddev_pop(cx), stddev_pop(cy)) AS still, quantile_cont(cy, 0.5) AS area FROM pts GROUP BY video, track)
-SELECT video, track, n, n < greatest(5, 0.005::DOUBLE * nf) OR (still < 8 AND area < 0.3::DOUBLE * a) AS debris FROM t JOIN v USING (video)""")
+SIZES = """sz AS (SELECT video, count(*) AS nf, CASE WHEN count(*) FILTER (core AND cy > 60) < 20 THEN quantile_cont(cy, 0.5) ELSE quantile_cont(cy, 0.5) FILTER (core AND cy > 60) END AS a,
+  CASE WHEN count(*) FILTER (core AND cy > 60) < 20 THEN quantile_cont(len, 0.5) ELSE quantile_cont(len, 0.5) FILTER (core AND cy > 60) END AS m,
+  CASE WHEN count(*) FILTER (core AND cy > 60) < 20 THEN quantile_cont(cy, 0.9) ELSE quantile_cont(cy, 0.9) FILTER (core AND cy > 60) END AS big FROM (SELECT *, cx + 50 AS len FROM pts) GROUP BY video)"""
+
+
+def sized(spark, d):
+    """Components with lengths, and their videos with frames and the sizes of clean components."""
+    p = pts(spark, d).withColumn("len", F.col("cx") + 50)
+    sizes = merging.body_sizes(p, "video", "cy", "len", F.col("core") & (F.col("cy") > 60))
+    return p, sizes.join(p.groupBy("video").agg(F.count(F.lit(1)).alias("n_frames")), "video")
+
+
+@query(f"WITH {PTS}, {SIZES} SELECT video, round(a, 6) AS median_area, round(m, 6) AS median_length, round(big, 6) AS big_area FROM sz")
+def body_sizes(spark, d):
+    return sized(spark, d)[1].select("video", R("median_area"), R("median_length"), R("big_area"))
+
+
+@query(f"""WITH {PTS}, {SIZES}, t AS (SELECT video, track, count(*) AS n, greatest(stddev_pop(cx), stddev_pop(cy)) AS still, quantile_cont(cy, 0.5) AS area FROM pts WHERE core GROUP BY video, track)
+SELECT video, track, n, n < greatest(5, 0.005::DOUBLE * nf) OR (still < 8 AND area < 0.3::DOUBLE * a) AS debris FROM t JOIN sz USING (video)""")
 def debris_rule(spark, d):
-    return merging.debris(pts(spark, d), "video", "track", "frame", "cx", "cy", "cy")
+    p, videos = sized(spark, d)
+    return merging.debris(p.where("core"), videos, "video", "track", "cx", "cy", "cy")
 
 
-@query(f"""WITH {PTS}, v AS (SELECT video, quantile_cont(cx + 50, 0.5) AS m FROM pts GROUP BY video), t AS (SELECT video, track, quantile_cont(cx + 50, 0.5) FILTER (core) AS m, count(*) FILTER (core) AS n FROM pts GROUP BY video, track),
-j AS (SELECT pts.track, frame, cx + 50 AS len, CASE WHEN t.n >= 10 THEN t.m ELSE v.m END AS ref FROM pts JOIN v USING (video) JOIN t USING (video, track)) SELECT track, frame, round(ref, 6) AS ref, frame % 11 <> 0 AND abs(len - ref) / ref > 0.2 AS outlier FROM j""")
+@query(f"""WITH {PTS}, {SIZES}, t AS (SELECT video, track, quantile_cont(cx + 50, 0.5) FILTER (core) AS m, count(*) FILTER (core) AS n FROM pts GROUP BY video, track),
+j AS (SELECT pts.track, frame, cx + 50 AS len, CASE WHEN t.n >= 10 THEN t.m ELSE sz.m END AS ref FROM pts JOIN sz USING (video) JOIN t USING (video, track)) SELECT track, frame, round(ref, 6) AS ref, frame % 11 <> 0 AND abs(len - ref) / ref > 0.2 AS outlier FROM j""")
 def length_outliers(spark, d):
-    p = pts(spark, d).withColumn("len", F.col("cx") + 50)
-    return merging.length_outliers(p, "video", "track", "len", F.col("frame") % 11 == 0, F.col("core")).select("track", "frame", R("ref"), "outlier")
+    p, videos = sized(spark, d)
+    return merging.length_outliers(p, videos, "video", "track", "len", F.col("frame") % 11 == 0, F.col("core")).select("track", "frame", R("ref"), "outlier")
 
 
 @query(f"""WITH {MID}, w AS (SELECT track, vec_id, avg(abs(x)) FILTER (i < 5) AS h, avg(abs(x)) FILTER (i >= 27) AS t FROM mp GROUP BY track, vec_id), a AS (SELECT track, avg(h) AS h, avg(t) AS t FROM w GROUP BY track)
@@ -57,11 +75,12 @@ def end_widths(spark, d):
     return merging.track_widths(m, ["track"], "w", F.col("track") % 2 == 1).select("track", R("head"), R("tail"))
 
 
-@query(f"""WITH {PTS}, c AS (SELECT video, track, count(*) AS n, quantile_cont(cx, 0.5) AS m FROM pts GROUP BY video, track) SELECT video, track AS tracklet, row_number() OVER (PARTITION BY video ORDER BY track) - 1 + 7 AS track FROM c WHERE n >= 5 AND m >= 5 AND track % 3 <> 0""")
+@query(f"""WITH {PTS}, c AS (SELECT video, track, count(*) AS n, quantile_cont(cx, 0.5) AS m FROM pts GROUP BY video, track) SELECT video, track AS tracklet, row_number() OVER (PARTITION BY video ORDER BY track) - 1 + video * 2 AS track FROM c WHERE n >= 5 AND m >= 5 AND track % 3 <> 0""")
 def new_tracks(spark, d):
     p = pts(spark, d).withColumnRenamed("track", "tracklet")
     taken = p.where("tracklet % 3 = 0").select("video", "tracklet").distinct()
-    return merging.new_tracks(p, taken, ["video"], "tracklet", "cx", 7, 5, 5.0)
+    counts = p.where("video > 0").groupBy("video").agg((F.max("video") * 2).alias("n_tracks"))
+    return merging.new_tracks(p, taken, counts, ["video"], "tracklet", "cx", 5, 5.0)
 
 
 CHAIN = """s AS (SELECT track, vec_id, row_number() OVER (PARTITION BY track ORDER BY vec_id) - 1 AS k FROM mid), first AS (SELECT track, min(k) AS k FROM s WHERE k % 3 = 1 GROUP BY track), ref AS (SELECT s.track, arg_max(vec_id, s.k) AS vec_id FROM s JOIN first ON first.track = s.track AND s.k < first.k WHERE s.k % 3 = 0 GROUP BY s.track),
@@ -79,16 +98,16 @@ def orientation_chain(spark, d):
 
 @query(f"""WITH {QC}, t AS (SELECT track, frame, CAST(track % 2 AS INTEGER) AS slot, CASE WHEN frame % 2 = 0 THEN 'found' ELSE 'no_midline' END AS kind FROM qc WHERE frame % 3 = 0),
 p AS (SELECT qc.track, qc.frame, flags, kind, CASE WHEN slot = 0 THEN kind ELSE label_status END AS s0, CASE WHEN slot = 1 THEN kind ELSE '-' END AS s1 FROM qc LEFT JOIN t USING (track, frame)), g AS (SELECT *, CASE WHEN kind IS NULL THEN flags ELSE concat_ws(';', nullif(flags, ''), 'from_new') END AS f FROM p)
-SELECT track, frame, array_to_string(list_sort(list_filter(string_split(f, ';'), lambda x: x <> '')), ';') AS flags, s0 || ';' || s1 AS status, CASE WHEN kind IS NULL THEN -1 ELSE CAST(s0 NOT IN ('', '-', 'no_midline', 'both_ends_cut', 'visible_longer_than_body') AS BIGINT) + CAST(s1 NOT IN ('', '-', 'no_midline', 'both_ends_cut', 'visible_longer_than_body') AS BIGINT) END AS worms FROM g""")
+SELECT track, frame, CASE WHEN kind IS NULL THEN flags ELSE array_to_string(list_sort(list_filter(string_split(f, ';'), lambda x: x <> '')), ';') END AS flags, s0 || ';' || s1 AS status, CASE WHEN kind IS NULL THEN -1 ELSE CAST(s0 NOT IN ('', '-', 'no_midline', 'both_ends_cut', 'visible_longer_than_body') AS BIGINT) + CAST(s1 NOT IN ('', '-', 'no_midline', 'both_ends_cut', 'visible_longer_than_body') AS BIGINT) END AS worms FROM g""")
 def quality_rewrite(spark, d):
     q = qc(spark, d).select("track", "frame", "flags", F.col("label_status").alias("status"), F.lit(-1).cast("long").alias("worms"))
     t = q.where("frame % 3 = 0").select("track", "frame", (F.col("track") % 2).alias("slot"), F.when(F.col("frame") % 2 == 0, "found").otherwise("no_midline").alias("kind"))
     return merging.rewrite_quality(q, t, ["track", "frame"], "flags", "status", "worms", "from_new", 2).select("track", "frame", "flags", "status", "worms")
 
 
-@query(f"WITH {PTS} SELECT video, frame, count(*) AS n FROM pts WHERE cx >= 0.4::DOUBLE * 20 GROUP BY video, frame HAVING max(cx) <= 1.7::DOUBLE * 20")
+@query(f"WITH {PTS} SELECT video, frame, count(*) AS n FROM pts WHERE cx >= floor(0.4::DOUBLE * 22) GROUP BY video, frame HAVING max(cx) <= 1.7::DOUBLE * 22")
 def usable_masks(spark, d):
-    return merging.usable_masks(pts(spark, d), ["video", "frame"], "cx", 20.0)
+    return merging.usable_masks(pts(spark, d), ["video", "frame"], "cx", 22.0)
 
 
 NEAR = """n AS (SELECT a.video, a.frame, a.track, min(abs(a.cx - b.cx)) AS d FROM pts a JOIN pts b ON a.video = b.video AND a.frame = b.frame AND a.track <> b.track WHERE a.core AND b.core GROUP BY a.video, a.frame, a.track)"""
@@ -161,11 +180,16 @@ def lengths(spark, d):
     return det(spark, d).withColumn("len", F.round(g.arc_length(F.col("pts")), 9))
 
 
-@query(f"""WITH {DET}, {SEGMENTS}, f AS (SELECT model, frame, count(*) AS n, count(*) FILTER (len >= 0.6::DOUBLE * 8 AND len <= 1.3::DOUBLE * 8) AS p FROM m GROUP BY model, frame), a AS (SELECT model, avg(n) AS per_frame, avg(p) AS plausible, avg(CASE WHEN p >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ge2, avg(CASE WHEN p >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ge1 FROM f GROUP BY model),
-b AS (SELECT model, quantile_cont(len, 0.5) AS median_length, (quantile_cont(len, 0.5) - 8) / 8 * 100 AS off_percent, quantile_cont(abs(len - 8), 0.5) FILTER (len >= 0.6::DOUBLE * 8 AND len <= 1.3::DOUBLE * 8) / 8 * 100 AS spread_percent, avg(CASE WHEN len < 0.85::DOUBLE * 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS short, avg(CASE WHEN len > 1.15::DOUBLE * 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS long FROM m GROUP BY model)
-SELECT model, {", ".join(f"round({c}, 5) AS {c}" for c in ("per_frame", "plausible", "ge2", "ge1", "median_length", "off_percent", "spread_percent", "short", "long"))} FROM a JOIN b USING (model)""")
+@query(f"""WITH {DET}, {SEGMENTS}, fr AS (SELECT DISTINCT frame, CAST(frame % 3 AS INTEGER) AS clip FROM m WHERE frame % 7 <> 6), g AS (SELECT DISTINCT clip, model FROM fr, (SELECT DISTINCT model FROM m)), x AS (SELECT m.*, CAST(frame % 3 AS INTEGER) AS clip FROM m WHERE score > 0.8::DOUBLE AND frame % 7 <> 6),
+f AS (SELECT g.clip, g.model, fr.frame, count(x.det_id) AS n, count(x.det_id) FILTER (len >= 0.6::DOUBLE * 8 AND len <= 1.3::DOUBLE * 8) AS p FROM g JOIN fr USING (clip) LEFT JOIN x ON x.model = g.model AND x.frame = fr.frame GROUP BY g.clip, g.model, fr.frame),
+a AS (SELECT clip, model, avg(n) AS per_frame, avg(p) AS plausible, avg(CASE WHEN p >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ge2, avg(CASE WHEN p >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ge1 FROM f GROUP BY clip, model),
+b AS (SELECT clip, model, quantile_cont(len, 0.5) AS median_length, (quantile_cont(len, 0.5) - 8) / 8 * 100 AS off_percent, quantile_cont(abs(len - 8), 0.5) FILTER (len >= 0.6::DOUBLE * 8 AND len <= 1.3::DOUBLE * 8) / 8 * 100 AS spread_percent, avg(CASE WHEN len < 0.85::DOUBLE * 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS short, avg(CASE WHEN len > 1.15::DOUBLE * 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS long FROM x GROUP BY clip, model)
+SELECT clip, model, {", ".join(f"round({c}, 5) AS {c}" for c in ("per_frame", "plausible", "ge2", "ge1", "median_length", "off_percent", "spread_percent", "short", "long"))} FROM a JOIN b USING (clip, model)""")
 def length_metrics(spark, d):
-    return merging.length_metrics(lengths(spark, d), ["model"], "frame", "len", 8.0).select("model", *[R(c, 5) for c in ("per_frame", "plausible", "ge2", "ge1", "median_length", "off_percent", "spread_percent", "short", "long")])
+    """Three clips whose frames were not all searched; many frames are without detections of a model."""
+    m = lengths(spark, d).withColumn("clip", (F.col("frame") % 3).cast("int"))
+    out = merging.length_metrics(m.where("score > 0.8"), m.where("frame % 7 <> 6").select("clip", "frame"), ["clip", "model"], "frame", "len", 8.0)
+    return out.select("clip", "model", *[R(c, 5) for c in ("per_frame", "plausible", "ge2", "ge1", "median_length", "off_percent", "spread_percent", "short", "long")])
 
 
 @query(f"""WITH {DET}, {SEGMENTS}, c AS (SELECT frame, track, arg_max(model, struct_pack(s := score, t := -det_id)) AS best, arg_max(len, struct_pack(s := score, t := -det_id)) FILTER (model = 'base') AS b, arg_max(len, struct_pack(s := score, t := -det_id)) FILTER (model = 'ft') AS o FROM m GROUP BY frame, track)
@@ -174,10 +198,25 @@ def duplicate_lengths(spark, d):
     return merging.duplicate_metrics(lengths(spark, d), ["frame", "track"], "model", "score", "len", "det_id", "base", "ft").select("clusters", "duplicates", "base_wins", R("length_difference"))
 
 
-@query(f"""WITH {PTS}, f AS (SELECT video, frame, bool_and(cx / 20 >= 0.6 AND cx / 20 <= 1.3) AS a, count(*) FILTER (cy / 50 < 0.15) AS l, count(*) AS n FROM pts GROUP BY video, frame) SELECT video, frames, objects, round(a, 6) AS all_plausible, round(l, 6) AS lost FROM (SELECT video, count(*) AS frames, avg(CASE WHEN a THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS a, sum(l)::DOUBLE / sum(n) AS l FROM f GROUP BY video) JOIN (SELECT video, count(DISTINCT track) AS objects FROM pts GROUP BY video) USING (video)""")
+OBJECTS = """fr AS (SELECT DISTINCT video, frame FROM pts), ob AS (SELECT DISTINCT video, track FROM pts), x AS (SELECT fr.video, fr.frame, ob.track, coalesce(cy / 50, 0) AS area, CASE WHEN cy / 50 >= 0.15 AND core THEN cx / 20 ELSE 0 END AS sk, CASE WHEN cy / 50 >= 0.15 THEN cx / 25 ELSE 0 END AS tr FROM fr JOIN ob USING (video) LEFT JOIN pts USING (video, frame, track))"""
+
+
+def tracked_objects(spark, d):
+    p = pts(spark, d).withColumns({"skeleton": F.when(F.col("core"), F.col("cx") / 20), "trail": F.col("cx") / 25, "area": F.col("cy") / 50})
+    frames = p.select("video", "frame").distinct()
+    expected = frames.join(p.select("video", "track").distinct(), "video")
+    return merging.object_metrics(p, expected, "video", "frame", "track", "area", ["skeleton", "trail"])
+
+
+@query(f"""WITH {PTS}, {OBJECTS}, f AS (SELECT video, frame, bool_and(sk >= 0.6 AND sk <= 1.3) AS a, bool_and(tr >= 0.6 AND tr <= 1.3) AS b, count(*) FILTER (area < 0.15) AS l, count(*) AS n FROM x GROUP BY video, frame)
+SELECT video, count(*) AS frames, round(avg(a::INT::DOUBLE), 6) AS all_skeleton, round(avg(b::INT::DOUBLE), 6) AS all_trail, round(sum(l)::DOUBLE / sum(n), 6) AS lost, (SELECT count(*) FROM ob WHERE ob.video = f.video) AS objects FROM f GROUP BY video""")
 def object_metrics(spark, d):
-    p = pts(spark, d).withColumns({"len": F.col("cx") / 20, "area": F.col("cy") / 50})
-    return merging.object_metrics(p, "video", "frame", "track", "area", "len").select("video", "frames", "objects", R("all_plausible"), R("lost"))
+    return tracked_objects(spark, d)[0].select("video", "frames", R("all_skeleton"), R("all_trail"), R("lost"), "objects")
+
+
+@query(f"WITH {PTS}, {OBJECTS} SELECT video, track, round(avg(area), 6) AS area FROM x GROUP BY video, track")
+def object_areas(spark, d):
+    return tracked_objects(spark, d)[1].select("video", "track", R("area"))
 
 
 @query("""WITH t AS (SELECT c_mktsegment AS video, c_name AS track, c_acctbal::DOUBLE AS b, c_custkey AS k FROM customer WHERE c_custkey % 5 = 0 AND c_mktsegment <> 'BUILDING'), v AS (SELECT DISTINCT c_mktsegment AS video FROM customer)
