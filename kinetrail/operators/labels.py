@@ -12,12 +12,13 @@ from .series import by
 REACH, FIX_SCORE = 29, 0.5
 
 
-def fill_and_fix(labels: DataFrame, found: DataFrame, flagged: DataFrame, keys: list[str], frame: str, pts: str, score: str, id: str, width: Column | float, reach: int = REACH, floor: float = FIX_SCORE) -> DataFrame:
+def fill_and_fix(labels: DataFrame, found: DataFrame, flagged: DataFrame, keys: list[str], frame: str, pts: str, score: str, id: str, width: Column | float, reach: int = REACH, floor: float = FIX_SCORE, widths: DataFrame | None = None) -> DataFrame:
     """(keys, frame, pts, kind, flipped) of all labels after the detections were written in frame order.
 
     labels: keys, frame, pts (complete ones). found: keys, frame, pts, score, id; the best score of a frame counts (ties: the
     smaller id). It fills a missing label; in flagged frames (rows of some of keys and frame) it replaces one that lies more
-    than width away, if its score is floor at least. kind is fill, fix or null for labels that stay.
+    than width away, if its score is floor at least. kind is fill, fix or null for labels that stay. widths: a table of some of the keys
+    with the column that width names, where widths differ.
 
     What is written takes the orientation of the nearest label at most reach frames before it, as that one stands then,
     rewritten or not; else of the nearest one at most reach frames after it, as it stood at first; else it stays as it is.
@@ -30,6 +31,8 @@ def fill_and_fix(labels: DataFrame, found: DataFrame, flagged: DataFrame, keys:
     marks = [c for c in flagged.columns if c in (*keys, frame)]
     rows = labels.select(*keys, frame, F.col(pts).alias("__l")).join(best, [*keys, frame], "full")
     rows = rows.join(flagged.select(*marks).distinct().withColumn("__bad", F.lit(True)), marks, "left")
+    if widths is not None:
+        rows = rows.join(widths, [c for c in widths.columns if c in keys], "left")
     had = F.col("__l").isNotNull()
     far = g.flip_distance(F.col("__w"), F.col("__l")) > (width if isinstance(width, Column) else F.lit(width))
     kind = F.when(~had, "fill").when(F.col("__w").isNotNull() & F.col("__bad") & (F.col("__s") >= floor) & far, "fix")

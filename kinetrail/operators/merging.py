@@ -99,8 +99,8 @@ def orientation_chain(found: DataFrame, labels: DataFrame, keys: list[str], fram
     return s.orientation_parity(rows, keys, frame, "__same", "__flip").drop("__ref", "__prev", "__same", "__flip")
 
 
-def rewrite_quality(qc: DataFrame, touched: DataFrame, keys: list[str], flags: str, status: str, worms: str, flag: str, slots: int) -> DataFrame:
-    """Quality rows after a merge. touched: keys, slot, kind. Statuses are padded to `slots`; in touched rows the slots get
+def rewrite_quality(qc: DataFrame, touched: DataFrame, keys: list[str], flags: str, status: str, worms: str, flag: str, slots: int | Column) -> DataFrame:
+    """Quality rows after a merge. touched: keys, slot, kind. Statuses are padded to `slots` (a column of qc where videos differ); in touched rows the slots get
     their kinds, the flag is added and the number of worms counted anew; the flags of other rows stay as they are."""
     kinds = touched.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), "kind"))).alias("__k"))
     padded = r.pad_status(F.split(status, ";"), slots)

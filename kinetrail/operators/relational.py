@@ -118,9 +118,9 @@ def parse_status(status: str | Column) -> Column:
     return F.transform(F.split(status, ";"), lambda s: F.when(s.isin("-", "no_worm"), "").otherwise(s))
 
 
-def pad_status(status: Column, n: int) -> Column:
-    """Exactly n statuses, '-' where there is none."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(status, i), F.lit("-")))
+def pad_status(status: Column, n: int | Column) -> Column:
+    """Exactly n statuses (one at least), '-' where there is none."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(n).cast("int"), F.lit(1)) - 1), lambda i: F.coalesce(F.get(status, i), F.lit("-")))
 
 
 NOT_WORMS = ("no_midline", "both_ends_cut", "visible_longer_than_body", "no_worm", "-", "")

@@ -135,20 +135,21 @@ def _midlines(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(m, float).reshape(-1, 2) for m in column])
 
 
-def link(df: DataFrame, video: str = "video", gap: int = 3, reach: float = 60.0, least: int = 3) -> DataFrame:
-    """Tracklets of detections (frame, det_id, m): each frame's detections join the live tracklets by ascending midline distance; short ones are left out."""
+def link(df: DataFrame, video: str = "video", gap: int = 3, reach: float | str = 60.0, least: int = 3) -> DataFrame:
+    """Tracklets of detections (frame, det_id, m): each frame's detections join the live tracklets by ascending midline distance; short ones are left out. reach may name a column that is the same for all of a video."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame", "det_id"], kind="stable").reset_index(drop=True)
         m = _midlines(pdf["m"]) if len(pdf) else np.zeros((0, 1, 2))
         ids, last = np.zeros(len(pdf), np.int64), []
+        far = pdf[reach].iloc[0] if isinstance(reach, str) else reach
         frames = pdf["frame"].to_numpy()
         for rows in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(frames)) + 1) if len(pdf) else []:
             live = [k for k, r in enumerate(last) if frames[rows[0]] - frames[r] <= gap]
             taken = {}
             if live:
                 cost = midline_distances(m[rows], m[[last[k] for k in live]])
-                cost[cost > reach] = np.inf
+                cost[cost > far] = np.inf
                 taken = {i: live[c] for i, c in greedy_pairs(cost)}
             for i, r in enumerate(rows):
                 k = taken.get(i)
