@@ -229,6 +229,41 @@ def object_metrics(df: DataFrame, expected: DataFrame, run: str, frame: str, obj
     return per_run, rows.groupBy(run, obj).agg(F.avg(area).alias("area"))
 
 
+#: Areas of contact relative to a body's, and limits of the kinds.
+CONTACT_AREA, ONE_BODY, FEW_BRANCHED, CONTACT_GAP, CONTACT_LEAST = 1.5, 1.4, 0.3, 10, 5
+
+
+def contact_kinds(frames: DataFrame, videos: DataFrame) -> DataFrame:
+    """Contact episodes of a video's frames with a guess of what they show. frames: video, frame, area, branched, cluster; videos:
+    video, fps, median_area. A frame is in contact where it is a cluster or its area is more than 1.5 bodies; gaps up to ten
+    frames are closed, episodes under five left out. Kinds: two, unbranched (rarely branched, more than 1.5 bodies); one,
+    branched (under 1.4 bodies); several, branched."""
+    f = frames.join(videos.select("video", "fps", "median_area"), "video")
+    f = f.withColumn("__on", F.coalesce(F.col("cluster"), F.lit(False)) | F.coalesce(F.col("area") > CONTACT_AREA * F.col("median_area"), F.lit(False))).where("__on")
+    w = s.by(["video"], "frame")
+    f = f.withColumn("__s", F.coalesce((F.col("frame") - F.lag("frame").over(w) > CONTACT_GAP).cast("int"), F.lit(0)))
+    f = f.withColumn("__g", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    branched = F.count_if(F.coalesce(F.col("branched"), F.lit(False)) | F.coalesce(F.col("cluster"), F.lit(False)))
+    e = f.groupBy("video", "__g").agg(F.min("frame").alias("start"), F.max("frame").alias("end"), F.count(F.lit(1)).alias("n"), branched.alias("__b"), F.coalesce(F.max(F.col("area") / F.col("median_area")), F.lit(0.0)).alias("area_max"), F.max("fps").alias("fps"))
+    long = (F.col("end") - F.col("start") + 1).cast("long")
+    kind = F.when((F.col("__b") < FEW_BRANCHED * F.col("n")) & (F.col("area_max") > CONTACT_AREA), "two, unbranched").when(F.col("area_max") < ONE_BODY, "one, branched").otherwise("several, branched")
+    return e.where(long >= CONTACT_LEAST).select("video", "start", "end", long.alias("frames"), F.round(long / F.col("fps"), 1).alias("seconds"), "area_max", (F.col("__b") / F.col("n")).alias("branched"), kind.alias("kind"))
+
+
+def contact_totals(kinds: DataFrame, videos: DataFrame) -> DataFrame:
+    """Per video with contact: episodes, frames in contact, the longest in seconds, and the share of the video's n_frames."""
+    t = kinds.groupBy("video").agg(F.count(F.lit(1)).alias("episodes"), F.sum("frames").alias("frames_in_contact"), F.max("seconds").alias("longest_s"))
+    return t.join(videos.select("video", "n_frames"), "video").withColumn("share", F.col("frames_in_contact") / F.col("n_frames")).drop("n_frames")
+
+
+def report_table(df: DataFrame, rows: str, column: str, labels: Sequence, value: str, names: dict[str, str], headings: dict[str, str], digits: int = 2) -> DataFrame:
+    """Means of value per row name and label, as columns: names replaces row names (others stay), headings the columns' names, and numbers are rounded for print."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
+    named = df.withColumn(rows, F.coalesce(F.try_element_at(known, F.col(rows)), F.col(rows))) if names else df
+    wide = r.pivot(named, [rows], column, labels, F.avg(value))
+    return wide.select(rows, *[F.round(F.col(f"`{c}`"), digits).alias(str(c)) for c in labels]).withColumnsRenamed(headings)
+
+
 def shown(x: Column, digits: int = 2) -> Column:
     """A number with so many digits, or a dash."""
     return F.when(x.isNull() | F.isnan(x), "–").otherwise(F.format_string(f"%.{digits}f", x))

@@ -81,7 +81,7 @@ def episodes_by_loop(poses, flags, n_frames, fps, area, body, margin, reach, lea
             far = sorted(((x, f) for f, x in clean.items() if a - reach <= f <= b + reach), reverse=True)
             pf = near[0] if near else far[0][1] if far else None
             others = [(u, [None if q is None else (round(q[0], 1), round(q[1], 1)) for q in poses[u, pf][0]]) for u in tracks if u != t and (u, pf) in poses] if pf is not None else []
-            rows.append((t, pf, others))
+            rows.append((t, pf, others, round(d[t, pf], 1) if pf is not None and (t, pf) in d else None))
         prompted = [r[1] for r in rows if r[1] is not None]
         out.append((e, a, b, max(0, min([a, *prompted]) - 5), min(n_frames - 1, max([b, *prompted]) + 5), rows, len(prompted) < len(rows)))
     return out
@@ -110,12 +110,12 @@ def test_episodes_against_the_loop(spark, seed):
     poses = spark.createDataFrame(rows, "video string, track int, frame int, pts array<struct<x:double,y:double>>, status string")
     qc = spark.createDataFrame(quality, "video string, frame int, flags string")
     head = spark.createDataFrame(heads, "video string, fps double, n_frames int, median_length double, median_area double")
-    got = composites.export_episodes(poses, qc, head, gate=60.0, margin=8, reach=40, least=3, gap=4).collect()
+    got = composites.export_episodes(poses, qc, head, gate=30.0, margin=8, reach=40, least=3, gap=4).collect()
     for v, (p, flags, n) in videos.items():
         want = episodes_by_loop(p, flags, n, 20.0, 700.0, 66.0, 8, 40, 3, 4)
         mine = sorted((x for x in got if x["video"] == v), key=lambda x: x["id"])
         plain = [
-            (x["id"], x["start"], x["end"], x["clip_start"], x["clip_end"], [(t["track"], t["prompt_frame"], [(o["track"], [q and (q["x"], q["y"]) for q in o["midline"]]) for o in t["others"]]) for t in x["tracks"]], x["needs_manual_prompt"])
+            (x["id"], x["start"], x["end"], x["clip_start"], x["clip_end"], [(t["track"], t["prompt_frame"], [(o["track"], [q and (q["x"], q["y"]) for q in o["midline"]]) for o in t["others"]], t["clean_dist"]) for t in x["tracks"]], x["needs_manual_prompt"])
             for x in mine
         ]
         assert plain == want and want
