@@ -1,6 +1,7 @@
 """Paths through skeleton graphs. A graph is one component's branches (tens of edges); graphs are spread by component.
 
-Edges: edge_id, n0, n1 (nodes), len, co (flat x0, y0, ... from n0 to n1).
+Edges: edge_id, n0, n1 (nodes), len, co (flat x0, y0, ... from n0 to n1). Edges that come without nodes get them by `with_nodes`.
+Searches may be limited in states or paths; whether a limit was met is told by `complete`, never hidden.
 """
 
 from __future__ import annotations
@@ -40,18 +41,78 @@ def turn(u: np.ndarray, v: np.ndarray) -> float:
     return float(np.degrees(np.arccos(np.clip(u @ v, -1, 1))))
 
 
-def trail(graph: Graph, target: float | None, most_turn: float = 80.0, states: int = 20_000, reach: int = 8) -> tuple[list[int], float]:
-    """The best walk that uses no edge twice and turns at most most_turn: the longest, or that of greatest L - |L - target| / 2."""
+def clusters(points: np.ndarray, near: float) -> np.ndarray:
+    """Number of each point's cluster: points at most `near` apart are joined, directly or through others (union-find over neighbouring squares)."""
+    root = list(range(len(points)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    squares = defaultdict(list)
+    for i, (x, y) in enumerate(points):
+        square = int(np.floor(x / near)), int(np.floor(y / near))
+        for dx in (-1, 0, 1):
+            for dy in (-1, 0, 1):
+                for j in squares.get((square[0] + dx, square[1] + dy), ()):
+                    if np.hypot(x - points[j][0], y - points[j][1]) <= near:
+                        root[max(find(i), find(j))] = min(find(i), find(j))
+        squares[square].append(i)
+    return np.array([find(i) for i in range(len(points))], np.int64)
+
+
+def with_nodes(edges: DataFrame, component: str = "comp_id", near: float = 5.0) -> DataFrame:
+    """Edges (component, edge_id, len, co) with n0 and n1: ends of branches of one component that lie within `near` are one node."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("edge_id", kind="stable")
+        co = [np.asarray(c, float).reshape(-1, 2) for c in pdf["co"]]
+        ids = clusters(np.array([p for c in co for p in (c[0], c[-1])]).reshape(-1, 2), near)
+        return pd.DataFrame({component: pdf[component], "edge_id": pdf["edge_id"], "n0": ids[0::2], "n1": ids[1::2], "len": pdf["len"], "co": pdf["co"]})
+
+    kinds = dict(edges.dtypes)
+    return edges.groupBy(component).applyInPandas(run, f"{component} {kinds[component]}, edge_id {kinds['edge_id']}, n0 long, n1 long, len double, co array<double>")
+
+
+def trail(graph: Graph, target: float | None, most_turn: float = 80.0, states: int | None = 200_000, reach: int = 8) -> tuple[list[int], float, bool]:
+    """(edges, value, complete) of the best walk that uses no edge twice and turns at most most_turn: the longest, or that of
+    greatest L - |L - target| / 2; the first found of equal ones.
+
+    Branch and bound: the value grows with the length, so a walk is given up when even all unused edges that it can
+    still reach would not lift it above the best one. complete is false where `states` walks were not enough.
+    """
     best: tuple[list[int], float] = ([], -1.0)
-    budget = states
+    budget = np.inf if states is None else states
+
+    def value(length: float) -> float:
+        return length if target is None else length - 0.5 * abs(length - target)
+
+    def within_reach(node: int, used: tuple[int, ...]) -> float:
+        seen, edges, open_nodes = {node}, set(used), [node]
+        more = 0.0
+        while open_nodes:
+            for i in graph.at[open_nodes.pop()]:
+                if i not in edges:
+                    edges.add(i)
+                    more += graph.edges[i][2]
+                    new = [n for n in graph.edges[i][:2] if n not in seen]
+                    seen.update(new)
+                    open_nodes += new
+        return more
+
     for start in graph.tips or list(graph.at):
         stack = [(start, (), 0.0, None)]
-        while stack and budget:
+        while stack:
+            if budget <= 0:
+                return (*best, False)
             budget -= 1
             node, used, length, way = stack.pop()
-            value = length if target is None else length - 0.5 * abs(length - target)
-            if used and value > best[1]:
-                best = (list(used), value)
+            if used and value(length) > best[1]:
+                best = (list(used), value(length))
+            if value(length + within_reach(node, used)) <= best[1]:
+                continue
             for i in reversed(graph.at[node]):
                 if i in used:
                     continue
@@ -59,15 +120,18 @@ def trail(graph: Graph, target: float | None, most_turn: float = 80.0, states: i
                 if way is not None and turn(way, heading(co, reach, False)) > most_turn:
                     continue
                 stack.append((other, (*used, i), length + graph.edges[i][2], heading(co, reach, True)))
-    return best
+    return (*best, True)
 
 
-def paths(graph: Graph, width: float, most_turn: float = 75.0, most: int = 4000) -> list[dict]:
-    """Candidate paths from tips: edges, length, worst turn, and whether they end inside. Edges shorter than 2.5 widths between junctions are looked through: the heading before them stays."""
-    reach, found, out = max(3, int(width)), {}, []
+def paths(graph: Graph, width: float, most_turn: float = 75.0, most: int = 4000) -> tuple[list[dict], bool]:
+    """(candidate paths from tips, complete): edges, length, worst turn, and whether they end inside; complete is false where there are more than `most`. Edges shorter than 2.5 widths between junctions are looked through: the heading before them stays."""
+    reach, found, out, complete = max(3, int(width)), {}, [], True
     for tip in graph.tips:
         stack = [(tip, (), 0.0, 0.0, None)]
-        while stack and len(found) < most:
+        while stack:
+            if len(found) >= most:
+                complete = False
+                break
             node, used, length, worst, way = stack.pop()
             further = False
             for i in reversed(graph.at[node]):
@@ -91,7 +155,7 @@ def paths(graph: Graph, width: float, most_turn: float = 75.0, most: int = 4000)
                 found.setdefault(tuple(sorted(used)), ((used, length, worst), 1))
     for key, ((_, length, worst), inside) in found.items():
         out.append({"edges": list(key), "len": length, "turn": worst, "inside": inside})
-    return out
+    return out, complete
 
 
 def choose(candidates: list[dict], lengths: dict[int, float], target: float, share: float = 0.4) -> list[dict]:
@@ -106,24 +170,27 @@ def choose(candidates: list[dict], lengths: dict[int, float], target: float, sha
     return taken
 
 
-def longest_trails(edges: DataFrame, component: str = "comp_id", target: float | None = None) -> DataFrame:
+def longest_trails(edges: DataFrame, component: str = "comp_id", target: float | None = None, states: int | None = 200_000) -> DataFrame:
+    """(component, edges, score, complete) of every component's best trail."""
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        used, value = trail(Graph(pdf), target)
+        used, value, complete = trail(Graph(pdf), target, states=states)
         ids = pdf.sort_values("edge_id", kind="stable")["edge_id"].tolist()
-        return pd.DataFrame([{component: key[0], "edges": [int(ids[i]) for i in used], "score": value}])
+        return pd.DataFrame([{component: key[0], "edges": [int(ids[i]) for i in used], "score": value, "complete": complete}])
 
-    return edges.groupBy(component).applyInPandas(run, f"{component} {dict(edges.dtypes)[component]}, edges array<long>, score double")
+    return edges.groupBy(component).applyInPandas(run, f"{component} {dict(edges.dtypes)[component]}, edges array<long>, score double, complete boolean")
 
 
-def split_paths(edges: DataFrame, width: float, target: float, component: str = "comp_id", low: float = 0.6, high: float = 1.3, least: int = 2) -> DataFrame:
-    """Chosen paths of plausible length per component; none where fewer than `least` remain."""
+def split_paths(edges: DataFrame, width: float, target: float, component: str = "comp_id", low: float = 0.6, high: float = 1.3, least: int = 2, most: int = 4000) -> DataFrame:
+    """Chosen paths of plausible length per component, and whether all candidates were seen; none where fewer than `least` remain."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         graph = Graph(pdf)
         ids = pdf.sort_values("edge_id", kind="stable")["edge_id"].tolist()
-        chosen = choose(paths(graph, width), {i: e[2] for i, e in enumerate(graph.edges)}, target)
+        candidates, complete = paths(graph, width, most=most)
+        chosen = choose(candidates, {i: e[2] for i, e in enumerate(graph.edges)}, target)
         chosen = [p for p in chosen if low * target <= p["len"] <= high * target]
-        rows = [{component: key[0], "path": k, "edges": [int(ids[e]) for e in p["edges"]], "len": p["len"], "turn": p["turn"]} for k, p in enumerate(chosen)] if len(chosen) >= least else []
-        return pd.DataFrame(rows, columns=[component, "path", "edges", "len", "turn"])
+        rows = [{component: key[0], "path": k, "edges": [int(ids[e]) for e in p["edges"]], "len": p["len"], "turn": p["turn"], "complete": complete} for k, p in enumerate(chosen)] if len(chosen) >= least else []
+        return pd.DataFrame(rows, columns=[component, "path", "edges", "len", "turn", "complete"])
 
-    return edges.groupBy(component).applyInPandas(run, f"{component} {dict(edges.dtypes)[component]}, path int, edges array<long>, len double, turn double")
+    return edges.groupBy(component).applyInPandas(run, f"{component} {dict(edges.dtypes)[component]}, path int, edges array<long>, len double, turn double, complete boolean")

@@ -120,9 +120,11 @@ def test_trail_takes_the_straight_way():
 
     arm = lambda x, y: [v for t in range(9) for v in (t * x * 10.0, t * y * 10.0)]
     e = pd.DataFrame({"edge_id": [0, 1, 2], "n0": [0, 0, 0], "n1": [1, 2, 3], "len": [80.0, 80.0, 90.0], "co": [arm(1, 0), arm(-1, 0), arm(0, 1)]})
-    used, length = skeleton_graph.trail(skeleton_graph.Graph(e), None)
+    used, length, complete = skeleton_graph.trail(skeleton_graph.Graph(e), None)
+    assert complete
     assert sorted(used) == [0, 1] and length == 160.0
-    found = skeleton_graph.paths(skeleton_graph.Graph(e), 4.0)
+    found, complete = skeleton_graph.paths(skeleton_graph.Graph(e), 4.0)
+    assert complete
     assert (0, 1) in {tuple(sorted(p["edges"])) for p in found}
 
 
