@@ -1,17 +1,23 @@
 """N-gram Jaccard self-join by a MinHash LSH forest and exact verification.
 
 Documents become sets of word n-gram hashes. Equal sets are one class, represented by its least document. Each
-representative has `trees` labels of `depth` MinHash values each; the labels of a tree, sorted, are its prefix trie. A
-document's prefix starts at the full depth and is shortened, value by value, until a partner of the least similarity that
-its size admits (at or above the threshold) shares it in some tree with the target recall: a set of few n-grams can only
-reach the threshold well above it, so its prefix stays longer, and sets of up to three n-grams have no partners at 0.8 at
-all. Two documents that agree on the longer one of their prefixes are candidates. The prefix that the largest documents
-need is common to all and deals the tries out to tasks.
-
-Candidates are verified on the sets themselves, inside the sorted prefix group, as products of incidence matrices: no pair
-becomes a row. A pair is counted only in the first tree where it agrees. Large groups are cut into blocks, and each pair
+representative has `trees` labels of MinHash values; a tree's labels, sorted, are its prefix trie. All labels of a tree are
+looked up at the prefix of `base` values that the threshold allows at most to be common to all; longer prefixes are met below it, at LEVELS.
+
+A document's matched prefix in a tree ends where it has little company (CROWD members at most), or is the longest one where it
+always has more. Then prefixes are shortened level by level, least crowded places first, until a partner of the least similarity that the
+document's size admits (at or above the threshold) is met with the target recall: the product over trees of (1 - s**length) must
+fall below 1 - recall; where that leaves room, the most crowded places are not looked up. So crowded places of the forest are met
+at long prefixes or not at all, and only as far as recall needs them. What decides is crowds, in powers of four, never whether a
+node has two members or one: a choice that told a partner's presence from its absence would choose where the partner is not.
+
+What a document looks up is a node; everybody below the shortest node that anybody looks up on its path meets there. (Recall is that
+of one partner, taken on its own: agreements of several partners with a document are not independent, and lookups of both sides count.)
+
+Candidates are verified on the sets of hashes (48 bits of each n-gram's), inside their node, as products of incidence matrices: no pair
+becomes a row. A pair is counted only in the first tree where it shares a node. Large nodes are cut into blocks, and each pair
 of blocks is verified apart, so no task holds more than two blocks. Only links per document and a spanning star per
-verified group leave the tasks; classes are the connected components of the links.
+verified node leave the tasks; classes are the connected components of the links.
 
 Defined cases: a null, empty or wordless text has no n-grams, no links and a class of its own (such texts are not copies of each
 other); a text with fewer words than n has one n-gram of all its words; repeated rows and equal sets share a class;
@@ -20,20 +26,23 @@ different texts with one id are members of their own; a null doc_id takes no par
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat_text, pieces_of, released
 from .components import components, written
 from .words import Words, mix
 
-SIGNED = "id long, row long, size int, key1 long, key2 long, need int, prefixes array<long>, tails array<int>"
+SIGNED = "id long, row long, size int, key1 long, key2 long, least double, prefixes array<long>, tails array<int>"
 FIELD, FIELDS = 5, 6  # bits of each value beyond the common prefix, and how many such values a label has at most
-MEMBER = "tree int, prefix long, i int, j int, b int, id long, row long, tail int, labels binary, grams binary"
+CROWD = 8  # members of a node that is looked up whole
+LEVELS = (0, 1, 3)  # values beyond the common prefix at which prefixes are looked up
+MEMBER = "tree int, node long, i int, j int, b int, id long, row long, labels binary, grams binary"
 WIDTH = 1 << 16  # n-grams in a block of an incidence matrix
 
 
@@ -55,13 +64,35 @@ def least_similarity(size: int, threshold: float) -> float | None:
     return best
 
 
-def depths(threshold: float, recall: float, trees: int, depth: int, most: int = 1 << 10) -> np.ndarray:
-    """How long the prefix of a set stays, by its size (up to `most`; larger sets as that); 0 where it has no partner."""
-    out = np.zeros(most + 1, np.int32)
+def least_similarities(threshold: float, most: int = 1 << 10) -> np.ndarray:
+    """The least similarity of a partner by the size of a set (up to `most`; larger sets as that); 0 where there is none."""
+    out = np.zeros(most + 1)
     for size in range(1, most + 1):
-        value = least_similarity(size, threshold)
-        out[size] = 0 if value is None else prefix_depth(value, recall, trees, depth)
-    out[most] = prefix_depth(threshold, recall, trees, depth)
+        out[size] = least_similarity(size, threshold) or 0.0
+    out[most] = threshold
+    return out
+
+
+def lookups(places: list[tuple[int, list[int]]], least: float, recall: float, trees: int, base: int) -> dict[int, int]:
+    """{tree: level} of what a document looks up. places: (tree, members of its node at each of LEVELS) where it is not
+    alone; it is alone in all other trees, which counts as looked up."""
+    gain = [-np.log1p(-(least ** (base + x))) for x in LEVELS]
+    crowd = lambda n: max(0, int(np.ceil(np.log2(max(n, 1) / CROWD) / 2)))
+    classes = {tree: [crowd(n) for n in sizes] for tree, sizes in places}
+    out = {tree: next((k for k, c in enumerate(cs) if not c), len(cs) - 1) for tree, cs in classes.items()}
+    missing = -np.log(1 - recall)
+    missing -= (trees - len(places)) * gain[0] + sum(gain[k] for k in out.values())
+    steps = [(classes[t][k - 1], t) for t, k in out.items() if k]
+    heapq.heapify(steps)
+    while missing > 0 and steps:
+        _, t = heapq.heappop(steps)
+        missing -= gain[out[t] - 1] - gain[out[t]]
+        out[t] -= 1
+        if out[t]:
+            heapq.heappush(steps, (classes[t][out[t] - 1], t))
+    for c, t in sorted(((classes[t][k], t) for t, k in out.items()), reverse=True):
+        if c and missing + gain[out[t]] <= 0:
+            missing += gain[out.pop(t)]
     return out
 
 
@@ -86,21 +117,21 @@ def gram_sets(array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sign(docs: DataFrame, n: int, threshold: float, recall: float, trees: int, depth: int) -> DataFrame:
-    """id, hash of the text, size of the set, 128 bits that name the set, how many values of its labels it needs, and each
-    tree's label: a hash of the values that all need, and the others by FIELD bits each. No labels for sets without partners."""
+    """id, hash of the text, size of the set, 128 bits that name the set, the least similarity of its partners, and each
+    tree's label: a hash of the values that all look up, and the others by FIELD bits each. No labels for sets without partners."""
     rng = np.random.default_rng(20240229)
     factors = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     salts = rng.integers(1, 1 << 63, trees, dtype=np.uint64)
     base = prefix_depth(threshold, recall, trees, depth)
     depth = min(depth, base + FIELDS)
-    needs = depths(threshold, recall, trees, depth)
+    partners = least_similarities(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces_of(whole, "text", 1 << 20):
                 values, bounds = gram_sets(batch.column("text"), n)
                 sizes = np.diff(bounds)
-                need = needs[np.minimum(sizes, len(needs) - 1)]
+                least_of = partners[np.minimum(sizes, len(partners) - 1)]
                 full = np.flatnonzero(sizes)
                 heads, tails = np.zeros((2, len(sizes), trees), np.uint64)
                 keys = np.zeros((2, len(sizes)), np.uint64)
@@ -117,10 +148,10 @@ def sign(docs: DataFrame, n: int, threshold: float, recall: float, trees: int, d
                         heads[full, t], tails[full, t] = h, tail
                     keys[0, full] = mix(np.add.reduceat(mix(values), first) + sizes[full].astype(np.uint64))
                     keys[1, full] = mix(np.add.reduceat(mix(values ^ salts[0]), first) ^ salts[1 % trees])
-                live = np.flatnonzero(need)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(need > 0, trees, 0))]).astype(np.int32))
+                live = np.flatnonzero(least_of)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(least_of > 0, trees, 0))]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (heads[live].ravel().view(np.int64), tails[live].ravel().astype(np.int32))]
-                columns = [batch.column("id"), batch.column("row"), pa.array(sizes.astype(np.int32)), *(pa.array(k.view(np.int64)) for k in keys), pa.array(need), *lists]
+                columns = [batch.column("id"), batch.column("row"), pa.array(sizes.astype(np.int32)), *(pa.array(k.view(np.int64)) for k in keys), pa.array(least_of), *lists]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SIGNED.split(", ")])
 
     return docs.mapInArrow(released(run), SIGNED)
@@ -138,16 +169,13 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 class Group:
-    """One trie below a common prefix, or two blocks of one: members' ids, labels and sets."""
+    """The members of a node, or of two blocks of one: ids, the nodes that each meets others in, and sets."""
 
-    def __init__(self, rows: list[tuple], tree: int, threshold: float, trees: int, base: int):
+    def __init__(self, rows: list[tuple], tree: int, threshold: float, trees: int):
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.rows = np.array([r[1] for r in rows], np.int64)
         self.block = np.array([r[2] for r in rows])
-        labels = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        self.heads = np.ascontiguousarray(labels[:, : 8 * trees]).view(np.int64)
-        tails = np.ascontiguousarray(labels[:, 8 * trees :]).view(np.int32)
-        self.tails, self.beyond = tails[:, :-1], tails[:, -1] - base  # values that each needs beyond the common prefix
+        self.nodes = np.frombuffer(b"".join(r[3] for r in rows), np.int64).reshape(len(rows), trees)
         sets = [unpacked(r[4]) for r in rows]
         self.sizes = np.array([len(s) for s in sets], np.int64)
         # n-grams that one member alone has are in no intersection
@@ -160,11 +188,6 @@ class Group:
         self.width = int(shared.sum())
         self.tree, self.threshold = tree, threshold
 
-    def agree(self, t, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether labels of tree t agree as far as both documents need, beyond the common prefix."""
-        shift = FIELD * (FIELDS - np.maximum(self.beyond[i], self.beyond[j]))
-        return (self.tails[i, t] ^ self.tails[j, t]) >> shift == 0
-
     def links(self, both: bool, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Verified pairs of places, each once; with both, only pairs across the two blocks."""
         left, right = [], []
@@ -176,11 +199,11 @@ class Group:
                 ok = common >= self.threshold * (total - common) - 1e-6
                 i, j = np.nonzero(ok)
                 i, j = i + a, j + b
-                keep = (i < j) & self.agree(self.tree, i, j)
+                keep = i < j
                 if both:
                     keep &= self.block[i] != self.block[j]
-                for t in range(self.tree):  # a pair is counted in the first tree that it is a candidate in
-                    keep &= (self.heads[i, t] != self.heads[j, t]) | ~self.agree(t, i, j)
+                for t in range(self.tree):  # a pair is counted in the first tree that it meets in
+                    keep &= (self.nodes[i, t] != self.nodes[j, t]) | (self.nodes[i, t] == 0)
                 left.append(i[keep])
                 right.append(j[keep])
         return np.concatenate(left), np.concatenate(right)
@@ -235,18 +258,14 @@ def _classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5
     base = prefix_depth(threshold, recall, trees, depth)
     signed = written(sign(rows.where("id is not null"), n, threshold, recall, trees, depth), "signed")
     # the least document of each set, with its labels, pre-aggregated: equal sets meet in no list and no join
-    classes = signed.where("size > 0").groupBy("key1", "key2").agg(F.min(F.struct("id", "row", "need", "prefixes", "tails")).alias("rep"))
+    classes = signed.where("size > 0").groupBy("key1", "key2").agg(F.min(F.struct("id", "row", "least", "prefixes", "tails")).alias("rep"))
     reps = written(classes.select("key1", "key2", "rep.*"), "reps")
     classes = reps.select("key1", "key2", F.struct("id", "row").alias("rep"))
-    reps = reps.select("id", "row", "need", "prefixes", "tails")
-    leaves = reps.select("id", "row", F.posexplode("prefixes").alias("tree", "prefix"))
-    # tries with two members or more; counts are pre-aggregated
-    groups = leaves.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    live = leaves.join(groups, ["tree", "prefix"]).groupBy("id", "row").agg(F.collect_list(F.struct("tree", "prefix", "members")).alias("groups"))
-    live = live.join(reps, ["id", "row"])
-    members = rows.where("id is not null").join(live, ["id", "row"]).mapInArrow(released(_members(n, block)), MEMBER)
-    sorted_members = members.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "tail", "id", "row")
-    verified = written(sorted_members.mapInArrow(released(_verify(threshold, trees, base)), "id long, row long, root_id long, root_row long, links long"), "links")
+    reps = reps.select("id", "row", "least", "prefixes", "tails")
+    met = forest(reps, recall, trees, base)
+    members = rows.where("id is not null").join(met, ["id", "row"]).mapInArrow(released(_members(n, block, trees)), MEMBER)
+    sorted_members = members.repartition("tree", "node", "i", "j").sortWithinPartitions("tree", "node", "i", "j", "id", "row")
+    verified = written(sorted_members.mapInArrow(released(_verify(threshold, trees)), "id long, row long, root_id long, root_row long, links long"), "links")
     links = verified.groupBy("id", "row").agg(F.sum("links").alias("n"))
     links = links.select(F.struct("id", "row").alias("rep"), "n")
     roots = components(verified.select(F.struct("id", "row").alias("u"), F.struct(F.col("root_id").alias("id"), F.col("root_row").alias("row")).alias("v")).where("u <> v"))
@@ -258,26 +277,85 @@ def _classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5
     return out.unionByName(nobody)
 
 
-def _members(n: int, block: int):
-    """Each document once per prefix group and pair of blocks that it is in, with its set."""
+def level_key(tail, level: int):
+    """What a label's prefix has at a level beyond the common one."""
+    shift = FIELD * (FIELDS - LEVELS[level])
+    return F.shiftright(tail, shift) if isinstance(tail, Column) else tail >> shift
+
+
+def forest(reps: DataFrame, recall: float, trees: int, base: int) -> DataFrame:
+    """(id, row, groups) of the documents that share nodes: groups are (tree, node, members). reps: id, row, least, prefixes, tails."""
+    leaves = reps.select("id", "row", F.posexplode(F.arrays_zip("prefixes", "tails")).alias("tree", "leaf")).select("id", "row", "tree", F.col("leaf.prefixes").alias("prefix"), F.col("leaf.tails").alias("tail"))
+    # below shared prefixes only; counts are pre-aggregated
+    shared = leaves.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    live = written(leaves.join(shared, ["tree", "prefix"]), "live-labels")
+    # the tries: labels in order; how many share longer prefixes is counted along them, batch by batch, and decides costs only
+    tries = live.repartitionByRange("tree", "prefix", "tail", "id").sortWithinPartitions("tree", "prefix", "tail", "id").mapInArrow(_sizes, "id long, row long, tree int, prefix long, tail int, sizes array<int>")
+    places = tries.groupBy("id", "row").agg(F.collect_list(F.struct("tree", "prefix", "tail", "sizes")).alias("places"))
+    asked = places.join(reps.select("id", "row", "least"), ["id", "row"]).mapInArrow(released(_ask(recall, trees, base)), "tree int, prefix long, level int, key int").distinct()
+    path = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), level_key(F.col("tail"), i).alias("key")) for i in range(len(LEVELS))]))
+    below = live.select("id", "row", "tree", "prefix", path.alias("p")).select("id", "row", "tree", "prefix", "p.level", "p.key").join(asked, ["tree", "prefix", "level", "key"])
+    node = F.min_by(F.xxhash64("tree", "prefix", "level", "key"), "level")
+    below = written(below.groupBy("id", "row", "tree").agg(node.alias("node")), "nodes")
+    sizes = below.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return below.join(sizes, ["tree", "node"]).groupBy("id", "row").agg(F.collect_list(F.struct("tree", "node", "members")).alias("groups"))
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted labels with the number of neighbours in the batch that share their prefix at each level, and at the first the exact number."""
+    for batch in batches:
+        tree, prefix, tail = (batch.column(c).to_numpy() for c in ("tree", "prefix", "tail"))
+        sizes = [batch.column("members").to_numpy()]
+        for level in range(1, len(LEVELS)):
+            key = level_key(tail, level)
+            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1]) | (key[1:] != key[:-1])]))
+            n = np.diff(np.append(new, len(key)))
+            sizes.append(np.repeat(n, n))
+        table = np.stack(sizes, axis=1).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * len(LEVELS), pa.int32()), pa.array(table.ravel()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row", "tree", "prefix", "tail")), lists], ["id", "row", "tree", "prefix", "tail", "sizes"])
+
+
+def _ask(recall: float, trees: int, base: int):
+    """The nodes that documents look up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for places, least in zip(batch.column("places").to_pylist(), batch.column("least").to_pylist(), strict=True):
+                where = {p["tree"]: p for p in places}
+                for tree, level in lookups(sorted((t, p["sizes"]) for t, p in where.items()), least, recall, trees, base).items():
+                    p = where[tree]
+                    out.append((tree, p["prefix"], level, level_key(p["tail"], level)))
+            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["tree", "prefix", "level", "key"])
+
+    return run
+
+
+def _members(n: int, block: int, trees: int):
+    """Each document once per node and pair of blocks that it is in, with its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in MEMBER.split(", ")]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for whole in batches:
             for batch in pieces_of(whole, "text", 1 << 20):
                 values, bounds = gram_sets(batch.column("text"), n)
                 out: list[tuple] = []
                 held = 0
-                for k, (id, row, groups, prefixes, tails, need) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "row", "groups", "prefixes", "tails", "need")), strict=True)):
+                for k, (id, row, groups) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "row", "groups")), strict=True)):
                     grams = packed(values[bounds[k] : bounds[k + 1]])
-                    labels = np.array(prefixes, np.int64).tobytes() + np.array([*tails, need], np.int32).tobytes()
+                    nodes = np.zeros(trees, np.int64)
+                    for g in groups:
+                        nodes[g["tree"]] = g["node"]
+                    labels = nodes.tobytes()
                     mixed = int(mix(np.array([id ^ row], np.int64).view(np.uint64))[0])
                     for g in groups:
                         blocks = -(-g["members"] // block)
                         b = mixed % blocks
                         for other in range(blocks):
-                            out.append((g["tree"], g["prefix"], min(b, other), max(b, other), b, id, row, tails[g["tree"]], labels, grams))
+                            out.append((g["tree"], g["node"], min(b, other), max(b, other), b, id, row, labels, grams))
                             held += len(grams) + 200
                             if held > 4 << 20:
                                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names)
@@ -287,7 +365,7 @@ def _members(n: int, block: int):
     return run
 
 
-def _verify(threshold: float, trees: int, base: int):
+def _verify(threshold: float, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], []]
 
@@ -296,7 +374,7 @@ def _verify(threshold: float, trees: int, base: int):
             rows = [r for k, r in enumerate(rows) if not k or r[:2] != rows[k - 1][:2]]
             if len(rows) < 2 or key[2] != key[3] and len({r[2] for r in rows}) < 2:
                 return
-            group = Group(rows, key[0], threshold, trees, base)
+            group = Group(rows, key[0], threshold, trees)
             left, right = group.links(key[2] != key[3])
             if len(left):
                 n = len(rows)
@@ -314,7 +392,7 @@ def _verify(threshold: float, trees: int, base: int):
 
         key, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("tree", "prefix", "i", "j", "id", "row", "b", "labels", "grams")]
+            columns = [batch.column(c).to_pylist() for c in ("tree", "node", "i", "j", "id", "row", "b", "labels", "grams")]
             for r in zip(*columns, strict=True):
                 if r[:4] != key:
                     if rows:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -489,16 +490,66 @@ def test_ngram_join_recall_at_the_threshold(spark):
     assert all(got[i]["class_id"] == i - i % 2 and got[i]["n_links"] == 1 for i in range(len(texts)))
 
 
-def test_ngram_join_depths_differ(spark):
-    """The prefix of a document is as long as the least similarity that its size admits allows; the full depth is kept in the labels."""
-    needs = ngram_join.depths(0.8, 0.99999, 16, 8)
-    assert not needs[1:4].any() and len(set(needs[4:40].tolist())) > 1 and needs[-1] == ngram_join.prefix_depth(0.8, 0.99999, 16, 8)
+def test_ngram_join_lookups_reach_the_recall():
+    """Whatever the crowds, the lookups and the places where a document is alone reach the recall; cheap places are taken first, crowded ones deep or not at all."""
     assert ngram_join.least_similarity(4, 0.8) == 4 / 5 and ngram_join.least_similarity(3, 0.8) is None and ngram_join.least_similarity(6, 0.8) == 5 / 6
+    partners = ngram_join.least_similarities(0.8)
+    assert not partners[1:4].any() and partners[6] == 5 / 6 and partners[-1] == 0.8
     r = random.Random(32)
-    docs = spark.createDataFrame([(i, " ".join(fresh(n, r))) for i, n in enumerate((1, 7, 9, 10, 11, 50, 300))], "doc_id long, text string")
-    signed = {x["id"]: x for x in ngram_join.sign(ngram_join.texts(docs, "doc_id", "text"), 5, 0.8, 0.99999, 16, 8).collect()}
-    assert len({x["need"] for x in signed.values()}) >= 3
-    assert not signed[0]["prefixes"] and all(len(x["prefixes"]) == len(x["tails"]) == 16 for x in signed.values() if x["need"])
+    for _ in range(300):
+        trees = r.randint(0, 16)
+        places = []
+        for t in sorted(r.sample(range(16), trees)):
+            sizes = sorted((int(10 ** r.uniform(0, 5)) + 1 for _ in ngram_join.LEVELS), reverse=True)
+            places.append((t, sizes))
+        found = ngram_join.lookups(places, 0.8, 0.99999, 16, 2)
+        miss = (1 - 0.8**2) ** (16 - trees)
+        for level in found.values():
+            miss *= 1 - 0.8 ** (2 + ngram_join.LEVELS[level])
+        assert miss <= 1e-5 * (1 + 1e-9) and set(found) <= {t for t, _ in places}
+        assert all(found[t] == 0 for t, sizes in places if sizes[0] <= ngram_join.CROWD)  # whoever might be a partner there is met
+    crowded = [(t, [10**6, 10**6, 2]) for t in range(3)] + [(t, [2, 1, 1]) for t in range(3, 16)]
+    assert ngram_join.lookups(crowded, 0.8, 0.99999, 16, 2) == {t: 2 if t < 3 else 0 for t in range(16)}
+    assert ngram_join.lookups([(t, [10**6] * 3) for t in range(3)], 0.8, 0.99999, 16, 2) == {}
+    full = ngram_join.lookups([(t, [10**6, 10**5, 10**4]) for t in range(16)], 0.8, 0.99999, 16, 2)
+    assert sorted(full.values()) == [0] + [1] * 15
+
+
+def test_ngram_join_matched_prefixes_vary_with_the_forest(spark, sf):
+    """On the given texts, documents look up none, some or all of their trees, at all levels."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    r = random.Random(5)
+    line = " ".join(fresh(60, r))
+    some = spark.createDataFrame([(10_000 + i, f"{line} {' '.join(fresh(r.choice([8, 20, 200]), r))}") for i in range(400)], "doc_id long, text string")
+    reps = ngram_join.sign(ngram_join.texts(docs.unionByName(some), "doc_id", "text"), 5, 0.8, 0.99999, 16, 8).where("size > 3")
+    leaves = [(x["id"], t, h, v, x["least"]) for x in reps.collect() for t, (h, v) in enumerate(zip(x["prefixes"], x["tails"], strict=True))]
+    keys = [[(t, h, ngram_join.level_key(v, k)) for k in range(len(ngram_join.LEVELS))] for _, t, h, v, _ in leaves]
+    counts = [Counter(k[level] for k in keys) for level in range(len(ngram_join.LEVELS))]
+    places = {}
+    for (i, t, *_), k in zip(leaves, keys, strict=True):
+        sizes = [c[x] for c, x in zip(counts, k, strict=True)]
+        places.setdefault(i, [])
+        if sizes[0] > 1:
+            places[i].append((t, sizes))
+    depths = {i: tuple(sorted(ngram_join.lookups(p, 0.8, 0.99999, 16, 2).items())) for i, p in places.items()}
+    levels = Counter(level for d in depths.values() for _, level in d)
+    assert any(not d for d in depths.values()) and set(levels) == {0, 1, 2} and len(set(depths.values())) > 5
+
+
+def test_ngram_join_in_a_crowd_around_a_common_line(spark):
+    """Documents that share half of their words with hundreds of others, and near copies among them: all links are found, and no others."""
+    r = random.Random(6)
+    line = fresh(40, r)
+    texts = []
+    for i in range(300):
+        w = [*line, *fresh(40, r)]
+        texts.append(" ".join(w))
+        if i % 10 == 0:
+            texts.append(" ".join([*w[:78], *fresh(2, r)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    got = {x["doc_id"]: x["n_links"] for x in ngram_join.ngram_join(docs, block=64).collect()}
+    assert got == {i: sum(j != i and len(p & q) >= 0.8 * len(p | q) for j, q in enumerate(sets)) for i, p in enumerate(sets)} and any(got.values())
 
 
 def around(passage, r, n=40):
