@@ -5,8 +5,10 @@ driver and broadcast, and the documents stream past block after block in one pas
 means more blocks, never a larger broadcast.
 
 Fingerprints: the minimum hash of every `window` consecutive k-grams of words, with k + window - 1 = span, so that every
-shared span of `span` words has a fingerprint in common. Fingerprint hits are extended word by word in both directions on
-the words themselves, so hashes decide nothing in the end. An item with fewer words than span is one window: it is looked
+shared span of `span` words has a fingerprint in common. Fingerprints of both sides are joined together with the hash of a whole window
+of `span` words around them, so items that share a fingerprint but no window with a document cost nothing. The benchmark's windows
+are kept once each, with the items that hold them; a document's window is compared with its match word by word, so hashes decide
+nothing in the end, and overlapping hits extend to whole spans. An item with fewer words than span is one window: it is looked
 up by the hash of all its words (winnowing with a window of one), for each such length that occurs.
 
 Defined cases: null texts have no words and no hits; an item without words is never found; repeated items are found under
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, pieces_of, released
+from .common import flat_text, lookup, pieces_of, released, spans_to_index
 from .components import written
 from .words import Words
 
+
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     """Positions of the minima of all windows (the leftmost of equal ones)."""
     n = len(grams)
@@ -47,65 +50,84 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return at[grams[at] != np.iinfo(np.uint64).max]
 
 
+def same_windows(one: Words, p: np.ndarray, other: Words, q: np.ndarray, m: int) -> np.ndarray:
+    """Whether the m words from p on of one are those from q on of the other, byte by byte."""
+    ok = np.ones(len(p), bool)
+    for i in range(m):
+        at = np.flatnonzero(ok)
+        a, b = p[at] + i, q[at] + i
+        size = one.end[a] - one.start[a]
+        equal = size == other.end[b] - other.start[b]
+        at, a, b, size = at[equal], a[equal], b[equal], size[equal]
+        ok[:] = False
+        if len(at):
+            differ = one.data[spans_to_index(one.start[a], size)] != other.data[spans_to_index(other.start[b], size)]
+            ok[at] = np.add.reduceat(differ, np.cumsum(size) - size) == 0
+    return ok
+
+
+class Windows:
+    """The distinct windows of m words of a block's items: sorted hashes, a place of each, and the set of items that hold it."""
+
+    def __init__(self, words: Words, m: int, at: np.ndarray):
+        self.m, self.words = m, words
+        keys = words.grams(m)[at]
+        order = np.lexsort((at, keys))
+        keys, at = keys[order], at[order]
+        # equal hashes of different words (none in practice) stay apart: a window joins the one before it only if their words agree
+        new = np.ones(len(at), bool)
+        if len(at) > 1:
+            twin = np.flatnonzero(keys[1:] == keys[:-1])
+            new[1 + twin[same_windows(words, at[1 + twin], words, at[twin], m)]] = False
+        first = np.flatnonzero(new)
+        self.keys, self.at = keys[first], at[first]
+        items = words.text[at]
+        sets: dict[tuple, int] = {}
+        self.set_of = np.array([sets.setdefault(tuple(np.unique(items[a:b]).tolist()), len(sets)) for a, b in zip(first, np.append(first[1:], len(at))[: len(first)], strict=True)], np.int64)
+        self.sets = list(sets)
+        self.most = int(np.unique(self.keys, return_counts=True)[1].max(initial=0))  # windows of one hash
+
+    def found(self, words: Words, grams: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in words, set of items) of the windows at places that the block holds."""
+        out = []
+        lo = np.searchsorted(self.keys, grams[places])
+        for k in range(self.most):
+            at = np.minimum(lo + k, len(self.keys) - 1)
+            some = np.flatnonzero((lo + k < len(self.keys)) & (self.keys[at] == grams[places]))
+            some = some[same_windows(words, places[some], self.words, self.at[at[some]], self.m)]
+            out.append((places[some], self.set_of[at[some]]))
+        return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 class Index:
     """A block of the benchmark, ready for lookups."""
 
     def __init__(self, ids: list, texts: list, span: int, k: int):
         self.ids, self.span, self.k, self.window = ids, span, k, span - k + 1
-        array = pa.array(texts, pa.large_string())
-        self.words = Words(*flat_text(array))
-        counts = np.diff(self.words.first)
-        self.short = sorted({int(m) for m in counts if 0 < m < span})
-        long_text = counts[self.words.text] >= span if len(self.words.text) else np.zeros(0, bool)
-        grams = self.words.grams(k)
-        at = winnow(np.where(long_text, grams, np.iinfo(np.uint64).max), self.window)
-        self.at = at[np.argsort(grams[at], kind="stable")]
-        self.keys = grams[self.at]
-        self.by_short = {}
-        for m in self.short:
-            g, at = self.words.grams(m), self.words.first[:-1][counts == m]
-            at = at[np.argsort(g[at], kind="stable")]
-            self.by_short[m] = (g[at], at)
-
-    def hits(self, words: Words, cache: dict) -> Iterator[tuple[int, int, int]]:
-        """(first word, end, item) of every run of hit words."""
-
-        def grams(k):
-            if k not in cache:
-                cache[k] = words.grams(k)
-            return cache[k]
-
-        def found(keys, at, g, where):
-            if not len(keys) or not len(where):
-                return
-            lo, hi = np.searchsorted(keys, g[where], "left"), np.searchsorted(keys, g[where], "right")
-            some = hi > lo
-            for p, a, b in zip(where[some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
-                for j in range(a, b):
-                    yield p, int(at[j])
-
-        mine = self.words
-        if "winnowed" not in cache:
-            cache["winnowed"] = winnow(grams(self.k), self.window)
-        done: dict[tuple[int, int], int] = {}
-        for p, q in found(self.keys, self.at, grams(self.k), cache["winnowed"]):
-            text, item = words.text[p], mine.text[q]
-            if done.get((q - p, item, text), -1) >= p:
-                continue
-            lo, hi = int(words.first[text]), int(words.first[text + 1])
-            qlo, qhi = int(mine.first[item]), int(mine.first[item + 1])
-            a, b, d = p, p, q - p
-            while a > lo and a - 1 + d >= qlo and words.word(a - 1) == mine.word(a - 1 + d):
-                a -= 1
-            while b < hi and b + d < qhi and words.word(b) == mine.word(b + d):
-                b += 1
-            done[(d, item, text)] = max(b - 1, p)
-            if b - a >= self.span:
-                yield a, b, int(item)
-        for m, (keys, at) in self.by_short.items():
-            for p, q in found(keys, at, grams(m), np.arange(len(words.hash))):
-                if all(words.word(p + i) == mine.word(q + i) for i in range(m)):
-                    yield p, p + m, int(mine.text[q])
+        words = Words(*flat_text(pa.array(texts, pa.large_string())))
+        counts = np.diff(words.first)
+        ends = words.grams(span) != np.iinfo(np.uint64).max  # whole windows
+        self.prints = np.unique(words.grams(k)[winnow(words.grams(k), self.window)])
+        self.tables = [Windows(words, span, np.flatnonzero(ends))]
+        for m in sorted({int(m) for m in counts if 0 < m < span}):
+            self.tables.append(Windows(words, m, words.first[:-1][counts == m]))
+
+    def hits(self, words: Words) -> Iterator[tuple[np.ndarray, int, np.ndarray, list[tuple]]]:
+        """(places, length, set of items of each, sets) of the hit windows, for each length."""
+        for table in self.tables:
+            grams = words.grams(table.m)
+            whole = grams != np.iinfo(np.uint64).max
+            if table.m == self.span:
+                short = words.grams(self.k)
+                prints = winnow(short, self.window)
+                prints = prints[lookup(self.prints, short[prints])[1]]  # fingerprints that both sides have
+                at = np.unique((prints[:, None] - np.arange(self.window)).ravel())  # the windows around them
+                at = at[at >= 0]
+                at = at[whole[at]]
+            else:
+                at = np.flatnonzero(whole)
+            places, sets = table.found(words, grams, at)
+            yield places, table.m, sets, table.sets
 
 
 PASSES = 2  # passes over the documents, each with the index of a block, that a task holds at once
@@ -115,11 +137,12 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes:
     """Rows of the benchmark in blocks of at most block_bytes of text (or of one item)."""
     block, size = [], 0
     for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull()).toLocalIterator():
-        if block and size + len(row["t"]) > block_bytes:
+        own = len(row["t"].encode())
+        if block and size + own > block_bytes:
             yield block
             block, size = [], 0
         block.append((row["i"], row["t"]))
-        size += len(row["t"])
+        size += own
     if block:
         yield block
 
@@ -149,11 +172,17 @@ def _pass(shared, text: str, span: int, k: int):
             for batch in pieces_of(whole, text, 2 << 20):
                 words = Words(*flat_text(batch.column(text)))
                 spans, items = defaultdict(list), defaultdict(set)
-                for a, b, item in index.hits(words, {}):
-                    t = int(words.text[a])
-                    lo = int(words.first[t])
-                    spans[t].append((a - lo, b - lo))
-                    items[t].add(index.ids[item])
+                for places, m, sets, named in index.hits(words):
+                    of = words.text[places]
+                    places = places - words.first[of]
+                    order = np.lexsort((places, of))
+                    of, places = of[order], places[order]
+                    apart = np.concatenate([np.ones(min(1, len(of)), bool), (of[1:] != of[:-1]) | (places[1:] > places[:-1] + m)])
+                    first = np.flatnonzero(apart)
+                    for t, x, y in zip(of[first].tolist(), places[first].tolist(), (places[np.append(first[1:], len(places)) - 1] + m).tolist() if len(first) else [], strict=True):
+                        spans[t].append((x, y))
+                    for t, held in np.unique(np.stack([of, sets[order]], axis=1), axis=0).tolist():
+                        items[t].update(index.ids[i] for i in named[held])
                 leak = batch.schema.field("__leak")
                 before = batch.column("__leak").to_pylist() if batch.num_rows else []
                 rows = []

@@ -93,6 +93,37 @@ def test_winnowing_guarantee():
     assert len(empty.hash) == 0
 
 
+def test_templated_benchmarks_cost_nothing_without_hits():
+    """Documents that hold the first words of all items many times: no hit, and time that does not grow with the items."""
+    import time
+
+    import pyarrow as pa
+
+    from kinetrail.llm.common import flat_text
+    from kinetrail.llm.words import Words
+
+    r = random.Random(8)
+    template = "please answer the following question now".split()
+    docs = [" ".join(x for _ in range(5) for x in [*template, *(f"d{r.randrange(10**9)}" for _ in range(40))]) for _ in range(100)]
+    words = Words(*flat_text(pa.array(docs)))
+    took = []
+    for n in (500, 2000):
+        index = decontamination.Index(list(range(n)), [" ".join([*template, *(f"i{r.randrange(10**9)}" for _ in range(20))]) for _ in range(n)], 10, 5)
+        began = time.perf_counter()
+        assert all(not len(places) for places, *_ in index.hits(words))
+        took.append(time.perf_counter() - began)
+    assert max(took) < 1
+
+
+def test_passages_of_many_items_are_found_under_all_of_them(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    bench = spark.createDataFrame([(i, f"own{i} {passage} tail{i}") for i in range(300)] + [(1000 + i, "short item") for i in range(50)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x y {passage} z"), (2, "a short item here"), (3, passage[: len(passage) // 4]), (4, " ".join(passage.split()[:9]))], "doc_id long, text string")
+    got = {x["doc_id"]: x["__leak"] for x in decontamination.decontaminate(docs, bench, block_bytes=3000).collect()}
+    assert got[1]["spans"] == [(2, 32)] and got[1]["items"] == sorted(map(str, range(300)))
+    assert got[2]["spans"] == [(1, 3)] and got[2]["items"] == sorted(str(1000 + i) for i in range(50)) and not got[3]["spans"] and not got[4]["spans"]
+
+
 def test_elias_fano():
     r = np.random.default_rng(2)
     for values in ([], [5], [0, 0, 0], [-7, -7, 3], np.sort(r.integers(0, 10**6, 3000)), np.sort(r.integers(-(10**17), 10**18, 700)), np.arange(2000) * 3):
