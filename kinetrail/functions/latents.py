@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +15,13 @@ def multiply(values: Column, matrix: np.ndarray) -> Column:
 
     @F.arrow_udf("array<double>")
     def run(rows: pa.Array) -> pa.Array:
-        size = pa.compute.fill_null(pa.compute.list_value_length(rows), -1).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.list_value_length(rows), -1).to_numpy(zero_copy_only=False)
         if ((size >= 0) & (size != len(matrix))).any():
             raise ValueError(f"the arrays must have {len(matrix)} numbers")
         out = np.full((len(rows), matrix.shape[1]), np.nan)
         out[size >= 0] = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(matrix)) @ matrix
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * matrix.shape[1], pa.int32()), pa.array(out.ravel()))
-        return pa.compute.if_else(pa.array(size >= 0), flat, pa.scalar(None, flat.type))
+        return pc.if_else(pa.array(size >= 0), flat, pa.scalar(None, flat.type))
 
     whole = F.when(~F.exists(values, lambda x: x.isNull()), values.cast("array<double>"))
     return run(whole)

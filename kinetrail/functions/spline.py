@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,7 +112,7 @@ def smooth_resample(pts: Column, n: int, smooth: Column | None = None) -> Column
     @F.arrow_udf("struct<flat:array<double>,length:double>")
     def run(flat: pa.Array, bound: pa.Array) -> pa.Array:
         flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-        values, offsets = flat.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(np.nan_to_num(pa.compute.list_value_length(flat).to_numpy(zero_copy_only=False)))]).astype(np.int64)
+        values, offsets = flat.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(flat).to_numpy(zero_copy_only=False)))]).astype(np.int64)
         rows = values.reshape(-1, 2)
         ends = offsets // 2
         ok = np.array([b - a >= LEAST and np.isfinite(rows[a:b]).all() and bool((rows[a:b] != rows[a]).any()) for a, b in zip(ends[:-1], ends[1:], strict=True)], bool)

@@ -176,6 +176,19 @@ def clean_prompt(episodes: DataFrame, context: DataFrame, keys: list[str], frame
     return ends.select(*keys, "a", "b", F.coalesce("__p", "__n").alias("start"), F.col("__p").isNull().alias("reverse")).where("start is not null")
 
 
+#: Areas of a prompted mask, relative to a body's, beyond which the prompt took two bodies or missed.
+PROMPT_AREAS = (0.3, 1.6)
+
+
+def prompt_warning(name: Column, area: Column, body_area: Column | float) -> Column:
+    """What to tell of an object whose mask at its prompt frame is too large or too small; null where it is neither."""
+    ratio = area / F.greatest(F.lit(body_area), F.lit(1.0))
+    size = F.format_string("%.1f", ratio)
+    big = F.concat(name, F.lit(": mask of "), size, F.lit(" bodies at its prompt frame, probably two; prompt again with negative points"))
+    small = F.concat(name, F.lit(": mask of only "), size, F.lit(" bodies at its prompt frame, prompt missed; prompt again"))
+    return F.when(ratio > PROMPT_AREAS[1], big).when(ratio < PROMPT_AREAS[0], small)
+
+
 # metrics and reports
 
 

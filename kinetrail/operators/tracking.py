@@ -11,6 +11,7 @@ import bisect
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def greedy_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -187,7 +188,7 @@ def suppress(df: DataFrame, frame: str = "frame", floor: float = 0.0, cutoff: fl
 
 
 def cluster_detections(df: DataFrame, frame: str = "frame", reach: float = 60.0) -> DataFrame:
-    """Greedy clusters per frame: by descending score (ties: id), a detection joins the first cluster whose first member is within reach. reach 6 with the given order removes near-duplicate midlines."""
+    """Greedy clusters per frame: by descending score (ties: id), a detection joins the first cluster whose first member is within reach."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "det_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -207,6 +208,13 @@ def cluster_detections(df: DataFrame, frame: str = "frame", reach: float = 60.0)
     return df.groupBy(frame).applyInPandas(run, f"{frame} {kinds[frame]}, det_id {kinds['det_id']}, cluster long")
 
 
+def distinct_midlines(df: DataFrame, frame: str = "frame", reach: float = 6.0) -> DataFrame:
+    """df without the midlines that lie within reach of one before them (by score, then id) that stays."""
+    c = cluster_detections(df, frame, reach).join(df.select(frame, "det_id", "score"), [frame, "det_id"])
+    first = c.groupBy(frame, "cluster").agg(F.max_by("det_id", F.struct("score", -F.col("det_id"))).alias("det_id"))
+    return df.join(first.select(frame, "det_id"), [frame, "det_id"], "left_semi")
+
+
 def matched(truth: pd.DataFrame, found: pd.DataFrame) -> tuple[list[tuple[int, int]], np.ndarray]:
     """(optimal pairs, their distances relative to the mean true length) of one frame."""
     if not len(truth) or not len(found):

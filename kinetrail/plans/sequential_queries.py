@@ -1,4 +1,4 @@
-"""Queries of inherently sequential or iterative operators: no SQL, tested by properties and brute force."""
+"""Queries of inherently sequential or iterative operators. Greedy choices have recursive SQL; the others are tested by properties and brute force."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import cluster, pose_features, skeleton_graph, tracking
-from ..sources.views import det, lab, mid, pts, table
+from ..sources.views import DET, PTS, det, lab, mid, pts, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -16,6 +16,24 @@ def query(f):
     return f
 
 
+def checked(sql: str):
+    def add(f):
+        ORACLES[f.__name__] = sql
+        return query(f)
+
+    return add
+
+
+#: Greedy choice: `it` has the rows of a group g in order k, `near` those (g, k, j) before a row that exclude it; `gr` has what stays of each group.
+GREEDY = """nl AS (SELECT g, k, list(j) AS near FROM near GROUP BY g, k), st AS (SELECT DISTINCT g, 0::BIGINT AS k, []::BIGINT[] AS kept FROM it UNION ALL
+  SELECT st.g, it.k, CASE WHEN list_has_any(st.kept, coalesce(nl.near, []::BIGINT[])) THEN st.kept ELSE list_append(st.kept, it.k) END FROM st JOIN it ON it.g = st.g AND it.k = st.k + 1 LEFT JOIN nl ON nl.g = st.g AND nl.k = it.k),
+gr AS (SELECT g, arg_max(kept, k) AS kept FROM st GROUP BY g)"""
+ORDERED = "it AS (SELECT frame AS g, det_id, score, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det_id) AS k FROM det WHERE {on})"
+#: Flip-invariant mean distances of the detections of a frame.
+FLIPPED = """ds AS (SELECT a.g, a.k, b.k AS j, least(avg(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)), avg(sqrt((p.x - r.x) ** 2 + (p.y - r.y) ** 2))) AS d FROM it a JOIN it b ON a.g = b.g AND b.k < a.k
+  JOIN mp p ON p.vec_id = a.det_id JOIN mp q ON q.vec_id = b.det_id AND q.i = p.i JOIN mp r ON r.vec_id = b.det_id AND r.i = 31 - p.i GROUP BY a.g, a.k, b.k)"""
+
+
 @query
 def track_greedy(spark, d):
     c = pts(spark, d).select(F.col("video"), "frame", F.col("track").alias("comp_id"), (F.col("cx") * 10).alias("cx"), (F.col("cy") * 10).alias("cy"), (1500 + F.col("cy") * 10).alias("area"), (F.col("cx") < 3).alias("border"))
@@ -28,13 +46,17 @@ def link_tracklets(spark, d):
     return tracking.link(v, reach=12.0, gap=3, least=3)
 
 
-@query
+@checked(f"""WITH RECURSIVE {DET}, c AS (SELECT vec_id, avg(x) AS cx, avg(y) AS cy FROM mp GROUP BY vec_id), {ORDERED.format(on="score > 0.1")},
+near AS (SELECT a.g, a.k, b.k AS j FROM it a JOIN it b ON a.g = b.g AND b.k < a.k JOIN c p ON p.vec_id = a.det_id JOIN c q ON q.vec_id = b.det_id JOIN mid m ON m.vec_id = a.det_id JOIN mid n ON n.vec_id = b.det_id
+  WHERE sqrt((p.cx - q.cx) ** 2 + (p.cy - q.cy) ** 2) < 0.3 AND list_sum([(m.m[i] - n.m[i]) ** 2 for i in range(1, 9)]) < -ln(0.01)), {GREEDY}
+SELECT it.g AS frame, det_id, score FROM it JOIN gr ON gr.g = it.g AND list_contains(kept, k)""")
 def nms_latent(spark, d):
     v = det(spark, d).select("frame", "det_id", "score", g.centroid(F.col("pts"))["x"].alias("cx"), g.centroid(F.col("pts"))["y"].alias("cy"), F.slice("m", 1, 8).alias("latent"))
     return tracking.suppress(v, floor=0.1, cutoff=0.3, overlap=0.01)
 
 
-@query
+@checked(f"""WITH RECURSIVE {DET}, {ORDERED.format(on="true")}, {FLIPPED}, near AS (SELECT g, k, j FROM ds WHERE d <= 1.3), {GREEDY}
+SELECT it.g AS frame, det_id, (list_position(max(kept), coalesce(min(j) FILTER (list_contains(kept, j)), it.k)) - 1)::BIGINT AS cluster FROM it JOIN gr ON gr.g = it.g LEFT JOIN near n ON n.g = it.g AND n.k = it.k GROUP BY it.g, det_id, it.k""")
 def ensemble_clusters(spark, d):
     return tracking.cluster_detections(det(spark, d).select("frame", "det_id", "score", "m"), reach=1.3)
 
@@ -45,7 +67,15 @@ def hungarian_score(spark, d):
     return tracking.score_frames(truth, det(spark, d).where("score > 0.3").select("frame", "m", (F.col("score") < 0.35).alias("border")))
 
 
-@query
+@checked(f"""WITH RECURSIVE {DET}, {ORDERED.format(on="true")}, {FLIPPED}, near AS (SELECT g, k, j FROM ds WHERE d < 1.2), {GREEDY}
+SELECT it.g AS frame, det_id FROM it JOIN gr ON gr.g = it.g AND list_contains(kept, k)""")
+def distinct_midlines(spark, d):
+    return tracking.distinct_midlines(det(spark, d).select("frame", "det_id", "score", "m"), reach=1.2).select("frame", "det_id")
+
+
+@checked(f"""WITH RECURSIVE {PTS}, it AS (SELECT track AS g, frame, core, row_number() OVER (PARTITION BY track ORDER BY core DESC, (frame + 1)::BIGINT * 2654435761 % 4294967296) AS k FROM pts),
+near AS (SELECT a.g, a.k, b.k AS j FROM it a JOIN it b ON a.g = b.g AND b.k < a.k AND abs(a.frame - b.frame) < 3), {GREEDY}
+SELECT it.g AS track, frame, core::INT AS priority FROM it JOIN gr ON gr.g = it.g AND list_contains(kept, k)""")
 def min_gap_thinning(spark, d):
     return tracking.thin(pts(spark, d).select("track", "frame", F.col("core").cast("int").alias("priority")), "track", "frame", 3, "priority")
 
