@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list by alternating large-star and small-star steps.
 
 Every step is a minimum per node (pre-aggregated) and a join, so a node with a third of all edges needs no list of its
-neighbours anywhere. After each round the edges are written to the shared folder and read back, which cuts the lineage and
+neighbours anywhere. An edge with a null end joins nothing and is left out; repeated edges and loops count once or not at all. After each round the edges are written to the shared folder and read back, which cuts the lineage and
 lets a lost executor's work be redone from there.
 """
 

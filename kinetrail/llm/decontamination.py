@@ -13,7 +13,7 @@ up by the hash of all its words (winnowing with a window of one), for each such
 
 Defined cases: null texts have no words and no hits; an item without words is never found; repeated items are found under
 each of their ids; a null item_id is found but has no name in the list; an empty benchmark leaves every document clean;
-repeated documents are judged one by one; all columns of the documents are kept.
+repeated documents are judged one by one; all columns of the documents are kept, but one named `__leak` is replaced.
 """
 
 from __future__ import annotations

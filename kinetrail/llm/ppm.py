@@ -17,7 +17,7 @@ Probabilities of grams travel as 32-bit floats: the relative error of a score is
 
 Defined cases: a null or empty text is the end symbol alone; a null doc_id has the empty text's crc32; without any
 training text all bytes are equally likely and no token is known; repeated rows count each; an empty table gives an
-empty result; other columns are left out.
+empty result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ computes a feature only where its rule is reached; quality_rules returns the fea
 
 Defined cases: a null text has no words and fails the base rule; an empty text likewise; a null doc_id is carried
 through; repeated rows are judged one by one; an empty table gives an empty result. Columns of the input other than the
-id and the text are read by no rule, so names that clash with the features are harmless.
+id and the text are read by no rule, so names that clash with the features are harmless; one named `__quality` is replaced.
 """
 
 from __future__ import annotations
@@ -168,7 +168,7 @@ def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", rules
         columns = [f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols")] + [f["lines"]["dup"].alias("n_dup_lines"), f["n_repeat_words"].alias("n_repeat_words")]
         return F.struct(*columns, base_failed(f).alias("base_failed"), verdict.otherwise(True).alias("kept"))
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], let(features(F.col(text)), judge).alias("__quality"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "__quality"], let(features(F.col(text)), judge).alias("__quality"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = 1000, seed: int = 17) -> DataFrame:

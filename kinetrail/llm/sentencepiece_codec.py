@@ -9,8 +9,8 @@ Texts are cut into words only where no piece of the vocabulary reaches across: b
 another character, and around line ends. That is checked against the vocabulary when the model is loaded. Each worker
 keeps the ids of recent words, within a bound.
 
-Defined cases: a null or empty text has no pieces, only begin and end; very long texts and words are taken whole; an
-empty table gives an empty result; other columns are kept.
+Defined cases: a null or empty text has no pieces, only begin and end; very long texts and words are taken whole; repeated
+rows are coded one by one; an empty table gives an empty result; other columns are kept, but those named as the results are replaced.
 """
 
 from __future__ import annotations

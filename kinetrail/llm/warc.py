@@ -10,7 +10,7 @@ Equal payloads: digests are grouped first with pre-aggregation; only those that
 digest) without payload, so a payload that a third of all pages share moves no page twice.
 
 Defined cases: a null html is the empty payload; null page ids come in shards of their own after all others, are always
-responses and refer to nothing; very long payloads are one record like others; other columns are left out; of rows with the same page_id and payload the first is the response and the others revisit it; a null url is written as an
+responses and refer to nothing; very long payloads are one record like others; other columns, whatever their names, are left out; of rows with the same page_id and payload the first is the response and the others revisit it; a null url is written as an
 empty target; an empty table makes no file.
 """
 
