@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.geometry import evenly
+from .label_source import STEP, LabelReader
 
 VIDEO_SUFFIXES = ("mp4", "mov", "avi", "mkv", "m4v")
 
@@ -44,18 +45,15 @@ def list_videos(spark: SparkSession, folder: str, suffixes: Sequence[str] = VIDE
 
 
 def read_labels(spark: SparkSession, root: str, name: str = "labels49.npy", videos: Sequence[str] | None = None) -> DataFrame:
-    """Pose rows from label tensors (frames, points, 2) or (frames, tracks, points, 2); NaN points are null, and rows without any point are left out."""
+    """Pose rows from label tensors (frames, points, 2) or (frames, tracks, points, 2); NaN points are null, and rows without any point are left out. A file is read whole by one task (2 GB at most); label_source reads larger ones by ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for video, content in zip(batch.column("video").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 a = np.load(io.BytesIO(content), allow_pickle=False)
                 a = a[:, None] if a.ndim == 3 else a
-                for start in range(0, len(a), 512):
-                    part = a[start : start + 512].astype(float)
-                    there = np.argwhere(np.isfinite(part).all(-1).any(-1))
-                    pts = [[{"x": float(x), "y": float(y)} if x == x and y == y else None for x, y in part[f, k]] for f, k in there]
-                    yield pa.RecordBatch.from_arrays([pa.array([video] * len(there)), pa.array([str(k) for k in there[:, 1]], pa.string()), pa.array((there[:, 0] + start).astype(np.int32)), pa.array(pts, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], ["video", "track", "frame", "pts"])
+                for start in range(0, len(a), STEP):
+                    yield LabelReader.rows(video, start, a[start : start + STEP].astype(float))
 
     return files(spark, root, name, videos).select("video", "content").mapInArrow(run, "video string, track string, frame int, pts array<struct<x:double,y:double>>")
 

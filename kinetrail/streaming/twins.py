@@ -37,11 +37,8 @@ def hop_windows(stream: DataFrame, keys: list[str], time: str, size_s: float, st
 def sessions(stream: DataFrame, keys: list[str], time: str, gap_s: float, delay: str, aggregates: list[Column]) -> DataFrame:
     """Runs of events that lie less than gap_s apart."""
     s = F.session_window(time, f"{gap_s} seconds")
-    return stream.withWatermark(time, delay).groupBy(*keys, s.alias("s")).agg(*aggregates).select(*keys, (F.unix_micros("s.start") / 1e6 - EPOCH).alias("start_s"), *[a for a in _names(aggregates)])
-
-
-def _names(aggregates: list[Column]) -> list[str]:
-    return [a._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for a in aggregates]
+    out = stream.withWatermark(time, delay).groupBy(*keys, s.alias("s")).agg(*aggregates)
+    return out.withColumn("start_s", F.unix_micros("s.start") / 1e6 - EPOCH).select(*keys, "start_s", *[c for c in out.columns if c not in (*keys, "s")])
 
 
 def track(stream: DataFrame, key: str = "video", gap: int = 200, near: float = 150.0, far: float = 450.0, area_log: float = 0.7, keep: float = 0.9, idle_ms: int | None = None) -> DataFrame:
