@@ -157,7 +157,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", top: int = 30
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.mapInArrow(released(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return counts.withColumn("rank", place - 1).where(F.col("rank") < top).select("lang", "gram", "rank")
+    return counts.withColumn("place", place).where(F.col("place") <= top).select("lang", "gram", (F.col("place") - 1).alias("rank"))  # limited in every task first
 
 
 class Profiles:

@@ -170,7 +170,7 @@ def write_token_ids(docs: DataFrame, folder: str, path: str, end_id: int, id: st
         writer, cache = ShardWriter(folder, TaskContext.get().partitionId(), width, max_ids), word_cache(path)
         manifest: list[tuple] = []
         for whole in batches:
-            for batch in pieces_of(whole, "t"):
+            for batch in pieces_of(whole, "t", 4 << 20):  # words that a slice repeats are looked up once
                 flat, sizes = encode_texts(batch.column("t").to_pylist(), cache, end_id)
                 manifest += writer.add(batch.column("i").to_pylist(), flat, sizes)
         if writer.ids:
