@@ -11,7 +11,6 @@ latest message is a request), `answered` (a reply) or `idle`. Messages may arriv
 from __future__ import annotations
 
 import argparse
-import json
 import logging
 import sys
 from collections.abc import Sequence
@@ -23,6 +22,7 @@ if __name__ == "__main__":
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from jobs.settings import load
 from kinetrail.operators import digests
 
 CONFIG = Path(__file__).with_suffix(".json")
@@ -95,7 +95,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     builder = SparkSession.builder.appName("chat-log").config("spark.sql.session.timeZone", "UTC")
     spark = (builder.master(a.master) if a.master else builder).getOrCreate()
     try:
-        run(spark, a.input, a.output, a.checkpoint, json.loads(Path(a.config).read_text()))
+        run(spark, a.input, a.output, a.checkpoint, load(a.config, CONFIG))
     finally:
         spark.stop()
 

@@ -9,7 +9,6 @@ the partitions of the videos that were asked for are replaced, so a run can be r
 from __future__ import annotations
 
 import argparse
-import json
 import logging
 import sys
 from collections.abc import Sequence
@@ -21,6 +20,7 @@ if __name__ == "__main__":
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from jobs.settings import load
 from kinetrail.operators import locomotion
 from kinetrail.sources.views import track_points
 
@@ -58,7 +58,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     builder = SparkSession.builder.appName("locomotion-report").config("spark.sql.session.timeZone", "UTC")
     spark = (builder.master(a.master) if a.master else builder).getOrCreate()
     try:
-        run(spark, a.input, a.output, json.loads(Path(a.config).read_text()), a.videos)
+        run(spark, a.input, a.output, load(a.config, CONFIG), a.videos)
     finally:
         spark.stop()
 

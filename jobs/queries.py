@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +9,11 @@ from kinetrail.sources.folders import new_folder
 from kinetrail.sources.views import PTS
 
 from . import chat_log, locomotion_report
+from .settings import load
 
 
 def job1_locomotion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, config = new_folder(spark, "locomotion-report"), json.loads(locomotion_report.CONFIG.read_text())
+    folder, config = new_folder(spark, "locomotion-report"), load(locomotion_report.CONFIG, locomotion_report.CONFIG)
     for _ in range(2):
         out = locomotion_report.run(spark, f"{sf_dir}/events.parquet", f"{folder}/report", config)
     return out.select("video", "track", *[F.round(c, 6).alias(c) for c in ("core_s", "speed", "frac_move", "frac_pause")], "bouts", "bout_frames", "longest_bout")
@@ -37,7 +36,7 @@ SELECT video, track, round(core_s, 6) AS core_s, round(speed, 6) AS speed, round
 
 
 def job2_chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, config = new_folder(spark, "chat-log"), json.loads(chat_log.CONFIG.read_text())
+    folder, config = new_folder(spark, "chat-log"), load(chat_log.CONFIG, chat_log.CONFIG)
     for _ in range(2):
         out = chat_log.run(spark, f"{sf_dir}/conversations.parquet", f"{folder}/out", f"{folder}/checkpoint", config)
     return out

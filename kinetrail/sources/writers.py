@@ -1,4 +1,4 @@
-"""Sinks. Large tables are written by Spark, partitioned by video; small documents of one video are made from collected rows."""
+"""Sinks. Tables and documents are made and written by Spark, partitioned by video; nothing of a video passes the driver."""
 
 from __future__ import annotations
 
@@ -39,13 +39,20 @@ def header_rows(individuals: Sequence[str], scorer: str) -> list[list[str]]:
     return rows if len(individuals) > 1 else [rows[0], *rows[2:]]
 
 
-def csv_lines(wide: DataFrame, individuals: Sequence[str], scorer: str) -> list[str]:
-    """The lines of one video's wide table, with its header; a video's frames fit the driver."""
-    out = [",".join(r) for r in header_rows(individuals, scorer)]
+def csv_lines(wide: DataFrame, individuals: Sequence[str], scorer: str) -> DataFrame:
+    """(video, at, line): the lines of each video's wide table, its header first; at orders them. Hidden values are empty."""
     columns = [f"{i}|{b}_{c}" for i in individuals for b in BODYPARTS for c in ("x", "y", "likelihood")]
-    for row in wide.orderBy("frame").toLocalIterator():
-        out.append(",".join([str(row["frame"]), *["" if row[c] is None else f"{row[c]:.3f}" for c in columns]]))
-    return out
+    number = lambda c: F.coalesce(F.format_string("%.3f", F.col(f"`{c}`")), F.lit(""))
+    empty = lambda c: F.when(F.col(f"`{c}`").isNull(), "").otherwise(number(c))
+    rows = wide.select("video", F.col("frame").cast("long").alias("at"), F.concat_ws(",", F.col("frame").cast("string"), *map(empty, columns)).alias("line"))
+    head = [",".join(r) for r in header_rows(individuals, scorer)]
+    heads = F.explode(F.array(*[F.struct(F.lit(k - len(head)).cast("long").alias("at"), F.lit(x).alias("line")) for k, x in enumerate(head)])).alias("h")
+    return rows.unionByName(wide.select("video").distinct().select("video", heads).select("video", "h.at", "h.line"))
+
+
+def write_csv_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One text file per video, in order."""
+    lines.repartition("video").sortWithinPartitions("video", "at").select("video", "line").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("video").text(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -64,10 +71,13 @@ def summary_json(summary: DataFrame, tracks: DataFrame) -> DataFrame:
     return joined.select("video", F.to_json(F.struct(*[c for c in joined.columns if c != "video"])).alias("json"))
 
 
-def episode_json(episodes: DataFrame, head: dict) -> str:
-    """The episode document of one video."""
-    rows = [r.asDict(recursive=True) for r in episodes.orderBy("start").collect()]
-    return json.dumps({"format": 2, **head, "episodes": [{"id": k, **r} for k, r in enumerate(rows)]}, sort_keys=True)
+def episode_json(episodes: DataFrame, videos: DataFrame) -> DataFrame:
+    """(video, json): the episode document of each video of videos, with that one's other columns as its head and its episodes in order."""
+    named = [c for c in episodes.columns if c not in ("video", "start")]
+    nested = episodes.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("start", *named))).alias("episodes"))
+    joined = videos.join(nested, "video", "left")
+    listed = F.coalesce("episodes", F.array().cast(joined.schema["episodes"].dataType)).alias("episodes")
+    return joined.select("video", F.to_json(F.struct(F.lit(2).alias("format"), *videos.columns, listed)).alias("json"))
 
 
 def project_yaml(settings: dict) -> str:

@@ -11,7 +11,7 @@ import pytest
 from compare import plain, same
 from pyspark.sql import functions as F
 
-from jobs import chat_log, locomotion_report, queries
+from jobs import chat_log, locomotion_report, queries, settings
 
 ROOT = Path(__file__).resolve().parent.parent
 CHAT = json.loads(chat_log.CONFIG.read_text())
@@ -86,6 +86,24 @@ def test_chat_log_of_odd_messages(spark, tmp_path):
     assert {d for d in os.listdir(f"{out}/chats") if d.startswith("state=")} == {"state=answered", "state=idle"}  # nobody waits any more
 
 
+def test_settings_are_checked(tmp_path):
+    own = tmp_path / "own.json"
+    for wrong in ({}, MOVES | {"extra": 1}, MOVES | {"fps": 0}, MOVES | {"fps": "20"}, MOVES | {"median_frames": 2.5}, MOVES | {"fps": True}):
+        own.write_text(json.dumps(wrong))
+        with pytest.raises(ValueError):
+            settings.load(own, locomotion_report.CONFIG)
+    own.write_text(json.dumps(CHAT | {"replies": 3}))
+    with pytest.raises(ValueError):
+        settings.load(own, chat_log.CONFIG)
+    assert settings.load(chat_log.CONFIG, chat_log.CONFIG) == CHAT
+
+
+def test_locomotion_report_of_videos_that_are_not_there(spark, sf, tmp_path):
+    out = str(tmp_path / "report")
+    assert locomotion_report.run(spark, f"{sf}/events.parquet", out, MOVES, videos=[99]).count() == 0
+    assert locomotion_report.run(spark, f"{sf}/events.parquet", out, MOVES, videos=[2]).select("video").distinct().count() == 1
+
+
 def test_locomotion_report_replaces_only_its_videos(spark, sf, tmp_path):
     out = str(tmp_path / "report")
     whole = rows(locomotion_report.run(spark, f"{sf}/events.parquet", out, MOVES))

@@ -52,13 +52,18 @@ def test_result_archive(spark, tmp_path):
     assert [(r["track"], r["plausible"], len(r["midline"])) for r in rows] == [(0, True, 98), (0, False, 98), (-1, True, 98)]
 
 
-def test_five_points_and_wide_table(spark, jobs):
+def test_five_points_and_wide_table(spark, jobs, tmp_path):
     pose = readers.read_labels(spark, jobs, videos=["b"])
     points = writers.five_points(pose, F.lit(False))
     assert points.where("bodypart = 'tail' and frame = 1").first()["likelihood"] == 0.0
     wide = writers.wide_points(points, ["0", "1"])
-    lines = writers.csv_lines(wide, ["0", "1"], "me")
+    table = writers.csv_lines(wide, ["0", "1"], "me")
+    lines = [r["line"] for r in table.orderBy("at").collect()]
     assert len(lines) == 4 + 3 and len(lines[0].split(",")) == 1 + 2 * 5 * 3 == len(lines[-1].split(","))
+    assert [x.split(",")[0] for x in lines[:4]] == ["scorer", "individuals", "bodyparts", "coords"] and lines[4].startswith("0,")
+    writers.write_csv_lines(table, str(tmp_path / "wide"))
+    (file,) = (tmp_path / "wide" / "video=b").glob("part-*.txt")
+    assert file.read_text().splitlines() == lines
 
 
 def test_pose_round_trip_and_backup(spark, jobs, tmp_path):
@@ -69,6 +74,33 @@ def test_pose_round_trip_and_backup(spark, jobs, tmp_path):
     assert spark.read.parquet(path).count() == pose.count()
 
 
+def test_documents_of_videos(spark):
+    episodes = spark.createDataFrame([("a", 7, 9, 2), ("a", 1, 3, 1)], "video string, start int, end int, id int")
+    videos = spark.createDataFrame([("a", 20.0), ("b", 25.0)], "video string, fps double")
+    got = {r["video"]: json.loads(r["json"]) for r in writers.episode_json(episodes, videos).collect()}
+    assert got["a"] == {"format": 2, "video": "a", "fps": 20.0, "episodes": [{"start": 1, "end": 3, "id": 1}, {"start": 7, "end": 9, "id": 2}]} and got["b"]["episodes"] == []
+    tracks = spark.createDataFrame([("a", "t1", 5), ("a", "t0", 2)], "video string, id string, first_frame int")
+    summary = spark.createDataFrame([("a", 9), ("b", 3)], "video string, n_frames int")
+    got = {r["video"]: json.loads(r["json"]) for r in writers.summary_json(summary, tracks).collect()}
+    assert [t["id"] for t in got["a"]["tracks"]] == ["t0", "t1"] and got["b"] == {"n_frames": 3}
+    qc = writers.qc_rows(spark.createDataFrame([("a", ["split", "cluster", "split"]), ("a", [])], "video string, flags array<string>"))
+    assert [r["flags"] for r in qc.collect()] == ["cluster;split", ""]
+
+
+def test_videos_and_tables_of_a_folder(spark, tmp_path):
+    for name in ("b.MP4", "a.mov", "notes.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r["video"] for r in readers.list_videos(spark, str(tmp_path)).collect()] == ["a", "b"]
+    out = tmp_path / "tables"
+    writers.write_table(spark.createDataFrame([(1, "x"), (2, None)], "k int, v string").coalesce(1), str(out))
+    back = readers.read_table(spark, str(out), "k int, v string")
+    assert sorted(map(tuple, back.collect()), key=str) == [(1, "x"), (2, None)]
+    (tmp_path / "more").mkdir()
+    for name in ("kept.csv", "old_draft.csv"):
+        (tmp_path / "more" / name).write_text("k\n1\n")
+    assert readers.read_table(spark, str(tmp_path / "more")).count() == 2 and readers.read_table(spark, str(tmp_path / "more"), exclude="draft").count() == 1
+
+
 def test_project_documents():
     old = {"bodyparts": ["a"], "scorer": "s", "multianimalproject": True, "video_sets": {"x.mp4": "0, 1"}}
     new = {**old, "video_sets": {"y.mp4": "0, 1"}}
