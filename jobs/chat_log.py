@@ -22,7 +22,7 @@ if __name__ == "__main__":
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.settings import load
+from jobs.settings import counted, load
 from kinetrail.operators import digests
 
 CONFIG = Path(__file__).with_suffix(".json")
@@ -67,7 +67,7 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, config:
         seen, wrote = Observation(), Observation()
         rows = digest(new.observe(seen, F.count(F.lit(1)).alias("rows")), config).observe(wrote, F.count(F.lit(1)).alias("rows"))
         rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(parts)
-        log.info("batch %s: read %s new messages of %s, wrote %s digests to %s", batch, seen.get["rows"], source, wrote.get["rows"], parts)
+        log.info("batch %s: read %s new messages of %s, wrote %s digests to %s", batch, counted(seen), source, counted(wrote), parts)
 
     path = source.rstrip("/")
     stream = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(f"{path[:-1]}[{path[-1]}]")  # a stream takes a path as a folder, a pattern also as a file
@@ -79,7 +79,7 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, config:
     wrote = Observation()
     rows = report(spark.read.schema(DIGEST).parquet(parts), config).observe(wrote, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("state") == "waiting").alias("waiting"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("state").parquet(chats)
-    log.info("wrote %s chats, %s of them waiting, to %s", wrote.get["rows"], wrote.get["waiting"], chats)
+    log.info("wrote %s chats, %s of them waiting, to %s", counted(wrote), counted(wrote, "waiting"), chats)
     return spark.read.schema(REPORT).parquet(chats)
 
 

@@ -20,7 +20,7 @@ if __name__ == "__main__":
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.settings import load
+from jobs.settings import counted, load
 from kinetrail.operators import locomotion
 from kinetrail.sources.views import track_points
 
@@ -41,8 +41,8 @@ def run(spark: SparkSession, source: str, output: str, config: dict, videos: Seq
     report = locomotion.with_videos(tracks).observe(wrote, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("track") == "ALL").alias("videos"))
     report = report.repartition("video").sortWithinPartitions("video", "track")
     report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video").parquet(output)
-    log.info("read %s points of %s", seen.get["rows"], source)
-    log.info("wrote %s rows of %s videos to %s", wrote.get["rows"], wrote.get["videos"], output)
+    log.info("read %s points of %s", counted(seen), source)
+    log.info("wrote %s rows of %s videos to %s", counted(wrote), counted(wrote, "videos"), output)
     return spark.read.schema(SCHEMA).parquet(output)
 
 
