@@ -79,10 +79,10 @@ def synthetic_crossings(spark, d):
 
 
 @query(f"""WITH {MID}, p AS (SELECT track, frame, vec_id % 2 AS who, i, x, y FROM mp WHERE vec_id % 10 < 2 AND i IN (0, 31))
-SELECT 'labeled-data' AS folder, track::VARCHAR AS video, 'img' || lpad(frame::VARCHAR, 5, '0') || '.png' AS image, {", ".join(f'round(max({c}) FILTER (who = {w} AND i = {i}), 6) AS "worm{w}_{b}_{c}"' for w in (0, 1) for i, b in ((0, "head"), (31, "tail")) for c in "xy")} FROM p GROUP BY track, frame""")
+SELECT 'labeled-data' AS folder, track::VARCHAR AS video, 'img' || lpad(frame::VARCHAR, 5, '0') || '.png' AS image, {", ".join(f'round(max({c}) FILTER (who = {w} AND i = {i}), 6) AS "animal{w}_{b}_{c}"' for w in (0, 1) for i, b in ((0, "head"), (31, "tail")) for c in "xy")} FROM p GROUP BY track, frame""")
 def collected_labels(spark, d):
-    m = mid(spark, d).where("vec_id % 10 < 2").select(F.col("track").cast("string").alias("video"), "frame", F.concat(F.lit("worm"), (F.col("vec_id") % 2).cast("string")).alias("individual"), F.explode(F.array(*[F.struct(F.lit(b).alias("bodypart"), F.get("pts", F.lit(i)).alias("p")) for i, b in ((0, "head"), (31, "tail"))])).alias("b"))
-    rows = training.collected_rows(m.select("video", "frame", "individual", "b.bodypart", F.round("b.p.x", 6).alias("x"), F.round("b.p.y", 6).alias("y")), ["worm0", "worm1"], ["head", "tail"])
+    m = mid(spark, d).where("vec_id % 10 < 2").select(F.col("track").cast("string").alias("video"), "frame", F.concat(F.lit("animal"), (F.col("vec_id") % 2).cast("string")).alias("individual"), F.explode(F.array(*[F.struct(F.lit(b).alias("bodypart"), F.get("pts", F.lit(i)).alias("p")) for i, b in ((0, "head"), (31, "tail"))])).alias("b"))
+    rows = training.collected_rows(m.select("video", "frame", "individual", "b.bodypart", F.round("b.p.x", 6).alias("x"), F.round("b.p.y", 6).alias("y")), ["animal0", "animal1"], ["head", "tail"])
     return rows.withColumnsRenamed({c: c.replace("|", "_") for c in rows.columns})
 
 
