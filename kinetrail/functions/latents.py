@@ -18,13 +18,16 @@ def multiply(values: Column, matrix: np.ndarray) -> Column:
         size = pc.fill_null(pc.list_value_length(rows), -1).to_numpy(zero_copy_only=False)
         if ((size >= 0) & (size != len(matrix))).any():
             raise ValueError(f"the arrays must have {len(matrix)} numbers")
-        out = np.full((len(rows), matrix.shape[1]), np.nan)
-        out[size >= 0] = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(matrix)) @ matrix
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * matrix.shape[1], pa.int32()), pa.array(out.ravel()))
-        return pc.if_else(pa.array(size >= 0), flat, pa.scalar(None, flat.type))
-
-    whole = F.when(~F.exists(values, lambda x: x.isNull()), values.cast("array<double>"))
-    return run(whole)
+        flat = rows.flatten()
+        x = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).reshape(-1, len(matrix))
+        held = size >= 0
+        out = np.zeros((len(rows), matrix.shape[1]))
+        out[held] = x @ matrix
+        held[held] = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, len(matrix)).any(1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * matrix.shape[1], pa.int32()), pa.array(out.ravel()))
+        return pc.if_else(pa.array(held), lists, pa.scalar(None, lists.type))
+
+    return run(values.cast("array<double>"))
 
 
 def project(values: Column, components: np.ndarray) -> Column:

@@ -10,11 +10,14 @@ everywhere, tends to a straight line (not to a cubic) as smooth grows, and can f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COEFFICIENTS, SAMPLES, LEAST = 24, 500, 8
 BAND = 3
@@ -105,32 +108,34 @@ def resampled(coefficients: np.ndarray, n: int, samples: int = SAMPLES) -> tuple
     return np.take_along_axis(xy, at[..., None], 1) * (1 - t) + np.take_along_axis(xy, at[..., None] + 1, 1) * t, length
 
 
-def smooth_resample(pts: Column, n: int, smooth: Column | None = None) -> Column:
-    """struct(pts, length): a midline's smoothing spline at n points of equal arc distance. smooth bounds the sum of squared
-    residuals (twice the number of points where None). Null for fewer than eight points, hidden ones, or no length."""
-
-    @F.arrow_udf("struct<flat:array<double>,length:double>")
-    def run(flat: pa.Array, bound: pa.Array) -> pa.Array:
-        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-        values, offsets = flat.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(flat).to_numpy(zero_copy_only=False)))]).astype(np.int64)
-        rows = values.reshape(-1, 2)
-        ends = offsets // 2
-        ok = np.array([b - a >= LEAST and np.isfinite(rows[a:b]).all() and bool((rows[a:b] != rows[a]).any()) for a, b in zip(ends[:-1], ends[1:], strict=True)], bool)
-        keep = np.flatnonzero(ok)
-        out, lengths = np.zeros((0, n, 2)), np.zeros(0)
-        if len(keep):
-            points = np.concatenate([rows[ends[i] : ends[i + 1]] for i in keep])
-            out, lengths = resampled(fit(points, np.diff(ends)[keep], bound.to_numpy(zero_copy_only=False).astype(float)[keep]), n)
-        sizes = np.where(ok, 2 * n, 0)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(out.ravel()))
-        whole = np.full(len(ok), np.nan)
-        whole[keep] = lengths
-        return pa.StructArray.from_arrays([lists, pa.array(whole)], ["flat", "length"], mask=pa.array(~ok))
-
-    hidden = F.lit(float("nan"))
-    flat = F.flatten(F.transform(pts, lambda p: F.array(F.coalesce(p["x"], hidden), F.coalesce(p["y"], hidden))))
-    bound = F.coalesce(smooth.cast("double"), 2.0 * F.size(pts)) if smooth is not None else 2.0 * F.size(pts)
-    fitted = run(flat, bound)
-    from .geometry import let, points
-
-    return let(fitted, lambda s: F.when(s.isNotNull(), F.struct(points(s["flat"]).alias("pts"), s["length"].alias("length"))))
+def splines_of(lines: pa.Array, bounds: pa.Array, n: int) -> pa.Array:
+    """struct(pts, length) of an Arrow array of midlines (lists of points)."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    p = lines.flatten()
+    rows = np.stack([pc.fill_null(pc.struct_field(p, c).cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)  # the fields of a null point are null
+    ok = np.array([b - a >= LEAST and np.isfinite(rows[a:b]).all() and bool((rows[a:b] != rows[a]).any()) for a, b in zip(ends[:-1], ends[1:], strict=True)], bool)
+    keep = np.flatnonzero(ok)
+    out, lengths = np.zeros((0, n, 2)), np.full(len(ok), np.nan)
+    if len(keep):
+        points = np.concatenate([rows[ends[i] : ends[i + 1]] for i in keep])
+        out, lengths[keep] = resampled(fit(points, np.diff(ends)[keep], bounds.to_numpy(zero_copy_only=False).astype(float)[keep]), n)
+    flat = out.reshape(-1, 2)
+    xy = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, 0])), pa.array(np.ascontiguousarray(flat[:, 1]))], ["x", "y"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(ok, n, 0))]), pa.int32()), xy)
+    return pa.StructArray.from_arrays([lists, pa.array(lengths)], ["pts", "length"], mask=pa.array(~ok))
+
+
+def smooth_resample(df: DataFrame, pts: str, n: int, smooth: Column | None = None, out: str = "spline") -> DataFrame:
+    """df with a struct (pts, length): the smoothing spline of each midline at n points of equal arc distance. smooth bounds the sum of
+    squared residuals (twice the number of points where None or null). Null for fewer than eight points, hidden ones, or no length."""
+    usual = 2.0 * F.size(pts)
+    rows = df.withColumn("__bound", F.coalesce(smooth.cast("double"), usual) if smooth is not None else usual)
+    spline = T.StructType([T.StructField("pts", T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in "xy"]))), T.StructField("length", T.DoubleType())])
+    schema = T.StructType([f for f in df.schema if f.name != out] + [T.StructField(out, spline)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = splines_of(batch.column(pts), batch.column("__bound"), n)
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in schema if f.name != out] + [found], [f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)

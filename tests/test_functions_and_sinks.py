@@ -36,7 +36,7 @@ def test_splines_follow_known_curves(spark):
     noise = np.random.default_rng(1).normal(0, 1.0, (300, 2))
     arc = [(200 * math.cos(math.pi * t), 200 * math.sin(math.pi * t)) for t in np.linspace(0, 1, 300)]
     rows = [(0, curve(40, lambda t: (100 * t, 50 * t))), (1, [(float(x + a), float(y + b)) for (x, y), (a, b) in zip(arc, noise)]), (2, curve(7, lambda t: (t, t))), (3, [(1.0, 1.0)] * 20), (4, None), (5, [*curve(20, lambda t: (t, t))[:-1], None]), (6, [])]
-    out = {r["id"]: r["s"] for r in spark.createDataFrame(rows, PTS).select("id", spline.smooth_resample(F.col("pts"), 49).alias("s")).collect()}
+    out = {r["id"]: r["s"] for r in spline.smooth_resample(spark.createDataFrame(rows, PTS), "pts", 49, out="s").collect()}
     assert all(out[i] is None for i in (2, 3, 4, 5, 6))
     line = np.array([tuple(p) for p in out[0]["pts"]])
     assert np.allclose(line, np.stack([np.linspace(0, 100, 49), np.linspace(0, 50, 49)], axis=1), atol=0.5) and abs(out[0]["length"] - math.hypot(100, 50)) < 0.5
