@@ -244,7 +244,8 @@ def asof_nearest(spark, d):
 
 @query(f"WITH {PTS} SELECT track, count(*) AS n_frames, min(frame) AS first_frame, max(frame) AS last_frame, round(quantile_cont(cx, 0.5), 6) AS med_x, bool_or(core) AS any_core, bool_and(core) AS all_core, arg_max(frame, cx) AS peak FROM pts GROUP BY track")
 def track_stats(spark, d):
-    return pts(spark, d).groupBy("track").agg(F.count(F.lit(1)).alias("n_frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.round(r.median("cx"), 6).alias("med_x"), F.bool_or("core").alias("any_core"), F.bool_and("core").alias("all_core"), F.max_by("frame", "cx").alias("peak"))
+    peak = F.max_by("frame", F.when(F.col("cx").isNotNull(), F.struct("cx", -F.col("frame"))))  # of equal values the first frame
+    return pts(spark, d).groupBy("track").agg(F.count(F.lit(1)).alias("n_frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.round(r.median("cx"), 6).alias("med_x"), F.bool_or("core").alias("any_core"), F.bool_and("core").alias("all_core"), peak.alias("peak"))
 
 
 @query(f"""WITH {PTS}, n AS (SELECT max(frame) + 1 AS n FROM pts), a AS (SELECT track, count(*) AS n_frames, stddev_pop(cx) AS sx, stddev_pop(cy) AS sy, quantile_cont(cx, 0.5) AS area FROM pts GROUP BY track)

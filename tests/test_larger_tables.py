@@ -31,3 +31,9 @@ def copied(spark, sf, folder, **tables):
 def test_report_lines_round_like_sql(spark, sf, tmp_path):
     c = spark.read.parquet(f"{sf}/customer.parquet").withColumn("c_acctbal", F.col("c_custkey").cast("double") / 2 + F.col("c_custkey") * 5)
     same(spark, copied(spark, sf, tmp_path, customer=c), catalog.QUERIES["track_report"], catalog.ORACLES["track_report"])
+
+
+def test_peak_of_equal_values_is_the_first(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("event_id", F.col("event_id") + F.col("k") * 100000).drop("k")
+    same(spark, copied(spark, sf, tmp_path, events=e), catalog.QUERIES["track_stats"], catalog.ORACLES["track_stats"])
