@@ -40,30 +40,53 @@ def pca(df: DataFrame, id: str, vector: str, k: int = 2) -> tuple[DataFrame, lis
     return df.select(id, *[p.alias(f"pc{j + 1}") for j, p in enumerate(pcs)]), ratio
 
 
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows; the same for (a, b) and (b, a) to the last bit."""
+    return ((a - b) ** 2).sum(-1)
+
+
 def ward_merges(x: np.ndarray) -> np.ndarray:
-    """Linkage (a, b, distance, size) by Ward's criterion: Lance-Williams updates on nearest-neighbour chains, sorted by distance."""
+    """Linkage (a, b, distance, size) by Ward's criterion on nearest-neighbour chains, sorted by distance. Distances are measured from the
+    centres of the clusters as they are needed, so memory is that of x; the time is quadratic. Products of vectors find the few that can be nearest, differences decide."""
     n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(-1)
-    np.fill_diagonal(d, np.inf)
-    size, alive, raw, chain = np.ones(n), np.ones(n, bool), [], []
+    x = np.asarray(x, float)
+    centre = x - x.mean(0) if n else x
+    size, norm, raw, chain = np.ones(n), (centre**2).sum(-1), [], []
+    live, at = np.arange(n), np.arange(n)  # clusters that live, in ascending order (with some that ended since), and their rows
+    ended = np.zeros(n, bool)
     for _ in range(n - 1):
         if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
+            chain = [int(live[np.flatnonzero(~ended)[0]])]
         while True:
             a = chain[-1]
-            row = np.where(alive, d[a], np.inf)
-            b = int(row.argmin())
-            if len(chain) > 1 and row[chain[-2]] <= row[b]:
-                b = chain[-2]
-                break
+            k = at[a]
+            weight = 2 * size[k] * size / (size[k] + size)
+            about, slack = norm + norm[k] - 2 * (centre @ centre[k]), 1e-12 * (norm + norm[k])
+            out = ended.copy()
+            out[k] = True
+            can = np.flatnonzero(~out & (weight * (about - slack) <= np.min(weight * (about + slack), where=~out, initial=np.inf)))
+            d = weight[can] * squared(centre[can], centre[k])
+            best = int(d.argmin())
+            b, least = int(live[can[best]]), d[best]
+            if len(chain) > 1:
+                before = at[chain[-2]]
+                if weight[before] * squared(centre[before], centre[k]) <= least:
+                    b = chain[-2]
+                    least = weight[before] * squared(centre[before], centre[k])
+                    break
             chain.append(b)
         chain = chain[:-2]
-        raw.append((a, b, d[a, b]))
-        new = ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * d[a, b]) / (size[a] + size[b] + size)
-        alive[b] = False
-        size[a] += size[b]
-        d[a], d[:, a] = new, new
-        d[a, a] = np.inf
+        raw.append((a, b, least))
+        j = at[b]
+        centre[k] = (size[k] * centre[k] + size[j] * centre[j]) / (size[k] + size[j])
+        size[k] += size[j]
+        norm[k] = (centre[k] ** 2).sum()
+        ended[j] = True
+        if ended.sum() * 4 > len(live):
+            stay = ~ended
+            live, centre, size, norm = live[stay], centre[stay], size[stay], norm[stay]
+            ended = np.zeros(len(live), bool)
+            at[live] = np.arange(len(live))
     names, out, counts = list(range(n)), [], np.ones(2 * n)
     root = list(range(n))
 
@@ -85,15 +108,10 @@ def ward_merges(x: np.ndarray) -> np.ndarray:
 
 def cut_tree(merges: np.ndarray, n: int, k: int) -> np.ndarray:
     """Labels 1..k by order of first member."""
-    parent = np.arange(2 * n)
-    for i, (a, b, *_) in enumerate(merges[: max(0, n - k)]):
-        parent[int(a)] = parent[int(b)] = n + i
-    out = np.arange(n)
-    for i in range(n):
-        j = i
-        while parent[j] != j:
-            j = parent[j]
-        out[i] = j
+    root = np.arange(2 * n)
+    for i, (a, b, *_) in reversed(list(enumerate(merges[: max(0, n - k)]))):
+        root[int(a)] = root[int(b)] = root[n + i]
+    out = root[:n]
     _, first, label = np.unique(out, return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first))[label] + 1
 
@@ -113,7 +131,7 @@ def leaf_order(merges: np.ndarray, n: int) -> list[int]:
 
 
 def ward(df: DataFrame, group: str, id: str, vector: str, k: int) -> DataFrame:
-    """(group, id, cluster, position in the dendrogram). A group is one analysis (a few thousand windows at most), as the method is quadratic; groups are spread."""
+    """(group, id, cluster, position in the dendrogram). A group is one analysis in one task, whose memory is that of its rows and whose time is quadratic; groups are spread."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id, kind="stable")

@@ -1,11 +1,15 @@
 """What larger tables and odd values brought up: ties, prints, crowded frames and large groups."""
 
+import itertools
+import math
 import random
 
+import numpy as np
 from compare import same
 from pyspark.sql import functions as F
 
 from kinetrail.functions.printing import printed
+from kinetrail.operators import cluster
 from kinetrail.plans import catalog
 
 
@@ -37,3 +41,33 @@ def test_peak_of_equal_values_is_the_first(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet")
     e = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("event_id", F.col("event_id") + F.col("k") * 100000).drop("k")
     same(spark, copied(spark, sf, tmp_path, events=e), catalog.QUERIES["track_stats"], catalog.ORACLES["track_stats"])
+
+
+def test_ward_takes_no_matrix_of_distances():
+    """Equal to updates on a matrix, in memory that grows with the rows."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(60, 5)), np.repeat(rng.normal(size=(7, 5)), 3, 0)])
+    merges = cluster.ward_merges(x)
+    groups, height = {i: [i] for i in range(len(x))}, []
+    for k, (a, b, d, size) in enumerate(merges):
+        one, two = groups.pop(int(a)), groups.pop(int(b))
+        gap = math.sqrt(2 * len(one) * len(two) / (len(one) + len(two))) * np.linalg.norm(x[one].mean(0) - x[two].mean(0))
+        least = min(math.sqrt(2 * len(p) * len(q) / (len(p) + len(q))) * np.linalg.norm(x[p].mean(0) - x[q].mean(0)) for p, q in itertools.combinations([one, two, *groups.values()], 2))
+        assert abs(d - gap) < 1e-9 and abs(d - least) < 1e-9 and size == len(one) + len(two)
+        groups[len(x) + k] = one + two
+        height.append(d)
+    assert height == sorted(height)
+    many = rng.normal(size=(3000, 16))
+    tracemalloc.start()
+    cluster.ward_merges(many)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6  # a matrix of 3000 x 3000 doubles takes 72 MB
+
+
+def test_a_chain_of_merges_is_cut():
+    n = 3000
+    merges = np.array([(0, 1, 0, 2)] + [(k + 1, n + k - 1, 0, k + 2) for k in range(1, n - 1)], float)
+    assert cluster.cut_tree(merges, n, 2).tolist() == [1] * (n - 1) + [2]
