@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,36 +146,54 @@ def ward(df: DataFrame, group: str, id: str, vector: str, k: int) -> DataFrame:
     return df.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {id} {kinds[id]}, cluster long, place long")
 
 
-def silhouette(df: DataFrame, id: str, label: str, vector: str, block: int = 512, strip: int = 16) -> DataFrame:
-    """(id, label, a, b, s) with Euclidean distances; rows alone in their label are left out. Rows are packed in blocks on one
-    side and in strips of `strip` blocks on the other; a block visits every strip, where pairs are measured as matrices and
-    only sums per row and label leave. What moves is rows / (block * strip) times the table."""
-    count = df.count()
-    plain = df.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows by a matrix product; those of rows so near to each other that it would lose digits by their differences."""
+    size = (x**2).sum(1)[:, None] + (y**2).sum(1)
+    sq = size - 2 * (x @ y.T)
+    near = np.flatnonzero(sq < 1e-5 * size)
+    for k in range(0, len(near), 1 << 16):
+        i, j = np.divmod(near[k : k + (1 << 16)], len(y))
+        sq[i, j] = squared(x[i], y[j])
+    return np.sqrt(sq, out=sq)
+
 
-    def packed(n: int, name: str, rows: str) -> DataFrame:
-        return plain.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list(F.struct("id", "label", "v")).alias(rows))
-
-    n, strips = max(1, -(-count // block)), max(1, -(-count // (block * strip)))
-    left = packed(n, "i", "x").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
-    right = packed(strips, "j", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                x, y = (np.array([p["v"] for p in r[c]], float) for c in "xy")
-                d = np.concatenate([np.sqrt(((x[:, None] - y[None, k : k + 128]) ** 2).sum(-1)) for k in range(0, len(y), 128)], axis=1)
-                ids, labels = np.array([p["id"] for p in r["x"]]), np.array([p["label"] for p in r["x"]])
-                other_ids, other = np.array([p["id"] for p in r["y"]]), np.array([p["label"] for p in r["y"]])
-                kinds = np.unique(other)
-                sums = np.stack([d[:, other == k].sum(1) for k in kinds], 1)
-                self_here = (ids[:, None] == other_ids[None]).any(1)
-                counts = np.stack([np.full(len(ids), (other == k).sum()) - (self_here & (labels == k)) for k in kinds], 1)
-                m = len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(np.repeat(labels, m)), pa.array(np.tile(kinds, len(ids))), pa.array(sums.ravel()), pa.array(counts.ravel())], ["id", "label", "other", "d", "n"])
+def silhouette(df: DataFrame, id: str, label: str, vector: str, least: int = 512, most: int = 32768) -> DataFrame:
+    """(id, label, a, b, s) with Euclidean distances; rows alone in their label are left out. Rows are dealt to about 16 tiles, of `most`
+    rows at most; each pair of tiles is a group, measured once as a matrix, strip by strip, and only sums per row and label leave it. A row moves once per tile."""
+    plain = df.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
+    tiles = max(1, -(-df.count() // min(max(least, df.count() // 16), most)))
+    pairs = plain.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    pairs = pairs.select(F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "id", "label", "v")
+
+    def run(key, table):
+        low, high = (k.as_py() for k in key)
+        tile = table["t"].to_numpy()
+        v = pc.list_flatten(table["v"]).to_numpy().astype(float).reshape(len(tile), -1)
+        v -= v.mean(0)
+        kinds, code = np.unique(table["label"].to_pandas().to_numpy(), return_inverse=True)
+        ids = table["id"].to_pandas().to_numpy()
+        x, y = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+        sums = np.zeros((len(tile), len(kinds)))
+        one = np.eye(len(kinds))[code]
+        for k in range(0, len(y), 256):
+            part = y[k : k + 256]
+            for r in range(0, len(x), 4096):
+                rows = x[r : r + 4096]
+                d = distances(v[rows], v[part])
+                sums[rows] += d @ one[part]
+                if low != high:
+                    sums[part] += d.T @ one[rows]
+        counts = np.empty(sums.shape, np.int64)
+        counts[x] = one[y].sum(0)
+        if low == high:
+            counts[x, code[x]] -= 1
+        else:
+            counts[y] = one[x].sum(0)
+        m = len(kinds)
+        return pa.table([pa.array(np.repeat(ids, m)), pa.array(np.repeat(kinds[code], m)), pa.array(np.tile(kinds, len(ids))), pa.array(sums.ravel()), pa.array(counts.ravel())], ["id", "label", "other", "d", "n"])
 
     kinds = {c: "long" if t in ("int", "smallint", "tinyint") else t for c, t in df.dtypes}
-    parts = left.join(right, "j").select("x", "y").mapInArrow(run, f"id {kinds[id]}, label {kinds[label]}, other {kinds[label]}, d double, n long")
+    parts = pairs.withColumns({c: F.col(c).cast(kinds[n]) for c, n in (("id", id), ("label", label))}).groupBy("i", "j").applyInArrow(run, f"id {kinds[id]}, label {kinds[label]}, other {kinds[label]}, d double, n long")
     means = parts.groupBy("id", "label", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).where("n > 0").withColumn("m", F.col("d") / F.col("n"))
     own = F.max(F.when(F.col("label") == F.col("other"), F.col("m")))
     near = F.min(F.when(F.col("label") != F.col("other"), F.col("m")))

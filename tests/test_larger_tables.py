@@ -71,3 +71,18 @@ def test_a_chain_of_merges_is_cut():
     n = 3000
     merges = np.array([(0, 1, 0, 2)] + [(k + 1, n + k - 1, 0, k + 2) for k in range(1, n - 1)], float)
     assert cluster.cut_tree(merges, n, 2).tolist() == [1] * (n - 1) + [2]
+
+
+def test_silhouette_over_several_tiles(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(150, 4)), np.repeat(rng.normal(size=(5, 4)), 10, 0)]) + 1000
+    label = rng.integers(0, 3, len(x))
+    df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x, strict=True))], "id long, label int, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    rows = cluster.silhouette(df, "id", "label", "v", least=16, most=32).collect()
+    assert len(rows) == len(x)
+    for r in rows:
+        means = [d[r["id"], label == k].sum() / ((label == k).sum() - (k == label[r["id"]])) for k in range(3)]
+        a = means[label[r["id"]]]
+        b = min(m for k, m in enumerate(means) if k != label[r["id"]])
+        assert abs(r["a"] - a) < 1e-9 and abs(r["b"] - b) < 1e-9 and abs(r["s"] - (b - a) / max(a, b)) < 1e-9
