@@ -117,16 +117,14 @@ NEAR = """n AS (SELECT a.video, a.frame, a.track, min(abs(a.cx - b.cx)) AS d FRO
 SELECT DISTINCT video, CAST(unnest(range(a + 1, b)) AS INTEGER) AS frame FROM x""")
 def absorbed_mask(spark, d):
     core = pts(spark, d).where("core").select("video", "frame", "track", "cx")
-    other = core.select("video", "frame", F.col("track").alias("t2"), F.col("cx").alias("x2"))
-    near = core.join(other, ["video", "frame"]).where("track <> t2").groupBy("video", "frame", "track").agg(F.min(F.abs(F.col("cx") - F.col("x2"))).alias("d"))
+    near = matching.nearest_along(core, ["video", "frame"], "track", "cx")
     return merging.absorbed_frames(core, near, "video", "track", "frame", 0.5, 6)
 
 
 @query(f"WITH {QC}, {NEAR} SELECT qc.track, qc.frame FROM qc LEFT JOIN n USING (video, frame, track) WHERE label_status = 'full' AND coalesce(d >= 3 * 0.1::DOUBLE, true)")
 def clean_labels(spark, d):
     core = pts(spark, d).where("core").select("video", "frame", "track", "cx")
-    other = core.select("video", "frame", F.col("track").alias("t2"), F.col("cx").alias("x2"))
-    near = core.join(other, ["video", "frame"]).where("track <> t2").groupBy("video", "frame", "track").agg(F.min(F.abs(F.col("cx") - F.col("x2"))).alias("d"))
+    near = matching.nearest_along(core, ["video", "frame"], "track", "cx")
     return qc(spark, d).join(near, ["video", "frame", "track"], "left").where(merging.label_clean(F.col("label_status"), F.col("d"), 0.1)).select("track", "frame")
 
 

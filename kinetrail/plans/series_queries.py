@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import matching
 from ..operators import relational as r
 from ..operators import series as s
 from ..sources.views import PTS, pts, table
@@ -132,13 +133,8 @@ ABSENT = PTS + """, v AS (SELECT track, frame, lead(frame) OVER (PARTITION BY tr
 @query(f"""WITH {ABSENT}, o AS (SELECT video, track, frame, cx FROM pts WHERE core), j AS (SELECT DISTINCT ab.track, a, b, o.track AS neighbour FROM ab JOIN pts p ON p.track = ab.track AND (p.frame = a OR p.frame = b)
 JOIN o ON o.video = p.video AND o.frame = p.frame AND o.track <> p.track AND abs(o.cx - p.cx) <= 0.5) SELECT track, a, b, min(neighbour) AS neighbour, count(*) AS n FROM j GROUP BY track, a, b""")
 def absorbed_gaps(spark, d):
-    p = pts(spark, d)
-    core = p.where("core")
-    ends = s.absences(core, ["video", "track"], "frame", 6).withColumn("frame", F.explode(F.array("a", "b")))
-    at = ends.join(p.select("track", "frame", "cx"), ["track", "frame"])
-    other = core.select("video", "frame", F.col("track").alias("neighbour"), F.col("cx").alias("ocx"))
-    hit = at.join(other, ["video", "frame"]).where((F.col("neighbour") != F.col("track")) & (F.abs(F.col("ocx") - F.col("cx")) <= 0.5))
-    return hit.select("track", "a", "b", "neighbour").distinct().groupBy("track", "a", "b").agg(F.min("neighbour").alias("neighbour"), F.count(F.lit(1)).alias("n"))
+    core = pts(spark, d).where("core")
+    return matching.absorbers(core, ["video"], "track", "frame", "cx", 0.5, 6).select("track", "a", "b", "neighbour", "n")
 
 
 @query(f"""WITH {PTS}, n AS (SELECT track, max(frame) + 1 AS n FROM pts GROUP BY track), w AS (SELECT track, unnest(range(0, greatest(n - 20, 0) + 1, 10)) AS t0 FROM n)

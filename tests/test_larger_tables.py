@@ -9,7 +9,7 @@ from compare import same
 from pyspark.sql import functions as F
 
 from kinetrail.functions.printing import printed
-from kinetrail.operators import cluster
+from kinetrail.operators import cluster, matching
 from kinetrail.plans import catalog
 
 
@@ -86,3 +86,27 @@ def test_silhouette_over_several_tiles(spark):
         a = means[label[r["id"]]]
         b = min(m for k, m in enumerate(means) if k != label[r["id"]])
         assert abs(r["a"] - a) < 1e-9 and abs(r["b"] - b) < 1e-9 and abs(r["s"] - (b - a) / max(a, b)) < 1e-9
+
+
+def test_neighbours_within_reach(spark):
+    """Nearest ones and counts against loops, with equal values, values exactly the reach apart and single rows."""
+    rng = random.Random(3)
+    rows = [(v, f, t, rng.randint(0, 40) / 10 if t else None) for v in range(2) for f in range(5) for t in range(30) if rng.random() < 0.7] + [(9, 0, 0, 1.0)]
+    df = spark.createDataFrame(rows, "video int, frame int, track long, x double")
+    loop_d, loop_n = {}, {}
+    for v, f, t, x in rows:
+        others = [(abs(y - x), o) for w, g, o, y in rows if (w, g) == (v, f) and o != t and y is not None and x is not None]
+        if others:
+            loop_d[v, f, t] = min(others)[0]
+        close = [o for d, o in others if d <= 0.5]
+        if close:
+            loop_n[v, f, t] = (len(close), min(close))
+    assert {tuple(r)[:3]: r["d"] for r in matching.nearest_along(df, ["video", "frame"], "track", "x").collect()} == loop_d
+    assert {tuple(r)[:3]: (r["n"], r["least"]) for r in matching.within_reach(df, ["video", "frame"], "track", "x", 0.5).collect()} == loop_n
+
+
+def test_frames_are_not_joined_with_themselves(spark, sf):
+    for name in ("absorbed_mask", "clean_labels", "absorbed_gaps"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        unequal = [line for line in plan.splitlines() if "Join Inner" in line and "NOT (" in line]
+        assert all("p#" in line and "q#" in line for line in unequal), (name, unequal)  # by squares, not by frames alone
