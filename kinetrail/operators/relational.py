@@ -17,6 +17,48 @@ def p90(x: str | Column) -> Column:
     return F.percentile(x, F.lit(0.9))
 
 
+def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]], also: dict[str, Column] | None = None, accuracy: int = 10000) -> DataFrame:
+    """Exact quantiles with interpolation per key, for keys with few and large groups: wanted has (values, share) by name, also more
+    aggregates. The same numbers as F.percentile, which takes all distinct values of a group to one task. A first pass finds by a sketch two
+    values that each quantile lies between; a second counts those below, and only the distinct values between the two, some
+    rows / accuracy, meet in a task. Groups of up to `accuracy` values meet whole. Nulls are left out of values; a null key is a group."""
+    also = also or {}
+    value = {n: c.cast("double") for n, (c, _) in wanted.items()}
+
+    def ends(n: str) -> Column:
+        share = wanted[n][1]
+        return F.percentile_approx(value[n], F.array(*[F.lit(min(1.0, max(0.0, share + k / accuracy))) for k in (-3, 3)]), F.lit(accuracy))
+
+    first = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(*[ends(n).alias(f"__e_{n}") for n in wanted], *[F.count(value[n]).alias(f"__c_{n}") for n in wanted], *[c.alias(f"__also_{n}") for n, c in also.items()])
+    small = {n: F.col(f"__c_{n}") <= accuracy for n in wanted}
+    between = {n: F.struct(F.lit(n).alias("q"), F.when(small[n], F.lit(float("-inf"))).otherwise(F.get(f"__e_{n}", F.lit(0))).alias("lo"), F.when(small[n], F.lit(float("nan"))).otherwise(F.get(f"__e_{n}", F.lit(1))).alias("hi"), F.when(F.col(f"__c_{n}") > 0, wanted[n][1] * (F.col(f"__c_{n}") - 1)).alias("at")) for n in wanted}
+    bounds = first.select(*[c for c in first.columns if not c.startswith(("__e_", "__c_"))], F.explode(F.array(*between.values())).alias("__b"))
+    rows = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("q"), value[n].alias("v")) for n in wanted])).alias("__r"))
+    on = F.col("__r.q") == F.col("__b.q")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    v, b = F.col("__r.v"), F.col("__b")
+    side = F.when(v.isNull(), 2).when(v < b["lo"], -1).when(v > b["hi"], 1).otherwise(0)
+    rows = rows.join(F.broadcast(bounds), on).withColumn("__side", side).withColumn("__v", F.when(F.col("__side") == 0, v))
+    counts = rows.groupBy(*keys, F.col("__b.q").alias("__q"), "__side", "__v").agg(F.count(F.lit(1)).alias("__n"), F.first("__b.at").alias("__at"), *[F.first(f"__also_{n}").alias(f"__also_{n}") for n in also])
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__q").orderBy("__side", "__v").rowsBetween(Window.unboundedPreceding, 0))
+    here = F.struct("__side", "__v")
+    found = counts.withColumn("__upto", upto).groupBy(*keys, "__q").agg(*[F.min_by(here, F.when(F.col("__upto") > f("__at"), here)).alias(n) for n, f in (("__a", F.floor), ("__z", F.ceil))], F.first("__at").alias("__at"), *[F.first(f"__also_{n}").alias(f"__also_{n}") for n in also])
+    low, high, at = F.col("__a.__v"), F.col("__z.__v"), F.col("__at")
+    line = F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+    outside = at.isNotNull() & ((F.col("__a.__side") != 0) | (F.col("__z.__side") != 0))
+    line = F.when(outside, F.raise_error(F.lit("a quantile lies outside the values that its sketch gave")).cast("double")).when(at.isNotNull(), line)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__q") == n, line)).alias(n) for n in wanted], *[F.first(f"__also_{n}").alias(n) for n in also])
+
+
+def product(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left joined with right by few keys that have many rows on both sides: a key's left rows are dealt over the tasks, and its right
+    rows go to each of them, so that no task makes all pairs of a key."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("__deal", F.pmod(F.xxhash64(*left.columns), F.lit(n)).cast("int")).repartition(n, *keys, "__deal")
+    return dealt.join(right.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(n, *keys, "__deal"), [*keys, "__deal"]).drop("__deal")
+
+
 def weighted_mean(df: DataFrame, keys: list[str], values: Sequence[str], weight: str) -> DataFrame:
     """Per key, each value's mean weighted by the weight of the rows that have it."""
     w = F.col(weight)
@@ -176,9 +218,9 @@ def touched(qc: DataFrame, frames: DataFrame, keys: list[str], flags: str, flag:
 
 def global_threshold(df: DataFrame, keys: list[str], contrast: str, background: str, t: str) -> DataFrame:
     """Median of t + 0.55 (background - t) over the rows with at least 0.6 of the 90th percentile of the contrast."""
-    stats = df.groupBy(*keys).agg(p90(contrast).alias("__p"))
-    kept = df.join(stats, keys).where(F.col(contrast) >= 0.6 * F.col("__p"))
-    return kept.groupBy(*keys).agg(median(F.col(t) + 0.55 * (F.col(background) - F.col(t))).alias("threshold"), F.count(F.lit(1)).alias("n"))
+    stats = quantiles(df, keys, {"__p": (F.col(contrast), 0.9)})
+    kept = df.join(F.broadcast(stats), keys).where(F.col(contrast) >= 0.6 * F.col("__p"))
+    return quantiles(kept, keys, {"threshold": (F.col(t) + 0.55 * (F.col(background) - F.col(t)), 0.5)}, {"n": F.count(F.lit(1))})
 
 
 #: Sizes relative to the video's 90th percentile and median of single components.
@@ -190,9 +232,9 @@ def classify_components(df: DataFrame, keys: list[str], area: str, clean: Column
     """cluster / small_fragment / single, by the areas of the clean components of the key (of all, where fewer than `least`
     are clean): a cluster is a loop, much larger than most single ones, or branched and larger; a fragment is small and inside."""
     a = F.col(area)
-    stats = df.groupBy(*keys).agg(F.count_if(clean).alias("__n"), median(F.when(clean, a)).alias("__mc"), p90(F.when(clean, a)).alias("__pc"), median(a).alias("__ma"), p90(a).alias("__pa"))
+    stats = quantiles(df, keys, {n: (c, q) for k, c in (("c", F.when(clean, a)), ("a", a)) for n, q in ((f"__m{k}", 0.5), (f"__p{k}", 0.9))}, {"__n": F.count_if(clean)})
     few = F.col("__n") < least
     stats = stats.select(*keys, F.when(few, F.col("__ma")).otherwise(F.col("__mc")).alias("a_med"), F.when(few, F.col("__pa")).otherwise(F.col("__pc")).alias("a_p90"))
     branched = (F.col(spur) > BRANCHED_SPUR) & (a > BRANCHED_AREA * F.col("a_p90")) & ((F.col(n_end) >= BRANCHED_ENDS) | (F.coalesce(F.col(width_cv), F.lit(0.0)) > BRANCHED_WIDTH))
     kind = F.when(loop | (a > CLUSTER_AREA * F.col("a_p90")) | branched, "cluster").when((a < FRAGMENT_AREA * F.col("a_med")) & ~border, "small_fragment").otherwise("single")
-    return df.join(stats, keys).withColumn("kind", kind)
+    return df.join(F.broadcast(stats), keys).withColumn("kind", kind)

@@ -40,7 +40,9 @@ def global_threshold(spark, d):
 
 @query(f"WITH {LINE} SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS med, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(sqrt(avg(l_discount * l_discount)), 6) AS rms FROM li GROUP BY l_returnflag")
 def group_median_p90(spark, d):
-    return line(spark, d).groupBy("l_returnflag").agg(F.round(r.median("l_extendedprice"), 6).alias("med"), F.round(r.p90("l_extendedprice"), 6).alias("p90"), F.round(F.sqrt(F.avg(F.col("l_discount") * F.col("l_discount"))), 6).alias("rms"))
+    price = F.col("l_extendedprice")
+    out = r.quantiles(line(spark, d), ["l_returnflag"], {"med": (price, 0.5), "p90": (price, 0.9)}, {"rms": F.sqrt(F.avg(F.col("l_discount") * F.col("l_discount")))})
+    return out.select("l_returnflag", R("med"), R("p90"), R("rms"))
 
 
 @query(f"WITH {LINE}, s AS (SELECT l_suppkey, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM li GROUP BY l_suppkey) SELECT l_orderkey, l_linenumber, round((l_quantity - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 5) AS z FROM li JOIN s USING (l_suppkey)")

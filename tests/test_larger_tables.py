@@ -9,7 +9,7 @@ from compare import same
 from pyspark.sql import functions as F
 
 from kinetrail.functions.printing import printed
-from kinetrail.operators import cluster, matching
+from kinetrail.operators import cluster, matching, relational
 from kinetrail.plans import catalog
 
 
@@ -110,3 +110,29 @@ def test_frames_are_not_joined_with_themselves(spark, sf):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         unequal = [line for line in plan.splitlines() if "Join Inner" in line and "NOT (" in line]
         assert all("p#" in line and "q#" in line for line in unequal), (name, unequal)  # by squares, not by frames alone
+
+
+def test_quantiles_are_exact_and_few_values_meet(spark):
+    """Equal to percentile to the last bit: large and small groups, heavy ties, nulls, NaN, a null key and a group without values."""
+    big = spark.range(60000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("k"), F.when(F.col("id") % 3 == 1, F.floor(F.rand(5) * 7)).otherwise(F.randn(6) * 1e3).alias("v"))
+    few = spark.createDataFrame([("c", float(i)) for i in range(3)] + [("d", 1.0), ("e", None), ("f", 2.0), ("f", None), ("g", float("nan")), ("g", 1.0), ("g", 5.0)], "k string, v double")
+    df = big.unionByName(few).localCheckpoint()
+    v = F.col("v")
+    wanted = {"m": (v, 0.5), "p": (v, 0.9), "z": (F.when(v > 0, v), 0.5), "one": (v, 1.0), "none": (v, 0.0)}
+    got = relational.quantiles(df, ["k"], wanted, {"n": F.count(F.lit(1))}, accuracy=1000)
+    right = df.groupBy("k").agg(*[F.percentile(c, F.lit(q)).alias(n) for n, (c, q) in wanted.items()], F.count(F.lit(1)).alias("n"))
+    assert sorted(map(repr, got.select(*right.columns).collect())) == sorted(map(repr, right.collect()))
+
+
+def test_large_groups_do_not_meet_whole(spark, sf):
+    for name in ("global_threshold", "group_median_p90", "const_crossjoin"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan.replace("percentile_approx(", ""), name
+
+
+def test_objects_of_all_frames_are_dealt_over_tasks(spark):
+    tracks, frames = spark.range(400).select(F.lit(0).alias("video"), F.col("id").alias("track")), spark.range(50).select(F.lit(0).alias("video"), F.col("id").alias("frame"))
+    pairs = relational.product(tracks, frames, ["video"])
+    assert pairs.distinct().count() == pairs.count() == 20000
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 16000  # a join by the video makes all in one task
