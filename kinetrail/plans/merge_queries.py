@@ -202,7 +202,7 @@ OBJECTS = """fr AS (SELECT DISTINCT video, frame FROM pts), ob AS (SELECT DISTIN
 def tracked_objects(spark, d):
     p = pts(spark, d).withColumns({"skeleton": F.when(F.col("core"), F.col("cx") / 20), "trail": F.col("cx") / 25, "area": F.col("cy") / 50})
     frames = p.select("video", "frame").distinct()
-    expected = frames.join(p.select("video", "track").distinct(), "video")
+    expected = r.product(p.select("video", "track").distinct(), frames, ["video"])
     return merging.object_metrics(p, expected, "video", "frame", "track", "area", ["skeleton", "trail"])
 
 
