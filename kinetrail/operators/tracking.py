@@ -7,6 +7,7 @@ frame's; keys are spread over the cluster.
 from __future__ import annotations
 
 import bisect
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,96 @@ def greedy_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+#: Pairs that are measured at once, and the first radius of a search for them.
+PAIRS, RADIUS = 1 << 21, 1.0
+
+
+def greedy_listed(cost: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """greedy_pairs of listed pairs: in rounds, all pairs that come first both for their row and for their column are taken."""
+    order = np.lexsort((j, i, cost))
+    i, j, rows, cols = i[order], j[order], [], []
+    while len(i):
+        at = np.arange(len(i))
+        (_, row), (_, col) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+        first, second = np.empty(len(i), np.int64), np.empty(len(i), np.int64)
+        first[row[::-1]], second[col[::-1]] = at[::-1], at[::-1]
+        take = (first[row] == at) & (second[col] == at)
+        rows.append(i[take])
+        cols.append(j[take])
+        stay = ~(np.isin(i, i[take]) | np.isin(j, j[take]))
+        i, j = i[stay], j[stay]
+    return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def greedy_near(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, cost) -> tuple[np.ndarray, np.ndarray]:
+    """greedy_pairs where a pair costs no less than its distance, without a matrix: all pairs that cost at most a radius come before the others, so
+    they are found by squares and settled, then the radius is doubled for what is free. cost(i, j) gives costs of pairs, infinite where there is none.
+    Where even the least radius has too many pairs (many components in one place), each row looks for its best free column, as often as that is taken."""
+    rows, cols, out, radius = np.arange(len(x)), np.arange(len(xs)), [], RADIUS
+    whole = float(max(np.ptp(np.concatenate([x, xs])), np.ptp(np.concatenate([y, ys])))) + 1.0 if len(x) and len(xs) else 0.0
+    while len(rows) and len(cols):
+        last = len(rows) * len(cols) <= PAIRS  # what is left is measured whole
+        if last:
+            i, j = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
+            c = cost(i, j)
+            some = np.isfinite(c)
+            found = [(c[some], i[some], j[some])]
+        else:
+            side = radius * (1 + 1e-9)  # a distance that is rounded to the radius is found as well
+            a, b = np.floor(xs[cols] / side).astype(np.int64), np.floor(ys[cols] / side).astype(np.int64)
+            low, wide = b.min(), int(b.max() - b.min()) + 3
+            key = a * wide + (b - low)
+            order = np.argsort(key, kind="stable")
+            key, p, q = key[order], np.floor(x[rows] / side).astype(np.int64), np.floor(y[rows] / side).astype(np.int64) - low
+            fits = (q >= -1) & (q <= wide - 2)
+            ranges = [(np.searchsorted(key, (p + k) * wide + np.maximum(q - 1, 0)), np.searchsorted(key, (p + k) * wide + np.minimum(q + 1, wide - 1), "right")) for k in (-1, 0, 1)]
+            begin, end = (np.concatenate(z) for z in zip(*ranges, strict=True))
+            n, of = np.where(np.tile(fits, 3), end - begin, 0), np.tile(rows, 3)
+            found, passed = [], 0
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+                m = n[part]
+                i = np.repeat(of[part], m)
+                j = cols[order[np.repeat(begin[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())]]
+                c = cost(i, j)
+                some = np.flatnonzero(c <= radius)
+                found.append((c[some], i[some], j[some]))
+                passed += len(some)
+                if passed > 4 * PAIRS:
+                    break
+        if radius > 2 * whole and not last or not last and passed > 4 * PAIRS:
+            out.append(greedy_by_row(rows, cols, cost))
+            break
+        r, k = greedy_listed(*(np.concatenate(z) for z in zip(*found, strict=True)))
+        out.append((r, k))
+        if last:
+            break
+        rows, cols, radius = np.setdiff1d(rows, r, True), np.setdiff1d(cols, k, True), 2 * radius
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def greedy_by_row(rows: np.ndarray, cols: np.ndarray, cost) -> tuple[np.ndarray, np.ndarray]:
+    """greedy_pairs in memory of rows and columns: the least of the rows' best pairs is taken if its column is free, else its row looks again."""
+
+    def best(i: int) -> tuple[float, int, int] | None:
+        c = cost(np.full(len(free), i), free)
+        k = int(c.argmin()) if len(c) else 0
+        return (float(c[k]), int(i), int(free[k])) if len(c) and np.isfinite(c[k]) else None
+
+    free, taken, found = np.sort(cols), set(), []
+    heap = [b for b in map(best, rows) if b]
+    heapq.heapify(heap)
+    while heap:
+        c, i, j = heapq.heappop(heap)
+        if j not in taken:
+            taken.add(j)
+            free = np.delete(free, np.searchsorted(free, j))
+            found.append((i, j))
+        elif b := best(i):
+            heapq.heappush(heap, b)
+    r, k = np.array(found, np.int64).reshape(-1, 2).T
+    return r, k
+
+
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     """Assignment of least total cost (shortest augmenting paths with potentials); every row or every column is assigned."""
     cost = np.asarray(cost, float)
@@ -81,12 +172,21 @@ class LiveTracks:
         for c in self.FIELDS:
             setattr(self, c, getattr(self, c)[kept])
         wait = frame - self.lasts
-        d = np.hypot(x[:, None] - self.xs, y[:, None] - self.ys)
-        ratio = np.abs(np.log(area[:, None] / self.areas))
-        ok = (wait > 0) & (d < np.where(wait == 1, self.near, self.far)) & ((ratio <= self.area_log) | border[:, None] | self.borders)
-        pairs = greedy_pairs(np.where(ok, d + 0.5 * wait + 200 * ratio, np.inf))
+        gate = np.where(wait == 1, self.near, self.far)
+
+        def cost(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            d = np.hypot(x[i] - self.xs[j], y[i] - self.ys[j])
+            ratio = np.abs(np.log(area[i] / self.areas[j]))
+            ok = (wait[j] > 0) & (d < gate[j]) & ((ratio <= self.area_log) | border[i] | self.borders[j])
+            return np.where(ok, d + 0.5 * wait[j] + 200 * ratio, np.inf)
+
+        if len(x) * len(wait) <= PAIRS:
+            i, j = np.array(greedy_pairs(cost(np.arange(len(x))[:, None], np.arange(len(wait))[None])), np.int64).reshape(-1, 2).T
+        else:  # places that are not numbers have no partner
+            r, k = np.flatnonzero(np.isfinite(x) & np.isfinite(y)), np.flatnonzero(np.isfinite(self.xs) & np.isfinite(self.ys))
+            i, j = greedy_near(x[r], y[r], self.xs[k], self.ys[k], lambda a, b: cost(r[a], k[b]))
+            i, j = r[i], k[j]
         out = np.full(len(x), -1, np.int64)
-        i, j = np.array(pairs, np.int64).reshape(-1, 2).T
         out[i] = self.ids[j]
         self.lasts[j], self.xs[j], self.ys[j], self.borders[j] = frame, x[i], y[i], border[i]
         whole = ~border[i]  # a body that the border cuts tells nothing of its area
@@ -111,13 +211,32 @@ def track(df: DataFrame, video: str = "video", gap: int = 200, near: float = 150
     gate (near for the next frame, far after a gap) and of similar area unless a border is involved, taken by ascending
     d + gap / 2 + 200 |log area ratio|; what remains starts a track. A track's area is a running mean over components off the border."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "comp_id"], kind="stable")
-        ids = LiveTracks(gap, near, far, area_log, keep).run(pdf)
-        return pd.DataFrame({video: pdf[video], "frame": pdf["frame"], "comp_id": pdf["comp_id"], "track_id": ids})
+    def run(batches):
+        now = tracker = rest = None
+
+        def ids(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal now, tracker
+            parts = []
+            for rows in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(pd.factorize(pdf[video], use_na_sentinel=False)[0])) + 1) if len(pdf) else []:
+                key = pdf[video].iloc[rows[0]]
+                if tracker is None or not (key == now or (pd.isna(key) and pd.isna(now))):
+                    now, tracker = key, LiveTracks(gap, near, far, area_log, keep)
+                parts.append(tracker.run(pdf.iloc[rows]))
+            return pd.DataFrame({video: pdf[video], "frame": pdf["frame"], "comp_id": pdf["comp_id"], "track_id": np.concatenate([np.zeros(0, np.int64), *parts])})
+
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            ends = np.flatnonzero(np.diff(pd.factorize(pdf[video], use_na_sentinel=False)[0]) | np.diff(pdf["frame"].to_numpy()))
+            done = int(ends[-1]) + 1 if len(ends) else 0  # the last frame may go on in the next batch
+            yield ids(pdf.iloc[:done])
+            rest = pdf.iloc[done:]
+        if rest is not None:
+            yield ids(rest)
 
     kinds = dict(df.dtypes)
-    return df.groupBy(video).applyInPandas(run, f"{video} {kinds[video]}, frame {kinds['frame']}, comp_id {kinds['comp_id']}, track_id long")
+    # sorted by Spark and read in batches: a task holds one frame and the tracks that live
+    rows = df.select(video, "frame", "comp_id", "cx", "cy", "area", "border").repartition(video).sortWithinPartitions(video, "frame", "comp_id")
+    return rows.mapInPandas(run, f"{video} {kinds[video]}, frame {kinds['frame']}, comp_id {kinds['comp_id']}, track_id long")
 
 
 def link_reach(body: float) -> float:

@@ -9,7 +9,7 @@ from compare import same
 from pyspark.sql import functions as F
 
 from kinetrail.functions.printing import printed
-from kinetrail.operators import cluster, matching, relational
+from kinetrail.operators import cluster, matching, relational, tracking
 from kinetrail.plans import catalog
 
 
@@ -136,3 +136,40 @@ def test_objects_of_all_frames_are_dealt_over_tasks(spark):
     assert pairs.distinct().count() == pairs.count() == 20000
     sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 1 and max(sizes) < 16000  # a join by the video makes all in one task
+
+
+def test_crowded_frames_are_tracked_without_a_matrix(monkeypatch):
+    """Greedy pairs by growing radius, and by row where all are in one place, equal those of the whole matrix; a crowd's memory is bounded."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    for kind, (n, m, most) in itertools.product(range(3), ((80, 120, 100), (60, 300, 900), (70, 70, 1), (40, 40, 10**6))):
+        x, y, xs, ys = (np.round(rng.exponential(300, k)) if kind == 0 else rng.integers(0, 5, k) * 1.0 if kind == 1 else rng.normal(size=k) * 200 for k in (n, n, m, m))
+        wait = rng.integers(1, 4, m)
+
+        def cost(i, j):
+            d = np.hypot(x[i] - xs[j], y[i] - ys[j])  # noqa: B023
+            return np.where(d < 150, d + 0.5 * wait[j], np.inf)  # noqa: B023
+
+        monkeypatch.setattr(tracking, "PAIRS", most)
+        got = tracking.greedy_near(x, y, xs, ys, cost)
+        assert sorted(zip(*(g.tolist() for g in got), strict=True)) == sorted(tracking.greedy_pairs(cost(np.arange(n)[:, None], np.arange(m)[None])))
+    monkeypatch.undo()
+    live, n = tracking.LiveTracks(200, 150.0, 450.0, 0.7, 0.9), 12000
+    tracemalloc.start()
+    for frame in range(2):
+        live.step(frame, rng.exponential(500, n), rng.uniform(0, 1000, n), np.full(n, 2000.0), np.zeros(n, bool))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 800e6  # one matrix of doubles takes 1152 MB, and there were several
+
+
+def test_tracks_do_not_depend_on_batches(spark, sf):
+    def rows(n):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        return sorted(map(repr, catalog.QUERIES["track_greedy"](spark, sf).collect()))
+
+    try:
+        assert rows("7") == rows("10000")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
