@@ -27,8 +27,8 @@ def greedy_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-#: Pairs that are measured at once, and the first radius of a search for them.
-PAIRS, RADIUS = 1 << 21, 1.0
+#: Pairs that are measured at once, those up to which a frame is measured whole, and the first radius of a search for them.
+PAIRS, WHOLE, RADIUS = 1 << 21, 1 << 16, 1.0
 
 
 def greedy_listed(cost: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +55,7 @@ def greedy_near(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, co
     rows, cols, out, radius = np.arange(len(x)), np.arange(len(xs)), [], RADIUS
     whole = float(max(np.ptp(np.concatenate([x, xs])), np.ptp(np.concatenate([y, ys])))) + 1.0 if len(x) and len(xs) else 0.0
     while len(rows) and len(cols):
-        last = len(rows) * len(cols) <= PAIRS  # what is left is measured whole
+        last = len(rows) * len(cols) <= (PAIRS if radius > 256 else min(PAIRS, WHOLE))  # what is left is measured whole
         if last:
             i, j = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
             c = cost(i, j)
@@ -180,7 +180,7 @@ class LiveTracks:
             ok = (wait[j] > 0) & (d < gate[j]) & ((ratio <= self.area_log) | border[i] | self.borders[j])
             return np.where(ok, d + 0.5 * wait[j] + 200 * ratio, np.inf)
 
-        if len(x) * len(wait) <= PAIRS:
+        if len(x) * len(wait) <= WHOLE:
             i, j = np.array(greedy_pairs(cost(np.arange(len(x))[:, None], np.arange(len(wait))[None])), np.int64).reshape(-1, 2).T
         else:  # places that are not numbers have no partner
             r, k = np.flatnonzero(np.isfinite(x) & np.isfinite(y)), np.flatnonzero(np.isfinite(self.xs) & np.isfinite(self.ys))
@@ -234,8 +234,8 @@ def track(df: DataFrame, video: str = "video", gap: int = 200, near: float = 150
             yield ids(rest)
 
     kinds = dict(df.dtypes)
-    # sorted by Spark and read in batches: a task holds one frame and the tracks that live
-    rows = df.select(video, "frame", "comp_id", "cx", "cy", "area", "border").repartition(video).sortWithinPartitions(video, "frame", "comp_id")
+    # sorted by Spark and read in batches: a task holds one frame and the tracks that live; small videos stay in tasks of their own
+    rows = df.select(video, "frame", "comp_id", "cx", "cy", "area", "border").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), video).sortWithinPartitions(video, "frame", "comp_id")
     return rows.mapInPandas(run, f"{video} {kinds[video]}, frame {kinds['frame']}, comp_id {kinds['comp_id']}, track_id long")
 
 
