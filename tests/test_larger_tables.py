@@ -173,3 +173,30 @@ def test_tracks_do_not_depend_on_batches(spark, sf):
         assert rows("7") == rows("10000")
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_nearest_others_against_a_loop(spark):
+    """Exact distances: a far point, a crowd in one place, equal places, hidden points, an object without others, and frames that nobody asks for."""
+    rng = np.random.default_rng(4)
+    x, y = np.round(rng.exponential(300, 700), 1), rng.integers(0, 5, 700) * 30.0
+    x[:150], y[:150], x[150], x[151:155], y[151:155] = rng.normal(50, 1e-3, 150), rng.normal(50, 1e-3, 150), 1e6, 77.0, 60.0
+    owner = rng.permutation(np.repeat(np.arange(350), 2))
+    d = np.sqrt((x[:, None] - x[None]) ** 2 + (y[:, None] - y[None]) ** 2)
+    d[owner[:, None] == owner[None]] = np.inf
+    want = np.array([d[owner == k].min() for k in range(350)])
+    asked = rng.random(350) < 0.8
+    assert np.array_equal(matching.nearest_others(x, y, owner, asked, most=1000), np.where(asked, want, np.inf))
+    rows = [("v", 0, int(k), [(float(a), float(b)) for a, b in zip(x[owner == k], y[owner == k], strict=True)] + [None]) for k in range(350)] + [("v", 1, 0, [(1.0, 1.0)]), ("v", 2, 0, [(1.0, 1.0)])]
+    df = spark.createDataFrame(rows, "video string, frame int, track int, pts array<struct<x:double,y:double>>")
+    got = {(r["frame"], r["track"]): r["d"] for r in matching.least_distances(df.where("frame < 2"), df, ["video", "frame"], "track", "pts").collect()}
+    assert got == {(0, k): want[k] for k in range(350)} | {(1, 0): math.inf}
+
+
+def test_a_frame_of_many_tracks_is_exported_in_flat_rows(spark, sf, tmp_path):
+    """The query makes neither pairs of a frame's tracks nor an episode's row with all midlines for each of its tracks."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).select((F.col("event_id") + F.col("k") * 100000).alias("event_id"), "ts", (F.col("user_id") + F.col("k") * 1500).alias("user_id"), "event_type", (F.col("value") + F.pmod(F.hash("k", "event_id"), F.lit(999)) / 10).alias("value"), "props")
+    folder = copied(spark, sf, tmp_path, events=e)
+    same(spark, folder, catalog.QUERIES["episode_export"], catalog.ORACLES["episode_export"])
+    plan = catalog.QUERIES["episode_export"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "others" not in plan and "midline" not in plan
