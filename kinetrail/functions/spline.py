@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 COEFFICIENTS, SAMPLES, LEAST = 24, 500, 8
 BAND = 3
+MANY = 1024  # midlines that are fitted at once, in some MB; those of a whole batch would take hundreds
 
 
 def weights(u: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +67,7 @@ def fit(points: np.ndarray, sizes: np.ndarray, smooth: np.ndarray, k: int = COEF
     step = np.zeros(len(points))
     step[1:] = np.hypot(*(points[1:] - points[:-1]).T)
     step[first] = 0
-    along = np.cumsum(step)
-    along -= along[first][owner]
+    along = np.concatenate([np.zeros(0), *[np.cumsum(s) for s in np.split(step, first[1:])]])  # apart, so that none's rounding depends on those before it
     total = np.bincount(owner, step, n)
     j, w = weights(along / np.maximum(total, 1e-12)[owner], k)
     gram, right = np.zeros((n, k, BAND + 1)), np.zeros((n, k, 2))
@@ -134,7 +134,7 @@ def smooth_resample(df: DataFrame, pts: str, n: int, smooth: Column | None = Non
     schema = T.StructType([f for f in df.schema if f.name != out] + [T.StructField(out, spline)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, MANY) for whole in batches for a in range(0, whole.num_rows, MANY)):
             found = splines_of(batch.column(pts), batch.column("__bound"), n)
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in schema if f.name != out] + [found], [f.name for f in schema])
 

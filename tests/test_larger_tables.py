@@ -200,3 +200,56 @@ def test_a_frame_of_many_tracks_is_exported_in_flat_rows(spark, sf, tmp_path):
     same(spark, folder, catalog.QUERIES["episode_export"], catalog.ORACLES["episode_export"])
     plan = catalog.QUERIES["episode_export"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "others" not in plan and "midline" not in plan
+
+
+def test_splines_are_fitted_some_at_a_time(spark, monkeypatch):
+    """However large the batches are; with the same result as all at once."""
+    from kinetrail.functions import spline
+
+    df = spark.range(0, 1200, 1, 1).select("id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct((i * 3.0).alias("x"), F.sin(i * 0.3 + F.col("id")).alias("y"))).alias("pts"))
+    rows = df.toArrow()["pts"].combine_chunks()
+    want = spline.splines_of(rows, spline.pa.array([0.02] * 1200), 49).to_pylist()
+    seen = df.withColumn("pts", F.when(F.col("id") != 700, F.col("pts")))
+    got = {r["id"]: r["spline"] for r in spline.smooth_resample(seen, "pts", 49, F.lit(0.02)).collect()}
+    assert got.pop(700) is None and len(got) == 1199
+    for k, s in got.items():
+        assert s["length"] == want[k]["length"] and [tuple(p) for p in s["pts"]] == [(q["x"], q["y"]) for q in want[k]["pts"]]
+    import tracemalloc
+
+    import pyarrow as pa
+
+    many = pa.RecordBatch.from_arrays([pa.concat_arrays([rows] * 5), pa.array([0.02] * 6000)], ["pts", "__bound"])
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: f)
+    run = spline.smooth_resample(df.select("pts"), "pts", 49, F.lit(0.02))
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run(iter([many]))) == 6000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6  # all at once take over 150 MB
+
+
+def test_trails_measure_each_turn_once(monkeypatch):
+    """Turns are looked up where branches meet again; counts would grow with the walks."""
+    import pandas as pd
+
+    from kinetrail.operators import skeleton_graph
+
+    calls = []
+    turn = skeleton_graph.turn
+    monkeypatch.setattr(skeleton_graph, "turn", lambda u, v: calls.append(1) or turn(u, v))
+    at = {n: np.array(p, float) for n, p in enumerate([(0, 0), (60, 0), (30, 25), (-40, 30), (-40, -30), (100, 30), (100, -30)])}
+    ends = [(3, 0), (0, 4), (0, 1), (2, 0), (1, 2), (1, 5), (6, 1)]
+    graph = skeleton_graph.Graph(pd.DataFrame([{"edge_id": i, "n0": a, "n1": b, "len": float(np.hypot(*(at[a] - at[b]))), "co": [*at[a], *at[b]]} for i, (a, b) in enumerate(ends)]))
+    assert skeleton_graph.trail(graph, None)[2] and len(calls) <= 30
+
+
+def test_hidden_points_of_dense_tracks():
+    import pandas as pd
+
+    from kinetrail.operators import pose_features
+
+    pdf = pd.DataFrame({"frame": [3, 0, 1], "pts": [[1.0, None, 3.0, 4.0], None, np.array([5.0, np.nan, 7.0, 8.0])]})
+    first, got = pose_features._dense(pdf, "frame", "pts", 2)
+    want = np.full((4, 2, 2), np.nan)
+    want[3], want[1] = [[1, np.nan], [3, 4]], [[5, np.nan], [7, 8]]
+    assert first == 0 and np.array_equal(got, want, equal_nan=True)
