@@ -102,6 +102,21 @@ def trail(graph: Graph, target: float | None, most_turn: float = 80.0, states: i
                     open_nodes += new
         return more
 
+    # of each node, its edges from the last: number, node at the other end, length, direction of walking it; what these are and the turns between them is worked out once
+    steps: dict[int, list] = {n: [] for n in graph.at}
+    headings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    turns: dict[tuple, float] = {}
+    for n, edges in graph.at.items():
+        for i in reversed(edges):
+            co, other = graph.leave(i, n)
+            headings[i, n] = heading(co, reach, False), heading(co, reach, True)
+            steps[n].append((i, other, graph.edges[i][2], (i, n)))
+
+    def bend(before: tuple[int, int], after: tuple[int, int]) -> float:
+        if (before, after) not in turns:
+            turns[before, after] = turn(headings[before][1], headings[after][0])
+        return turns[before, after]
+
     for start in graph.tips or list(graph.at):
         stack = [(start, (), 0.0, None)]
         while stack:
@@ -113,13 +128,9 @@ def trail(graph: Graph, target: float | None, most_turn: float = 80.0, states: i
                 best = (list(used), value(length))
             if value(length + within_reach(node, used)) <= best[1]:
                 continue
-            for i in reversed(graph.at[node]):
-                if i in used:
-                    continue
-                co, other = graph.leave(i, node)
-                if way is not None and turn(way, heading(co, reach, False)) > most_turn:
-                    continue
-                stack.append((other, (*used, i), length + graph.edges[i][2], heading(co, reach, True)))
+            for i, other, size, out in steps[node]:
+                if i not in used and (way is None or bend(way, out) <= most_turn):
+                    stack.append((other, (*used, i), length + size, out))
     return (*best, True)
 
 
