@@ -628,3 +628,22 @@ def test_passage_dedup_of_a_crowd_around_one_original(spark):
     need = [i for i in range(201) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(i))]
     got = removed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
     assert sum(any(a < 90 and b > 30 for a, b in got[i][0]) for i in need) >= 0.9 * len(need)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")
+        return {f for f in files.split(",") if "shuffle_" in f}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key, None), shuffled()
+    back = components.written(spark.range(20_000).repartition(7, "id").groupBy((F.col("id") % 9).alias("k")).count(), "no-shuffles")
+    assert spark.conf.get(key, None) == setting
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert back.count() == 9
