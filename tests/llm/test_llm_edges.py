@@ -630,6 +630,56 @@ def test_passage_dedup_of_a_crowd_around_one_original(spark):
     assert sum(any(a < 90 and b > 30 for a, b in got[i][0]) for i in need) >= 0.9 * len(need)
 
 
+def test_passage_dedup_of_a_crowd_misses_none(spark):
+    """200 copies of an original, whose tokens all have crowded values, against brute force; in one chunk and in many."""
+    r = random.Random(6)
+    base, texts = fresh(60, r), []
+    for i in range(201):
+        w = list(base)
+        if i != 100:
+            w[r.randrange(5, 55)] = f"edit{i}"
+        texts.append(around(w, r, 30))
+    sets = [shingles(" ".join(t[30:90])) for t in texts]
+    need = [i for i in range(201) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(i))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = removed(docs)
+    assert not [i for i in need if not any(a < 90 and b > 30 for a, b in got[i][0])]
+    assert removed(docs, chunk_bytes=40_000) == got
+
+
+def test_passage_dedup_misses_no_partner_around_a_phrase(spark):
+    """Near copies of 57 words, 45 of them a phrase that all documents share, so that nearly all values are crowded."""
+    r = random.Random(77)
+    line, first, second = fresh(45, r), [], []
+    while len(first) < 300:
+        own = fresh(12, r)
+        k = r.randint(0, 12)
+        q = [*own[:k], *line, *own[k:]]
+        v = list(q)
+        v[r.randrange(57)] = f"edit{r.randrange(10**9)}"
+        p, o = shingles(" ".join(q)), shingles(" ".join(v))
+        if len(p & o) >= 0.8 * len(p | o):
+            first.append(around(q, r))
+            second.append(around(v, r))
+    got = removed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*first, *second])], "doc_id long, text string"))
+    assert all(any(a < 97 and b > 40 for a, b in got[i][0]) for i in range(300, 600))
+
+
+def test_tokens_to_look_up_are_enough():
+    """Whatever fifth of a passage is changed, one of the tokens that are looked up stays."""
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        size = int(r.integers(46, 140))
+        tokens = r.integers(1, 1 << 40, size).astype(np.uint64)
+        tokens[r.random(size) < 0.05] = passage_dedup.LONE
+        told = passage_dedup.telling(tokens, r.integers(0, 4, size).astype(np.uint8) * 40, 46, 0.8)
+        assert not told[tokens == passage_dedup.LONE].any()
+        lone = np.flatnonzero(tokens == passage_dedup.LONE)
+        # the changes that hit most of them
+        changed = [*lone, *np.flatnonzero(told)][: int(0.2 * size + 1e-9)]
+        assert len(lone) > 0.2 * size or set(np.flatnonzero(told)) - set(changed)
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     import time
 
