@@ -680,6 +680,51 @@ def test_tokens_to_look_up_are_enough():
         assert len(lone) > 0.2 * size or set(np.flatnonzero(told)) - set(changed)
 
 
+def test_tokens_to_look_up_among_repeated_words():
+    """Of words that are said over and over hardly anything is looked up; yet a text that has none of what is lacks over a fifth of any passage's
+    distinct tokens, or of all its tokens."""
+    r = np.random.default_rng(8)
+    lone = passage_dedup.LONE
+    stutter = np.concatenate([np.append(np.full(38, k, np.uint64), np.full(4, lone)) for k in range(1, 9)])
+    args = np.full(len(stutter), 60, np.uint8), np.zeros(len(stutter), bool), np.array([0, len(stutter)]), 46, 0.8
+    assert passage_dedup.telling(stutter, args[0], 46, 0.8).sum() > 100 and not passage_dedup.telling_apart(stutter, *args).any()
+    assert passage_dedup.stretches(stutter != lone, 46, 0.8) and not passage_dedup.stretches(stutter != lone, 46, 0.8, stutter)
+    checked = 0
+    for _ in range(60):
+        parts = [np.full(r.choice([1, 1, 1, 1, 3, 40, 60]), r.integers(1, 1 << 40), np.uint64) for _ in range(60)]
+        parts = [np.full(len(p), lone) if r.random() < 0.08 and len(p) == 1 else p for p in parts]
+        x = np.concatenate(parts)
+        done = np.repeat(r.random(len(parts)) < 0.5, [len(p) for p in parts])
+        told = passage_dedup.telling_apart(x, (x % np.uint64(7) * np.uint64(20)).astype(np.uint8), done, np.array([0, len(x)]), 46, 0.8)
+        names = passage_dedup.told_apart(x, 62)
+        lacks = (x == lone) | np.isin(x, x[told])
+        for a in range(0, len(x) - 46, 3):
+            for b in (a + 46, a + 60, a + 91, a + 150):
+                if b <= len(x) and not done[a:b].all():
+                    missing = len(np.unique(names[a:b][lacks[a:b]])) / len(np.unique(names[a:b]))
+                    assert missing > 0.2 or lacks[a:b].mean() > 0.2
+                    checked += 1
+    assert checked > 1000
+
+
+def test_where_a_passage_may_be():
+    """Against runs of tokens of which enough are in the other text: every pair with such a run around a wanted token is kept."""
+    r = np.random.default_rng(9)
+    for _ in range(30):
+        x = r.integers(0, 60, 120)
+        names, made = np.unique(x, return_inverse=True)
+        others = [np.flatnonzero(r.random(len(names)) < share) for share in (0, 0.3, 0.7, 0.9, 1)]
+        wanted = np.zeros(120, bool)
+        wanted[r.integers(0, 120, 3)] = True
+        got = passage_dedup.may_cover(made, wanted, np.concatenate(others), np.array([len(y) for y in others]), 0.8)
+        for y, g in zip(others, got, strict=True):
+            held = np.isin(made, y)
+            place = np.flatnonzero(held)
+            spans = [(max(a, place[0]), min(b, place[-1] + 1)) for a, b in passage_dedup.stretches(held, 46, 0.8)]
+            assert g or not any(wanted[a:b].any() for a, b in spans)
+        assert not got[0] and got[-1]
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     import time
 
