@@ -725,6 +725,77 @@ def test_where_a_passage_may_be():
         assert not got[0] and got[-1]
 
 
+def edited(tokens, r, share):
+    """tokens with some runs replaced, left out, put in or moved; new ones occur nowhere else."""
+    out = list(tokens)
+    for _ in range(r.poisson(share * len(out) / 5)):
+        a, kind = int(r.integers(0, len(out) - 6)), r.integers(0, 8)
+        new = [passage_dedup.LONE] * int(r.integers(1, 6))
+        if kind < 5:
+            out[a : a + len(new)] = new
+        elif kind == 5:
+            out[a:a] = new
+        elif kind == 6:
+            del out[a : a + len(new)]
+        else:
+            piece, out[a : a + 5] = out[a : a + 5], []
+            out[(b := int(r.integers(0, len(out)))) : b] = piece
+    return np.array(out, np.uint64)
+
+
+def test_pairs_that_are_dropped_by_the_last_bits_cover_nothing():
+    """Every pair of which `passages` finds a passage around a wanted token is kept; copies whose edits are too many together are not."""
+    r = np.random.default_rng(11)
+    useful = dropped = 0
+    for i in range(150):
+        base = r.integers(1, 1 << 48, int(r.integers(46, 220)), dtype=np.uint64)
+        if i % 3 == 0:  # some tokens again and again
+            base[r.integers(0, len(base), len(base) // 4)] = base[:3][r.integers(0, 3, len(base) // 4)]
+        share = r.choice([0.05, 0.15, 0.3])
+        x = edited(base, r, share)
+        others = [np.concatenate([r.integers(1, 1 << 48, int(r.integers(0, 40)), dtype=np.uint64), edited(base, r, share)]) for _ in range(6)]
+        wanted = np.zeros(len(x), bool)
+        a = int(r.integers(0, len(x)))
+        wanted[a : a + int(r.integers(1, 30))] = True
+        few = passage_dedup.few_bits
+        got = passage_dedup.may_match(few(x).astype(np.int64), wanted, few(np.concatenate(others)), np.array([len(y) for y in others]), 46, 0.8)
+        for y, g in zip(others, got.tolist(), strict=True):
+            spans = passage_dedup.passages(passage_dedup.told_apart(x, 62), passage_dedup.told_apart(y, 61), None, 46, 0.8, wanted=wanted)
+            covers = any(wanted[a:b].any() for a, b in spans)
+            assert g or not covers
+            useful, dropped = useful + covers, dropped + (not g)
+    assert useful > 100 and dropped > 100
+
+
+def test_passage_dedup_fetches_partners_in_rounds(spark, monkeypatch):
+    """A crowd of near copies: what is fetched at once is bounded by the text, however many pairs there are, and changes no result."""
+    r = random.Random(31)
+    base, rows = fresh(60, r), []
+    for i in range(120):
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(60)] = f"edit{r.randrange(10**9)}"
+        rows.append((i, " ".join(around(w, r, 20))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rounds: dict[str, list[int]] = {}
+    write = passage_dedup.written
+
+    def counted(frames, name):
+        frames = [frames] if hasattr(frames, "write") else list(frames)
+        rounds.setdefault(name, []).append(len(frames))
+        return write(frames, name)
+
+    monkeypatch.setattr(passage_dedup, "written", counted)
+    monkeypatch.setattr(passage_dedup, "ROUND", 1000)
+    want = removed(docs, chunk_bytes=60_000)
+    assert {n for x in rounds.values() for n in x} == {1} and any(spans for spans, _ in want.values())
+    rounds.clear()
+    monkeypatch.setattr(passage_dedup, "ROUND", 0.5)
+    assert removed(docs, chunk_bytes=60_000) == want
+    assert max(rounds["found"]) > 1 or max(rounds["able"]) > 1
+    assert rounds["regions"] == rounds["windows"] == rounds["pairs"] == [1]
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     import time
 
